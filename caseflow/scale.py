@@ -4,7 +4,7 @@ A scenario, serial number or tree node may hold a third of all rows, so none of
 collects a whole group in one task:
 
 * `with_position` numbers the rows of a group through buckets of the integer index;
-* `prefix_sums` does the same for any sort key through range partitions;
+* `range_parts` pins range partitions, over which running sums combine like over buckets;
 * `skew_join` salts the keys that are proven to be heavy;
 * `materialize` cuts lineage with a written table in the cluster's shared folder.
 """
@@ -127,25 +127,6 @@ def range_parts(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return materialize(parted, name)
 
 
-def prefix_sums(parted: DataFrame, group: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
-    """Inclusive running sums of `sums` in `order` within `group`, for the output of `range_parts`.
-
-    One task sees the rows of one part of one group; the offsets window sees one row per part.
-    The running sums are named `run_<column>`.
-    """
-    group = list(group)
-    across = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parted.groupBy(*group, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    offsets = totals.select(
-        *group, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(across), F.lit(0)).alias(f"_o_{c}") for c in sums]
-    )
-    local = Window.partitionBy(*group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = parted.join(offsets, group + ["_part"])
-    for c in sums:
-        joined = joined.withColumn(f"run_{c}", F.col(f"_o_{c}") + F.sum(c).over(local))
-    return joined.drop(*[f"_o_{c}" for c in sums])
-
-
 def skew_join(
     big: DataFrame,
     small: DataFrame,
