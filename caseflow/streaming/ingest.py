@@ -44,7 +44,7 @@ class IncrementalSink:
     """`foreachBatch` body: select new cases, process them, move the checkpoint.
 
     `process` maps the selected cases to (scenario, idx, ok, ...). Layout below `folder`:
-    `state/batch=<b>` (checkpoints), `pending/batch=<b>` (cases above a held checkpoint), `results/batch=<b>`.
+    `offered/batch=<b>` (new and waiting cases), `state/batch=<b>` (checkpoints), `pending/batch=<b>` (cases above a held checkpoint), `results/batch=<b>`.
     """
 
     def __init__(self, folder: str, mode: str, process: Callable[[DataFrame], DataFrame], columns: str = CASES, max_new: int | None = None):
@@ -61,11 +61,10 @@ class IncrementalSink:
         state = self._read(spark, "state", batch - 1, CHECKPOINTS)
         held = self._read(spark, "pending", batch - 1, self.columns)
         names = held.columns
-        # Arrivals may repeat; one row per case, pre-aggregated before the exchange.
-        fresh = held.unionByName(arrivals.select(*names)).groupBy("scenario", "idx")
-        rest = [c for c in names if c not in ("scenario", "idx")]
-        offered = fresh.agg(F.first(F.struct(*rest)).alias("r")).select("scenario", "idx", "r.*") if rest else fresh.agg().select("scenario", "idx")
-        offered = offered.select(*names)
+        # Arrivals may repeat; the narrow rows are written once, so the files are read once per batch.
+        once = held.unionByName(arrivals.select(*names)).dropDuplicates(["scenario", "idx"])
+        once.write.mode("overwrite").parquet(self._path("offered", batch))
+        offered = spark.read.schema(self.columns).parquet(self._path("offered", batch))
         selected = select_new(offered, state, self.mode, max_new=self.max_new)
         self.process(selected).write.mode("overwrite").parquet(self._path("results", batch))
         outcomes = spark.read.parquet(self._path("results", batch)).select("scenario", "idx", "ok")
