@@ -16,7 +16,7 @@ from caseflow import vocab
 from caseflow.functions import kpi as K
 from caseflow.functions import logs as L
 from caseflow.functions import status as S
-from caseflow.functions.variants import child, get, string_of
+from caseflow.functions.variants import child, get, number_of, string_of
 
 DEFAULT_SELECTION = {"log": [vocab.TEMPLATE_COUNTS], "kpi": {kpi: ["mix", "mean"] for kpi in vocab.KPIS}}
 FULL_SELECTION = {
@@ -55,9 +55,18 @@ def netstream_features(sem: Column) -> dict[str, Column]:
     return {"anomaly_netstreams-count": F.when(items > 0, items).otherwise(F.lit(0))}
 
 
-def kpi_features(
-    segments: Mapping[str, Column], alarm_time: Column, selected: Mapping[str, Sequence[str]], log_scale: bool = True
-) -> dict[str, Column]:
+def kpi_parts(name: str, tokens: Sequence[str], segments: Column, alarm_time: Column) -> list[Column]:
+    """What the statistics of one KPI share: all values, the overall duration, the nearest segment."""
+    parts = []
+    if "mix" in tokens:
+        parts += [K.all_values(segments).alias(f"_all_{name}"), K.overall_duration(segments).alias(f"_span_{name}")]
+    if "alarming" in tokens:
+        parts.append(K.nearest_segment(segments, alarm_time).alias(f"_near_{name}"))
+    return parts
+
+
+def kpi_features(selected: Mapping[str, Sequence[str]], log_scale: bool = True) -> dict[str, Column]:
+    """Statistics over the columns of `kpi_parts`."""
     scale = K.signed_log if log_scale else (lambda x: x.cast("double"))
     out: dict[str, Column] = {}
     for name in vocab.KPIS:
@@ -66,12 +75,10 @@ def kpi_features(
             if token not in tokens:
                 continue
             if token == "mix":
-                stats = K.value_stats(K.all_values(segments[name]))
-                stats["duration"] = K.overall_duration(segments[name])
+                stats = {**K.value_stats(F.col(f"_all_{name}")), "duration": F.col(f"_span_{name}")}
             else:
-                nearest = K.nearest_segment(segments[name], alarm_time)
-                stats = K.value_stats(nearest["value"])
-                stats["duration"] = K.segment_minutes(nearest)
+                nearest = F.col(f"_near_{name}")
+                stats = {**K.value_stats(nearest["value"]), "duration": K.segment_minutes(nearest)}
             for stat in vocab.STAT_TOKENS:
                 if stat in tokens:
                     out[f"anomaly_kpi-{name}-{stat}_{token}"] = scale(stats[stat])
@@ -99,43 +106,76 @@ def other_features(sem: Column) -> dict[str, Column]:
     return out
 
 
+OTHER_FEATURES = (
+    "other_info-command_echo_info-BGP_protocol_status",
+    "other_info-command_echo_info-local_interface_status",
+    "other_info-command_echo_info-remote_interface_status",
+    "other_info-command_echo_info-sys_running_time-login_status",
+    "other_info-command_echo_info-sys_running_time-reboot_status",
+    "other_info-device_info-local_device-owner",
+    "other_info-device_info-local_device-resource_status",
+    "other_info-device_info-remote_device-owner",
+    "other_info-device_info-remote_device-resource_status",
+    "other_info-device_info-local_ifname",
+    "other_info-device_info-local_server_status-life_cycle_status",
+)
+
+
+def feature_rules() -> list[tuple[str, str, str, str, str]]:
+    """(name, kind, a, b, c) of every feature in order; kind and a, b, c say what switches it on.
+
+    log: template a is listed. flash: so is the template-count switch. kpi: tokens b and c of KPI a.
+    """
+    rules = [
+        (f"anomaly_logs-{s}-{t}", "log", t, "", "") for s in vocab.EXCEPTION_SECTIONS for t in vocab.EXCEPTION_TEMPLATES
+    ]
+    rules += [(f"anomaly_logs-{s}-{t}", "flash", t, "", "") for s in vocab.FLASH_SECTIONS for t in vocab.FLASH_TEMPLATES]
+    rules += [(f"anomaly_logs-{s}_count", "log", vocab.FLASH_COUNT, "", "") for s in vocab.FLASH_SECTIONS]
+    rules += [(f"anomaly_logs-{s}", "always", "", "", "") for s in vocab.SHUTDOWN_SECTIONS]
+    rules.append(("anomaly_netstreams-count", "always", "", "", ""))
+    rules += [
+        (f"anomaly_kpi-{k}-{stat}_{token}", "kpi", k, token, stat)
+        for k in vocab.KPIS
+        for token in vocab.SEGMENT_TOKENS
+        for stat in vocab.STAT_TOKENS
+    ]
+    return rules + [(name, "always", "", "", "") for name in OTHER_FEATURES]
+
+
 def feature_names(selection: Mapping) -> list[str]:
     """Names of the features of a selection, in order."""
-    none = F.lit(None)
-    columns = {
-        **log_features(none, selection["log"]),
-        "anomaly_netstreams-count": none,
-        **{
-            f"anomaly_kpi-{kpi}-{stat}_{token}": none
-            for kpi in vocab.KPIS
-            for token in vocab.SEGMENT_TOKENS
-            for stat in vocab.STAT_TOKENS
-            if token in selection["kpi"].get(kpi, ()) and stat in selection["kpi"].get(kpi, ())
-        },
-        **other_features(none),
+    log, kpis = selection["log"], selection["kpi"]
+    switched = {
+        "always": lambda a, b, c: True,
+        "log": lambda a, b, c: a in log,
+        "flash": lambda a, b, c: a in log and vocab.TEMPLATE_COUNTS in log,
+        "kpi": lambda a, b, c: b in kpis.get(a, ()) and c in kpis.get(a, ()),
     }
-    return list(columns)
+    return [name for name, kind, *abc in feature_rules() if switched[kind](*abc)]
 
 
 def extract_features(cases: DataFrame, selection: Mapping = DEFAULT_SELECTION, keep=("scenario", "idx")) -> DataFrame:
     """Wide feature table (DOUBLE columns) in the order logs, netstreams, KPI, other info.
 
-    Shared parts of the document (log object, KPI segments) are projected once, below the features.
+    Shared parts of the document (log object, KPI segments, nearest segment) are columns of two projections
+    below the features, so each is computed once per case.
     """
     sem = F.col("sem")
-    used = [k for k in vocab.KPIS if set(selection["kpi"].get(k, ())) & set(vocab.SEGMENT_TOKENS)]
-    shared = cases.select(
+    used = {k: selection["kpi"].get(k, ()) for k in vocab.KPIS if set(selection["kpi"].get(k, ())) & set(vocab.SEGMENT_TOKENS)}
+    alarm = get(sem, "$.alarm_time", "variant")
+    opened = cases.select(
         *keep,
         "sem",
         log_section(sem).alias("_logs"),
-        get(sem, "$.alarm_time", "variant").alias("_alarm"),
+        number_of(alarm).alias("_alarm"),
         *[K.segments_of(sem, k).alias(f"_seg_{k}") for k in used],
     )
-    alarm = F.when(F.schema_of_variant("_alarm").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), get(F.col("_alarm"), "$", "double"))
+    parts = [p for k, tokens in used.items() for p in kpi_parts(k, tokens, F.col(f"_seg_{k}"), F.col("_alarm"))]
+    shared = opened.select(*keep, "sem", "_logs", *parts)
     columns = {
         **log_features(F.col("_logs"), selection["log"]),
         **netstream_features(sem),
-        **kpi_features({k: F.col(f"_seg_{k}") for k in used}, alarm, {k: selection["kpi"][k] for k in used}),
+        **kpi_features(used),
         **other_features(sem),
     }
     return shared.select(*keep, *[c.cast("double").alias(name) for name, c in columns.items()])
@@ -144,7 +184,9 @@ def extract_features(cases: DataFrame, selection: Mapping = DEFAULT_SELECTION, k
 def select_features(cases: DataFrame, selections: DataFrame, keep=("scenario", "idx")) -> DataFrame:
     """Feature map per case under its scenario's selection (scenario, log array, kpi map of arrays)."""
     full = extract_features(cases, FULL_SELECTION, keep)
-    rules = F.array(*[F.struct(*rule) for rule in _rules()])
+    rules = F.array(
+        *[F.struct(*[F.lit(x).alias(n) for n, x in zip(("name", "kind", "a", "b", "c"), rule)]) for rule in feature_rules()]
+    )
     joined = full.join(selections.select("scenario", "log", "kpi"), "scenario", "left")
 
     def chosen(r: Column) -> Column:
@@ -162,26 +204,6 @@ def select_features(cases: DataFrame, selections: DataFrame, keep=("scenario", "
     )
 
 
-def _rules() -> list[list[Column]]:
-    """Per feature of the full set: which selection entries switch it on."""
-    kinds: dict[str, tuple[str, str, str, str]] = {}
-    for section in vocab.EXCEPTION_SECTIONS:
-        for t in vocab.EXCEPTION_TEMPLATES:
-            kinds[f"anomaly_logs-{section}-{t}"] = ("log", t, "", "")
-    for section in vocab.FLASH_SECTIONS:
-        for t in vocab.FLASH_TEMPLATES:
-            kinds[f"anomaly_logs-{section}-{t}"] = ("flash", t, "", "")
-        kinds[f"anomaly_logs-{section}_count"] = ("log", vocab.FLASH_COUNT, "", "")
-    for k in vocab.KPIS:
-        for token in vocab.SEGMENT_TOKENS:
-            for stat in vocab.STAT_TOKENS:
-                kinds[f"anomaly_kpi-{k}-{stat}_{token}"] = ("kpi", k, token, stat)
-    return [
-        [F.lit(name).alias("name"), *[F.lit(x).alias(a) for x, a in zip(kinds.get(name, ("always", "", "", "")), ("kind", "a", "b", "c"))]]
-        for name in feature_names(FULL_SELECTION)
-    ]
-
-
 def as_array(features: DataFrame, keep=("scenario", "idx")) -> tuple[DataFrame, list[str]]:
     """Wide features as one `features` array plus the list of names, for the tree jobs."""
     names = [c for c in features.columns if c not in keep]

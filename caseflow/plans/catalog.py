@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseflow.plans import ranking, windows
+from caseflow.plans import documents, ranking, windows
 
-MODULES = (ranking, windows)
+MODULES = (ranking, windows, documents)
 
 
 def queries():

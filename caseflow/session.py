@@ -23,5 +23,6 @@ def local_session(app: str = "caseflow", cpus: str | int = "*", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("CASEFLOW_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
