@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseflow.plans import documents, ranking, windows
+from caseflow.plans import answers, backfills, documents, ranking, trees, windows
 
-MODULES = (ranking, windows, documents)
+MODULES = (ranking, windows, documents, answers, backfills, trees)
 
 
 def queries():
