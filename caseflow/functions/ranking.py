@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,12 @@ from caseflow.functions.text import after_think, strip
 from caseflow.functions.variants import get, is_object, is_string
 
 STRICT = {"allowSingleQuotes": "false"}
-LENIENT = {"allowSingleQuotes": "true"}
+LENIENT = {"allowSingleQuotes": "false", "allowBackslashEscapingAnyCharacter": "true"}
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once per row, although it is used inside inner lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def straight_quotes(text: Column) -> Column:
@@ -34,7 +41,10 @@ def json_rankings(text: Column, candidates: Column) -> Column:
     The piece up to the next `[` is tried first; only an array that goes on beyond it (nested arrays,
     brackets inside strings) is decoded from the whole rest of the text.
     """
-    pieces = F.split(text, r"\[", -1)
+    return let(F.split(text, r"\[", -1), lambda pieces: _json_rankings(pieces, candidates))
+
+
+def _json_rankings(pieces: Column, candidates: Column) -> Column:
     starts = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(
         F.array().cast("array<int>")
     )
@@ -49,19 +59,52 @@ def json_rankings(text: Column, candidates: Column) -> Column:
     return F.transform(plausible, lambda k: ranking_of(decode(k), candidates))
 
 
-def literal_rankings(text: Column, candidates: Column) -> Column:
-    """Rankings of flat bracket blocks written with single quotes, trailing commas or `...`."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(\[[^\[\]]*\])"), F.lit(1))
+def literal_as_json(block: Column) -> Column:
+    """JSON text of a flat bracket block written as a Python literal; broken text for anything else.
+
+    The block is cut into strings, words and punctuation, so nothing inside a string is touched. Strings get
+    double quotes, neighbouring strings join, trailing commas go, None / True / False / ... become null and
+    other words make the text invalid, as they do for a literal.
+    """
+    string = r""" "(?:[^"\\\n]|\\.)*+" | '(?:[^'\\\n]|\\.)*+' """.replace(" ", "")
+    found = F.regexp_extract_all(block, F.lit(rf"""({string}|[\[\](){{}},:]|[^"'\s\[\](){{}},:]++|["'])"""), F.lit(1))
+    return let(found, _joined_tokens)
+
+
+def _joined_tokens(tokens: Column) -> Column:
+    def is_string(i: Column) -> Column:
+        token = F.get(tokens, i)  # a lone quote mark is a token of length 1
+        return F.coalesce((F.length(token) > 1) & F.left(token, F.lit(1)).isin("'", '"'), F.lit(False))
 
-    def decode(block: Column) -> Column:
-        tidy = F.regexp_replace(block, r",\s*(\.\.\.|…)(?=\s*[,\]])", "")
-        tidy = F.regexp_replace(tidy, r",\s*\]$", "]")
-        tidy = F.regexp_replace(tidy, r"(?<=[\[,:\s])(None|True|False)(?=\s*[,\]}])", "null")
-        return F.coalesce(
-            F.from_json(block, "array<variant>", LENIENT), F.from_json(tidy, "array<variant>", LENIENT)
+    def rewrite(token: Column, i: Column) -> Column:
+        body = F.substring(token, F.lit(2), F.length(token) - 2)
+        body = F.when(F.left(token, F.lit(1)) == "'", F.regexp_replace(body, r'(?<!\\)"', r'\\"')).otherwise(body)
+        text = F.concat(
+            F.when(is_string(i - 1), "").otherwise('"'), body, F.when(is_string(i + 1), "").otherwise('"')
         )
+        closes = F.coalesce(F.get(tokens, i + 1).isin("]", "}", ")"), F.lit(False))
+        return (
+            F.when(is_string(i), text)
+            .when(token == ",", F.when(closes, "").otherwise(","))
+            .when(token.isin("(", "["), "[")
+            .when(token.isin(")", "]"), "]")
+            .when(token.isin("{", "}", ":"), token)
+            .when(token.isin("None", "True", "False", "..."), "null")
+            .when(token.rlike(r"^[-+]?\d+(\.\d+)?([eE][-+]?\d+)?$"), token)
+            .otherwise("!")
+        )
+
+    return F.array_join(F.transform(tokens, rewrite), "")
+
 
-    return F.transform(blocks, lambda b: ranking_of(decode(b), candidates))
+def literal_rankings(text: Column, candidates: Column) -> Column:
+    """Rankings of the flat bracket blocks that are Python literals, in order of position."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(\[[^\[\]]*\])"), F.lit(1))
+    # Without a quote there is no name in the block.
+    named = F.filter(blocks, lambda b: b.rlike("[\"']"))
+    return F.transform(
+        named, lambda b: ranking_of(F.from_json(literal_as_json(b), "array<variant>", LENIENT), candidates)
+    )
 
 
 def all_rankings(text: Column, candidates: Column) -> Column:
@@ -82,11 +125,14 @@ def best_ranking(rankings: Column) -> Column:
 def mention_ranking(text: Column, candidates: Column) -> Column:
     """Candidates by first mention in the closing part of the final answer; null when none is named."""
     closing = F.right(after_think(text), F.lit(vocab.FALLBACK_TAIL))
-    placed = F.transform(
-        candidates, lambda c: F.struct(F.call_function("position", c, closing).alias("at"), c.alias("name"))
-    )
-    named = F.transform(F.array_sort(F.filter(placed, lambda p: p["at"] > 0)), lambda p: p["name"])
-    return F.when(F.size(named) > 0, named)
+
+    def place(tail: Column) -> Column:
+        return F.transform(
+            candidates, lambda c: F.struct(F.call_function("position", c, tail).alias("at"), c.alias("name"))
+        )
+
+    named = F.transform(F.array_sort(F.filter(let(closing, place), lambda p: p["at"] > 0)), lambda p: p["name"])
+    return let(named, lambda names: F.when(F.size(names) > 0, names))
 
 
 def truth_rank(ranking: Column, truth: Column) -> Column:

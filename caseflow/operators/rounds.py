@@ -90,6 +90,8 @@ def competition(
 ) -> tuple[DataFrame, DataFrame]:
     """Three samples per case, merged, then verified: (responses, accounting).
 
+    `cases` is read by every stage and should be a stored table.
+
     `{reasoner_outputs}` in the verifier template is the merged text, cut in the middle when too long.
     """
     with_sop = cases.filter(~is_blank(F.col("sop")))
@@ -125,6 +127,8 @@ def cooperation(
 ) -> tuple[DataFrame, DataFrame]:
     """Meta and reasoner take turns until the stop marker or `max_rounds`: (responses, state).
 
+    `cases` is read by every half round and should be a stored table.
+
     Each half round is one job over the cases still active, written to the shared folder; the driver only
     asks whether any case is left. Meta sees `{last_round_outputs}`, the reasoner sees `{meta_output}`. A
     missing answer fails the case. `state` has rounds, stopped, failed, status per case.

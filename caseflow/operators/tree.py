@@ -31,7 +31,8 @@ def node_of(splits: Column, features: Column, depth: int | Column) -> Column:
 
     Values are compared as 32-bit floats, like in training.
     """
-    steps = F.sequence(F.lit(1), F.lit(depth) if isinstance(depth, int) else depth)
+    limit = F.lit(depth) if isinstance(depth, int) else depth
+    steps = F.slice(F.sequence(F.lit(1), F.greatest(limit, F.lit(1))), F.lit(1), limit)
 
     def step(node: Column, _level: Column) -> Column:
         split = F.try_element_at(splits, node)

@@ -16,6 +16,7 @@ from caseflow.functions.logs import flash_count as flash_count_of
 from caseflow.operators import features as feat
 from caseflow.operators import rounds
 from caseflow.plans.common import Registry, joined, table
+from caseflow.scale import spread
 from caseflow.sources import labels
 
 registry = Registry()
@@ -145,6 +146,7 @@ def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("v"),
         F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("k"),
     )
+    events = spread(events)
     return labels.with_document(events.select("scenario", F.col("e").alias("idx"), F.expr(document_sql()).alias("body")))
 
 

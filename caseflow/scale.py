@@ -6,6 +6,7 @@ collects a whole group in one task:
 * `with_position` numbers the rows of a group through buckets of the integer index;
 * `range_parts` pins range partitions, over which running sums combine like over buckets;
 * `skew_join` salts the keys that are proven to be heavy;
+* `spread` uses all cores for heavy row-wise work on few input partitions;
 * `materialize` cuts lineage with a written table in the cluster's shared folder.
 """
 
@@ -55,6 +56,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread few input partitions over all cores, for narrow rows ahead of heavy row-wise work.
+
+    Inputs that already have as many partitions as cores are left alone, so large inputs do not shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def with_position(
     df: DataFrame,
     keys: Sequence[str],

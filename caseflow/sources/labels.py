@@ -217,7 +217,11 @@ def sop_text(value: Column) -> Column:
 
 
 def project_cases(labels: DataFrame) -> DataFrame:
-    """Flatten documents to the case table. Needs scenario, idx, doc; other columns pass through."""
+    """Flatten documents to the case table. Needs scenario, idx, doc; other columns pass through.
+
+    Store the result before filtering on its columns: the planner pushes such a filter below this projection
+    and would then parse every document again for the filter.
+    """
     doc = F.col("doc")
     sem = semantic_labels(doc)
     return labels.select(
