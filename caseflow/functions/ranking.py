@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caseflow import vocab
-from caseflow.functions.text import after_think, strip
+from caseflow.functions.text import after_think, let, strip
 from caseflow.functions.variants import get, is_object, is_string
 
 STRICT = {"allowSingleQuotes": "false"}
 LENIENT = {"allowSingleQuotes": "false", "allowBackslashEscapingAnyCharacter": "true"}
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with `value` computed once per row, although it is used inside inner lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def straight_quotes(text: Column) -> Column:
     return F.translate(text, "“”‘’", "\"\"''")
 

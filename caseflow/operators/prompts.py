@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow import vocab
-from caseflow.functions.text import render, truncate_middle
+from caseflow.functions.text import let, render, truncate_middle
 from caseflow.functions.variants import child
 
 CASE = ["scenario", "case_idx"]
@@ -41,42 +41,52 @@ def chars(text: Column) -> Column:
 
 
 # --- budget -----------------------------------------------------------------------------------
-def cut_logs(logs: Column, keep: Column, original: Column) -> Column:
-    """JSON object with the first and last parts of an oversized log block, `keep` characters in all."""
-    head = F.floor(keep / 2).cast("int")
-    tail = keep - head
+def cut_logs(head: Column, tail: Column, keep: Column, original: Column) -> Column:
+    """JSON object with the first and last characters of an oversized log block, `keep` in all.
+
+    `head` and `tail` are the block itself or long enough ends of it.
+    """
+    first = F.floor(keep / 2).cast("int")
     return F.to_json(
         F.struct(
             F.lit(True).alias("__truncated__"),
             F.lit(vocab.LOG_CUT_NOTE).alias("__note__"),
             original.alias("__original_token_count__"),
-            F.left(logs, head).alias("__head__"),
-            F.right(logs, tail).alias("__tail__"),
+            F.left(head, first).alias("__head__"),
+            F.right(tail, keep - first).alias("__tail__"),
         )
     )
 
 
-def fit_logs(logs: Column, room: Column, count: Callable[[Column], Column] = chars) -> Column:
+def fit_logs(logs: Column, room: int | Column, count: Callable[[Column], Column] = chars) -> Column:
     """struct(text, retained): the largest head/tail cut of `logs` that fits into `room` tokens.
 
     Lengths grow with the kept part (JSON escapes included), so the largest fitting cut is found by
-    halving inside the row. When not even the empty cut fits, it is returned with retained 0.
+    halving inside the row. When not even the empty cut fits, it is returned with retained 0. With the
+    default counter no more than `room` characters can stay, so the search only handles the two ends.
     """
-    size = F.length(logs)
-    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(size, F.lit(2)))).cast("int") + 1)
-
-    def halve(range_: Column, _i: Column) -> Column:
-        low, high = range_["low"], range_["high"]
-        middle = F.floor((low + high + 1) / 2).cast("int")
-        fits = count(cut_logs(logs, middle, count(logs))) <= room
-        return F.struct(
-            F.when(fits, middle).otherwise(low).alias("low"),
-            F.when(fits, high).otherwise(middle - 1).alias("high"),
-        )
-
-    start = F.struct(F.lit(0).alias("low"), F.greatest(size - 1, F.lit(0)).alias("high"))
-    kept = F.aggregate(rounds, start, halve)["low"]
-    return F.struct(cut_logs(logs, kept, count(logs)).alias("text"), kept.alias("retained"))
+    room = F.greatest(F.lit(room) if isinstance(room, int) else room, F.lit(0))
+    most = F.greatest(F.length(logs) - 1, F.lit(0))
+    if count is chars:
+        most = F.least(most, room)
+    ends = F.struct(F.left(logs, most).alias("head"), F.right(logs, most).alias("tail"), most.alias("most"), count(logs).alias("original"))
+
+    def search(e: Column) -> Column:
+        def halve(range_: Column, _i: Column) -> Column:
+            low, high = range_["low"], range_["high"]
+            middle = F.floor((low + high + 1) / 2).cast("int")
+            fits = count(cut_logs(e["head"], e["tail"], middle, e["original"])) <= room
+            return F.struct(
+                F.when(fits, middle).otherwise(low).alias("low"),
+                F.when(fits, high).otherwise(middle - 1).alias("high"),
+            )
+
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(e["most"], F.lit(2)))).cast("int") + 1)
+        start = F.struct(F.lit(0).alias("low"), e["most"].alias("high"))
+        kept = F.aggregate(steps, start, halve)["low"]
+        return let(kept, lambda k: F.struct(cut_logs(e["head"], e["tail"], k, e["original"]).alias("text"), k.alias("retained")))
+
+    return let(ends, search)
 
 
 def input_budget(model_length: int = vocab.MODEL_LENGTH, output: int = vocab.OUTPUT_TOKENS, safety: int = vocab.SAFETY_TOKENS) -> int:

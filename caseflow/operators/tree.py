@@ -86,10 +86,15 @@ def best_splits(counts: DataFrame, totals: DataFrame, keys: Sequence[str], min_l
     group = [*keys, "node", "feature"]
     part = [*group, "_part"]
     parted = range_parts(counts.withColumn("n", F.col("n").cast("double")), [*group, "value"], "value_counts")
-    class_total = totals.select(*keys, "node", "label", F.col("n").cast("double").alias("class_n"))
-    node_total = totals.groupBy(*keys, "node").agg(
-        F.sum("n").cast("double").alias("node_n"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("node_squares"),
+    class_n = F.col("n").cast("double")
+    whole_node = Window.partitionBy(*keys, "node")  # over the classes of a node
+    class_total = totals.select(
+        *keys,
+        "node",
+        "label",
+        class_n.alias("class_n"),
+        F.sum(class_n).over(whole_node).alias("node_n"),
+        F.sum(class_n * class_n).over(whole_node).alias("node_squares"),
     )
 
     # Per (part, class): rows of the class before the part. Per part: sums before it, next part's first value.
@@ -104,12 +109,16 @@ def best_splits(counts: DataFrame, totals: DataFrame, keys: Sequence[str], min_l
         F.sum(2 * before * t + t * t).alias("left"),
         F.sum(t * t - 2 * (F.col("class_n") - before) * t).alias("right"),
         F.min("first").alias("first"),
+        F.max("node_n").alias("node_n"),
+        F.max("node_squares").alias("node_squares"),
     )
     parts_before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     part_before = part_sums.select(
         *part,
         *[F.coalesce(F.sum(c).over(parts_before), F.lit(0.0)).alias(f"{c}_before") for c in ("n", "left", "right")],
         F.lead("first").over(Window.partitionBy(*group).orderBy("_part")).alias("following"),
+        "node_n",
+        "node_squares",
     )
 
     # Inside the parts: one exchange serves the class windows, the value sums and the value windows.
@@ -129,11 +138,12 @@ def best_splits(counts: DataFrame, totals: DataFrame, keys: Sequence[str], min_l
         "value",
         *[(F.col(f"{c}_before") + F.sum(c).over(to_here)).alias(c) for c in ("n", "left", "right")],
         F.coalesce(F.lead("value").over(in_order), F.col("following")).alias("next_value"),
+        "node_n",
+        "node_squares",
     )
     left_n, right_n = F.col("n"), F.col("node_n") - F.col("n")
     scored = (
-        running.join(node_total, [*keys, "node"])
-        .filter(F.col("next_value").isNotNull() & (left_n >= min_leaf) & (right_n >= min_leaf))
+        running.filter(F.col("next_value").isNotNull() & (left_n >= min_leaf) & (right_n >= min_leaf))
         .withColumn("score", F.col("left") / left_n + (F.col("node_squares") + F.col("right")) / right_n)
         .withColumn("threshold", (F.col("value") + F.col("next_value")) / 2)
     )
@@ -184,10 +194,10 @@ def fit(
         counted = level if counted is None else counted.unionByName(level)
         if depth == max_depth:
             break
-        by_node = level.groupBy(*keys, "node").agg(F.sum("n").alias("node_n"), F.count(F.lit(1)).alias("classes"))
-        open_ = by_node.filter((F.col("classes") > 1) & (F.col("node_n") >= 2 * min_leaf)).select(*keys, "node")
-        searched = placed.join(open_, [*keys, "node"], "left_semi")
-        totals = level.join(open_, [*keys, "node"], "left_semi")
+        node = Window.partitionBy(*keys, "node")  # over the classes of a node
+        sized = level.select("*", F.sum("n").over(node).alias("node_n"), F.count(F.lit(1)).over(node).alias("classes"))
+        totals = sized.filter((F.col("classes") > 1) & (F.col("node_n") >= 2 * min_leaf)).select(*level.columns)
+        searched = placed.join(totals.select(*keys, "node"), [*keys, "node"], "left_semi")
         found = materialize(best_splits(value_counts(searched, keys), totals, keys, min_leaf), f"splits_{depth}")
         splits = found if splits is None else splits.unionByName(found)
         if found.isEmpty():

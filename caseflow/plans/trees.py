@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.operators import tree
 from caseflow.plans.common import Registry, r6, table
+from caseflow.scale import spread
 
 registry = Registry()
 
@@ -15,8 +16,8 @@ NAMES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.select(
+    lines = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_orderkey", "l_returnflag", *NAMES)
+    return spread(lines).select(
         F.col("l_linestatus").alias("status"),
         "l_orderkey",
         F.array(*[F.col(n).cast("double") for n in NAMES]).alias("features"),

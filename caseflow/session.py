@@ -20,6 +20,8 @@ def local_session(app: str = "caseflow", cpus: str | int = "*", shuffle_partitio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Lists here are short (bounded by a domain or a batch), so hash aggregation holds many of them.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "50000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("CASEFLOW_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
