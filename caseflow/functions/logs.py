@@ -13,7 +13,7 @@ from caseflow.functions.variants import get, path_of
 
 def counter(logs: Column, section: str, template: str) -> Column:
     """Integer counter of one template in one section; 0 when missing or not a number."""
-    return F.coalesce(get(logs, path_of(section, template), "double").cast("int"), F.lit(0))
+    return F.coalesce(get(logs, path_of(section, template), "double").try_cast("bigint"), F.lit(0))
 
 
 def flash_count(count_of: Callable[[str], Column], pairs=vocab.FLASH_PAIRS, single=vocab.FLASH_SINGLE) -> Column:

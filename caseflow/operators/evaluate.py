@@ -58,9 +58,16 @@ def ratios(sums: DataFrame, keys: list[str], extra: list[Column] | None = None)
 
 
 def roll_up(parts: DataFrame, keys: list[str], sums) -> DataFrame:
-    """Add an `overall` row over all scopes. `parts` is already aggregated, one row per scope."""
-    overall = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("scope", F.lit(OVERALL))
-    return parts.unionByName(overall)
+    """Add an `overall` row over all scopes (`_all` marks it).
+
+    `parts` is already aggregated, one row per scope; each row counts for its scope and for the whole, so the
+    big table below is read once.
+    """
+    scopes = F.array(
+        F.struct(F.col("scope"), F.lit(False).alias("all")), F.struct(F.lit(OVERALL).alias("scope"), F.lit(True).alias("all"))
+    )
+    both = parts.withColumn("_s", F.explode(scopes)).select(*keys, "_s.scope", F.col("_s.all").alias("_all"), *sums)
+    return both.groupBy(*keys, "scope", "_all").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def leaderboard(ranked: DataFrame, runs: DataFrame) -> DataFrame:
@@ -72,7 +79,7 @@ def leaderboard(ranked: DataFrame, runs: DataFrame) -> DataFrame:
     keys = ["method"]
     parts = ranked.groupBy("method", F.col("scenario").alias("scope")).agg(*metric_sums())
     times = runs.groupBy("method", F.col("scenario").alias("scope")).agg(F.sum("elapsed_seconds").alias("elapsed_seconds"))
-    scored = roll_up(parts, keys, SUM_COLUMNS).join(roll_up(times, keys, ["elapsed_seconds"]), ["method", "scope"], "left")
+    scored = roll_up(parts, keys, SUM_COLUMNS).join(roll_up(times, keys, ["elapsed_seconds"]), ["method", "scope", "_all"], "left")
     scored = scored.withColumn("elapsed_seconds", F.coalesce("elapsed_seconds", F.lit(0.0)))
     average = F.col("elapsed_seconds") / F.nullif(F.col("evaluated_count"), F.lit(0))
     return ratios(

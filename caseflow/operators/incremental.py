@@ -195,14 +195,18 @@ def stage_specs(cases: DataFrame, block_size: int) -> DataFrame:
     )
 
 
-def with_stages(cases: DataFrame, specs: DataFrame) -> DataFrame:
+def with_stages(cases: DataFrame, block_size: int) -> DataFrame:
     """Rows of every stage with `part` = train / infer, for the tree jobs.
 
-    The output is one row per (stage, case) by definition; stages are bounded by the caller's window.
+    A case of block b is inferred in stage b and trains all later stages, so its stages follow from its
+    position and no join with a stage table is needed. The output is one row per (stage, case) by definition;
+    the caller's window bounds the number of stages.
     """
-    joined = cases.join(specs, "scenario").filter(F.col("idx") <= F.col("infer_last_idx"))
-    part = F.when(F.col("idx") <= F.col("train_last_idx"), "train").when(F.col("idx") >= F.col("infer_first_idx"), "infer")
-    return joined.select(*cases.columns, "stage", part.alias("part")).filter(F.col("part").isNotNull())
+    placed = with_position(cases, ["scenario"], "idx").filter(F.col("group_n") >= 2 * block_size)
+    block, last = F.expr(f"(position - 1) div {block_size}L"), F.expr(f"(group_n - 1) div {block_size}L")
+    stages = F.sequence(F.greatest(block, F.lit(1)), last).cast("array<int>")
+    expanded = placed.select(*cases.columns, block.alias("_block"), F.explode(stages).alias("stage"))
+    return expanded.withColumn("part", F.when(F.col("stage") == F.col("_block"), "infer").otherwise("train")).drop("_block")
 
 
 # --- validation -------------------------------------------------------------------------------

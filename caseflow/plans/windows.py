@@ -138,6 +138,21 @@ def tree_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.stage_specs(cases(spark, sf_dir), 50)
 
 
+@registry.add("""WITH numbered AS (
+  SELECT event_type AS scenario, event_id AS idx, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 500 AS block
+  FROM events),
+stages AS (SELECT DISTINCT scenario, block AS stage FROM numbered WHERE block > 0)
+SELECT s.scenario, s.stage::INT AS stage, CASE WHEN n.block = s.stage THEN 'infer' ELSE 'train' END AS part, count(*) AS n,
+       min(idx) AS first_idx, max(idx) AS last_idx
+FROM stages s JOIN numbered n ON n.scenario = s.scenario AND n.block <= s.stage
+WHERE s.scenario IN (SELECT event_type FROM events GROUP BY 1 HAVING count(*) >= 1000) GROUP BY 1, 2, 3""")
+def stage_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = inc.with_stages(cases(spark, sf_dir).select("scenario", "idx"), 500)
+    return members.groupBy("scenario", "stage", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")
+    )
+
+
 @registry.add("""SELECT event_type AS scenario, count(*) FILTER (event_id BETWEEN 51 AND 250) AS case_count,
        count(*) FILTER (event_id BETWEEN 51 AND 250) = 40 AS as_expected FROM events GROUP BY 1""")
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 # One bucket holds at most this many rows of a group, because the index is unique in its group.
 BUCKET_WIDTH = 1 << 20
 
+# Temporary folder per local application without a configured one.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediates: the session's `spark.checkpoint.dir`.
@@ -34,9 +37,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="caseflow-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="caseflow-")
+    return _LOCAL_FOLDERS[app]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

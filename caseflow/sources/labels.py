@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow import vocab
-from caseflow.functions.text import clean_distinct, is_blank, strip
+from caseflow.functions.text import clean_distinct, is_blank
 from caseflow.functions.variants import (
     child,
     first_truthy_text,
@@ -80,7 +80,7 @@ def index_from_name(file_name: Column, scenario: Column) -> Column:
     )
     anchored = F.regexp_extract(rest, r"^(\d+)_label_.*\.json$", 1)
     loose = F.regexp_extract(file_name, vocab.LOOSE_INDEX, 1)
-    return F.coalesce(F.nullif(anchored, F.lit("")), F.nullif(loose, F.lit(""))).cast("bigint")
+    return F.coalesce(F.nullif(anchored, F.lit("")), F.nullif(loose, F.lit(""))).try_cast("bigint")
 
 
 def discover(files: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def match_names(file_name: Column, scenario: Column, names) -> Column:
         subject = rest if prefixed else file_name
         idx = F.regexp_extract(subject, pattern, 1)
         hit = F.coalesce(idx != "", F.lit(False))
-        value = F.struct(F.lit(priority).alias("pri"), idx.cast("bigint").alias("idx"))
+        value = F.struct(F.lit(priority).alias("pri"), idx.try_cast("bigint").alias("idx"))
         match = F.when(hit, value) if match is None else match.when(hit, value)
     return match
 
@@ -249,6 +249,3 @@ def load_cases(spark: SparkSession, root: str, selected: DataFrame | None = None
 def has_sop(sop: Column) -> Column:
     return ~is_blank(sop)
 
-
-def strip_name(name: Column) -> Column:
-    return strip(name)

@@ -107,16 +107,16 @@ def read_response_tree(spark: SparkSession, root: str, layout: str) -> DataFrame
         pattern = r"/(\d+)/round(\d+)/([^/]+)/[^/]+$"
         return raw.select(
             F.lit(None).cast("string").alias("scenario"),
-            F.regexp_extract("path", pattern, 1).cast("bigint").alias("case_idx"),
+            F.regexp_extract("path", pattern, 1).try_cast("bigint").alias("case_idx"),
             F.regexp_extract("path", pattern, 3).alias("role"),
-            F.regexp_extract("path", pattern, 2).cast("int").alias("round"),
+            F.regexp_extract("path", pattern, 2).try_cast("int").alias("round"),
             "path",
             "text",
         )
     pattern = r"/([^/]+)_analysis_(Meta|Reasoner)_(\d+)/[^/]+$"
     return raw.select(
         F.regexp_extract("path", pattern, 1).alias("scenario"),
-        F.regexp_extract("path", pattern, 3).cast("bigint").alias("case_idx"),
+        F.regexp_extract("path", pattern, 3).try_cast("bigint").alias("case_idx"),
         F.when(F.regexp_extract("path", pattern, 2) == "Reasoner", "verifier").otherwise("competition").alias("role"),
         F.lit(None).cast("int").alias("round"),
         "path",

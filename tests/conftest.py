@@ -7,11 +7,9 @@ sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).res
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from caseflow.session import local_session
 
     session = local_session("tests", 8, 4)
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     return session

@@ -45,7 +45,7 @@ def test_stages_and_train_window(spark):
     specs = {r.stage: r for r in inc.stage_specs(window, 50).collect()}
     assert sorted(specs) == [1, 2, 3]
     assert (specs[2].train_n, specs[2].train_last_idx, specs[2].infer_first_idx, specs[2].infer_last_idx) == (100, 150, 151, 200)
-    members = inc.with_stages(window, inc.stage_specs(window, 50)).groupBy("stage", "part").count().collect()
+    members = inc.with_stages(window, 50).groupBy("stage", "part").count().collect()
     assert {(r.stage, r.part): r["count"] for r in members} == {(s, p): n for s in (1, 2, 3) for p, n in (("train", 50 * s), ("infer", 50))}
     train = inc.trailing_train_window(cases, inc.select_window(cases, 60, 70), 5)
     assert sorted(r.idx for r in train.collect()) == [55, 56, 57, 58, 59]
