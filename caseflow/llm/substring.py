@@ -86,8 +86,11 @@ def repeated_windows(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
                 out = [one, two, ids[block.lo + rows], crcs[rows], (starts - w.bounds[rows]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["one", "two", "id", "crc", "start"])
 
-    found = materialize(source.mapInArrow(windows, "one bigint, two bigint, id bigint, crc bigint, start int"), "windows")
+    found = source.mapInArrow(windows, "one bigint, two bigint, id bigint, crc bigint, start int")
+    # The scan runs again for the join: reading the texts once more is cheaper than keeping the windows.
     first = found.groupBy("one", "two").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
+    # Written, so that the join has an exchange on either side and its hot windows can be split.
+    first = materialize(first, "repeated")
     return found.join(first, ["one", "two"]).filter("id > lo").select("id", "crc", "start")
 
 
