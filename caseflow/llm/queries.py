@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import ngram_join, substring
+from caseflow.llm import ann, decontaminate, language, mixing, ngram_join, secrets, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,12 +22,120 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op2_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out("doc_id", 4, 2))
+    model = language.train(docs.filter("NOT held_out"))
+    return language.identify(docs, model, columns=("doc_id", "held_out"))
+
+
+@query
+def op3_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"),
+    )
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_components(table(spark, sf_dir, "documents"), size=3, percent=90)
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.digests(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), width=13))
+    return found.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_hit").alias("n_hit"),
+        F.size("_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        F.col("_contaminated").alias("contaminated"),
+    )
+
+
+SQL["op6_fm_index_decontamination"] = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS p
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM phrases),
+starts AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS p
+  FROM d, lengths, unnest(range(1, len(w) - n + 2)) AS t(i)),
+hits AS (SELECT doc_id, i, s.n, item_id FROM starts s JOIN phrases p ON s.p = p.p AND s.n = p.n),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hits, unnest(range(i, i + n)) AS t(k) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+  FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+
+@query
+def op7_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+@query
+def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"), seed="mix")
+    return mixed.drop("_order").withColumnRenamed("_copy", "copy_no")
+
+
+SQL["op9_poisson_mix"] = """
+WITH sizes AS (
+  SELECT source, sum(coalesce(strlen(text), 0) + 1) AS b FROM documents GROUP BY source),
+rates AS (
+  SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM sizes)) * (SELECT sum(b) FROM sizes)::DOUBLE / b::DOUBLE AS rate FROM sizes),
+terms AS (
+  SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS term
+  FROM rates, unnest(range(0, CAST(rate + 12 * sqrt(rate) + 40 AS BIGINT))) AS t(k)),
+steps AS (
+  SELECT source, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS step FROM terms),
+drawn AS (
+  SELECT *, (('0x' || md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:12])::UBIGINT + 0.5::DOUBLE)
+    / 281474976710656.0::DOUBLE AS u FROM documents),
+counted AS (
+  SELECT d.*, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM d.source AND s.step < d.u) AS n FROM drawn d)
+SELECT doc_id, text, lang, source, n_chars, CAST(c AS INTEGER) AS copy_no
+FROM counted, unnest(range(1, n + 1)) AS t(c)
+"""
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup_substrings(table(spark, sf_dir, "documents"), width=13)

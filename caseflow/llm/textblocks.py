@@ -113,6 +113,17 @@ def words(block: Block, member: np.ndarray, fold: np.ndarray) -> Words:
     return Words(start, end, hashes, np.searchsorted(start, block.bounds).astype(np.int64))
 
 
+def rolling_words(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of code points."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    powers = _POWERS if length.max() <= len(_POWERS) else _powers(_BASE, int(length.max()))
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    values = mix(points[np.repeat(start, length) + place].astype(np.uint64) + np.uint64(1))
+    return mix(np.add.reduceat(values * powers[place], first) + length.astype(np.uint64))
+
+
 def rolling(hashes: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     """Rabin-Karp hash (modulo 2^64) of every `width` consecutive values."""
     n = len(hashes) - width + 1
