@@ -145,7 +145,7 @@ def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return points, base, length, np.searchsorted(bounds, base, "right") - 1
 
 
-def _portions(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def portions(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of runs of rows with about CHARS characters; null is empty."""
     first, texts, size = 0, [], 0
     for i, text in enumerate(column.to_pylist()):
@@ -158,7 +158,7 @@ def _portions(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, texts
 
 
-def _distinct(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct_words(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index of every distinct word, and the distinct word of every word."""
     _, first, which = np.unique(rolling_words(points, start, length), return_index=True, return_inverse=True)
     return first, which
@@ -181,13 +181,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tongues = np.asarray(batch.column(1).to_pylist(), object)
-            for at, texts in _portions(batch.column(0)):
+            for at, texts in portions(batch.column(0)):
                 points, start, length, row = letter_runs(texts)
                 for tongue in sorted(set(tongues[at : at + len(texts)])):
                     own = np.flatnonzero(tongues[at + row] == tongue)
                     if not len(own):
                         continue
-                    first, which = _distinct(points, start[own], length[own])
+                    first, which = distinct_words(points, start[own], length[own])
                     body = [points[start[own[i]] : start[own[i]] + length[own[i]]].tobytes().decode("utf-32-le", "surrogatepass") for i in first]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([tongue] * len(body), pa.string()), pa.array(body, pa.string()), pa.array(np.bincount(which))], ["lang", "word", "n"]
@@ -230,7 +230,7 @@ def log_likelihoods(lattice: Lattice, texts: list[str]) -> tuple[np.ndarray, np.
     words = np.bincount(row, minlength=len(texts)) if len(row) else np.zeros(len(texts), np.int64)
     out = np.zeros((len(texts), len(lattice.languages)))
     if len(row) and len(lattice.languages):
-        first, which = _distinct(points, start, length)
+        first, which = distinct_words(points, start, length)
         logs = np.zeros((len(first), len(lattice.languages)))
         for own, codes in by_length(points, start[first], length[first], lattice.symbols):
             logs[own] = np.log(lattice.forward(codes, lattice.p)[:, -1])
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, lattice: Lattice, text: str = "text", columns: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for at, texts in _portions(batch.column(len(columns))):
+            for at, texts in portions(batch.column(len(columns))):
                 logs, words = log_likelihoods(model, texts)
                 known = (words > 0) & (len(model.languages) > 0)
                 best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import ann, decontaminate, language, mixing, ngram_join, secrets, sharding, substring
+from caseflow.llm import ann, decontaminate, language, mixing, ngram_join, quality, secrets, sharding, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,6 +56,15 @@ def op3_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language.held_out("doc_id", 3, 1))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.train(docs.filter("NOT held_out").join(labels, "doc_id"), quality.word_vectors(docs))
+    found = quality.score(docs, model)
+    return found.select("doc_id", "held_out", F.col("_score").alias("score"), F.when(F.col("_score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_components(table(spark, sf_dir, "documents"), size=3, percent=90)
@@ -110,6 +119,15 @@ def op7_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+@query
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out("doc_id", 3, 1))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.filter("NOT held_out").join(labels, "doc_id"))
+    found = toxicity.score(docs, model, columns=("doc_id", "held_out"))
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 @query
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"), seed="mix")
