@@ -7,10 +7,15 @@ more rows pass and results stay the same.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.scale import materialize
+
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
 
 
@@ -40,3 +45,21 @@ def passes(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         p = (h >> np.uint64(s)) & last
         ok &= (filled[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
     return ok
+
+
+def without(docs: DataFrame, gone: DataFrame, id: str = "doc_id") -> DataFrame:
+    """Rows of `docs` whose id is not in the single column of `gone`; rows that the filter clears are not shuffled."""
+    gone = materialize(gone.select(F.col(gone.columns[0]).cast("bigint").alias("_gone")).filter("_gone IS NOT NULL").distinct(), "gone")
+    sent = docs.sparkSession.sparkContext.broadcast(build(gone.select(F.xxhash64("_gone").alias("h")), "h"))  # at most MAX_BITS
+    hashed = docs.withColumn("_h", F.xxhash64(F.col(id).cast("bigint")))
+
+    def side(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok = passes(sent.value, batch.column(batch.num_columns - 1).to_numpy()) == hit
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok)).columns[:-1], batch.schema.names[:-1])
+
+        return hashed.mapInArrow(run, docs.schema)
+
+    checked = side(True).join(gone, F.col(id).cast("bigint") == F.col("_gone"), "left_anti")
+    return side(False).unionByName(checked)

@@ -9,8 +9,9 @@ globally by a second hash.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +71,14 @@ def poisson_mix(
     A null source is a source of its own; null texts weigh one byte, as the line end that every text has.
     Rows with equal ids get equal counts, and a null id counts as the text "null". An empty table gives no rows.
     """
-    @F.udf("array<double>")
-    def steps(rate: float) -> list[float]:  # once per source, not per document
-        return poisson_steps(rate) if rate > 0 else [1.0]
 
-    rates = materialize(source_rates(docs, source, text, weights).withColumn("_steps", steps("_rate")), "rates")
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # once per source, not per document
+        for batch in batches:
+            found = [poisson_steps(r) if r > 0 else [1.0] for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["_source", "_steps"])
+
+    rates = source_rates(docs, source, text, weights).mapInArrow(steps, "_source string, _steps array<double>")
+    rates = materialize(rates, "rates")
     key = F.coalesce(F.col(id).cast("string"), F.lit("null"))
     drawn = docs.withColumn("_u", uniform(F.lit(seed), key)).join(
         rates, F.col(source).cast("string").eqNullSafe(F.col("_source")), "inner"
