@@ -6,13 +6,15 @@ chi-squared uniformity, the number of runs above and below the middle of the alp
 of neighbours. Their z-values add up to a chi-squared value of three degrees.
 
 A run is reported if the battery does not reject randomness and if it is too even for ordinary words: the p-value
-of its chi-squared statistic under letters as uneven as prose, whose mean and variance grow with the length.
+of its chi-squared statistic under ordinary letters or digits, whose mean and variance grow with the length.
 Those p-values are held to a false-discovery rate by the Benjamini-Hochberg rule within each band of lengths,
 over all candidates of the corpus, on counts per band and p-value bin.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,19 @@ ALPHABETS = (
     ("[0-9A-Za-z_-]+", "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"),
     ("[+/0-9A-Za-z_-]+", "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"),
 )
-# Unevenness of letters in prose, relative to uniform ones: k * sum(q^2) and k^2 * sum(q^3).
-PROSE_SQUARES, PROSE_CUBES = 1.73, 3.8
+# Letters of English prose in percent, a to z.
+PROSE = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
 RATE, LEVEL = 0.01, 0.001
 BINS = 400
 
 
+def ordinary_shares(alphabet: str) -> list[float]:
+    """Shares of the characters that ordinary text would draw from an alphabet: letters as in prose, or digits by Benford's law."""
+    lower = sorted(set(alphabet.lower()) & set("abcdefghijklmnopqrstuvwxyz"))
+    weights = [PROSE[ord(c) - 97] for c in lower] or [math.log10(1 + 1 / d) for d in range(1, 10)]
+    return [w / sum(weights) for w in weights]
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with the value computed once per row."""
     return F.transform(F.array(value), body)[0]
@@ -82,9 +91,14 @@ def normal_cdf(z: Column) -> Column:
 
 def _battery(value: Column) -> Column:
     """struct(n, ordinary, uniform): the run's length and its two p-values."""
-    letters = F.lit(ALPHABETS[-1][1])
+    def encoding(alphabet: str) -> Column:
+        shares = ordinary_shares(alphabet)
+        sums = [F.lit(sum(q**power for q in shares)).alias(name) for power, name in ((2, "s2"), (3, "s3"))]
+        return F.struct(F.lit(alphabet).alias("letters"), *sums)
+
+    inferred = encoding(ALPHABETS[-1][1])
     for pattern, alphabet in reversed(ALPHABETS[:-1]):
-        letters = F.when(value.rlike(f"^{pattern}$"), F.lit(alphabet)).otherwise(letters)
+        inferred = F.when(value.rlike(f"^{pattern}$"), encoding(alphabet)).otherwise(inferred)
 
     def stats(x: Column) -> Column:
         codes, k = x["codes"], x["k"].cast("double")
@@ -95,7 +109,7 @@ def _battery(value: Column) -> Column:
         pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         turns = F.size(F.filter(pairs, lambda p: (p["a"] * 2 >= k) != (p["b"] * 2 >= k))).cast("double") + 1
         return _let(
-            F.struct(k.alias("k"), n.alias("n"), squares.alias("sq"), mean.alias("mean"), high.alias("hi"), turns.alias("turns"), codes.alias("codes"), pairs.alias("pairs")), tests
+            F.struct(k.alias("k"), n.alias("n"), squares.alias("sq"), mean.alias("mean"), high.alias("hi"), turns.alias("turns"), codes.alias("codes"), pairs.alias("pairs"), x["s2"].alias("s2"), x["s3"].alias("s3")), tests
         )
 
     def tests(s: Column) -> Column:
@@ -113,14 +127,17 @@ def _battery(value: Column) -> Column:
         total = F.greatest(z_chi, F.lit(0.0)) * F.greatest(z_chi, F.lit(0.0)) + z_runs * z_runs + z_serial * z_serial
         root = F.sqrt(total)
         uniform = 2 * (1 - normal_cdf(root)) + root * F.sqrt(F.lit(0.6366197723675814)) * F.exp(-total / 2)
-        s2, s3 = PROSE_SQUARES / k, PROSE_CUBES / (k * k)
+        s2, s3 = s["s2"], s["s3"]
         mean = k * (1 + (n - 1) * s2) - n
         variance = 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2) * (k / n) * (k / n)
         ordinary = normal_cdf((chi - mean) / F.sqrt(F.greatest(variance, F.lit(1e-9))))
         return F.struct(n.cast("int").alias("n"), ordinary.alias("ordinary"), uniform.alias("uniform"))
 
-    codes = _let(letters, lambda a: F.struct(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.position(c, a) - 1).alias("codes"), F.length(a).alias("k")))
-    return _let(codes, stats)
+    def coded(e: Column) -> Column:
+        codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.position(c, e["letters"]) - 1)
+        return F.struct(codes.alias("codes"), F.length(e["letters"]).alias("k"), e["s2"].alias("s2"), e["s3"].alias("s3"))
+
+    return _let(_let(inferred, coded), stats)
 
 
 def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", rate: float = RATE, level: float = LEVEL) -> DataFrame:
