@@ -204,9 +204,11 @@ def find_contamination(
     Words are runs of a-z, 0-9 and bytes over 0x7F after lower-casing A-Z. A phrase is `width` consecutive words of an
     item, or all words of a shorter one. _spans are the maximal runs of document words inside occurrences
     (word positions, end exclusive), _items the sorted ids, as strings, of the items that occur. Null texts and items
-    have no words. Repeated rows repeat in the result. Equal items under several ids are all listed.
+    have no words. Repeated rows repeat in the result. Equal items under several ids are all listed. Columns of `docs`
+    with the new names are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("_n_words", "_spans", "_items")
     given = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).filter(
         "text IS NOT NULL AND item IS NOT NULL"
     )

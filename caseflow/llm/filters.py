@@ -49,9 +49,9 @@ def passes(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def without(docs: DataFrame, gone: DataFrame, id: str = "doc_id") -> DataFrame:
     """Rows of `docs` whose id is not in the single column of `gone`; rows that the filter clears are not shuffled."""
-    gone = materialize(gone.select(F.col(gone.columns[0]).cast("bigint").alias("_gone")).filter("_gone IS NOT NULL").distinct(), "gone")
-    sent = docs.sparkSession.sparkContext.broadcast(build(gone.select(F.xxhash64("_gone").alias("h")), "h"))  # at most MAX_BITS
-    hashed = docs.withColumn("_h", F.xxhash64(F.col(id).cast("bigint")))
+    gone = materialize(gone.select(F.col(gone.columns[0]).cast("bigint").alias("__gone")).filter("__gone IS NOT NULL").distinct(), "gone")
+    sent = docs.sparkSession.sparkContext.broadcast(build(gone.select(F.xxhash64("__gone").alias("h")), "h"))  # at most MAX_BITS
+    hashed = docs.select("*", F.xxhash64(F.col(id).cast("bigint")).alias("__h"))
 
     def side(hit: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,5 +61,5 @@ def without(docs: DataFrame, gone: DataFrame, id: str = "doc_id") -> DataFrame:
 
         return hashed.mapInArrow(run, docs.schema)
 
-    checked = side(True).join(gone, F.col(id).cast("bigint") == F.col("_gone"), "left_anti")
+    checked = side(True).join(gone, F.col(id).cast("bigint") == F.col("__gone"), "left_anti")
     return side(False).unionByName(checked)

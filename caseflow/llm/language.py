@@ -195,7 +195,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
 
     counted = chosen.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint")
     counted = materialize(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    letters = counted.select(F.explode(F.split("word", "")).alias("c")).filter("c <> ''").groupBy("c").count().filter("count >= 5")
+    letters = counted.select(F.explode(F.split("word", "")).alias("c"), "n").filter("c <> ''").groupBy("c").agg(F.sum("n").alias("n")).filter("n >= 5")
     alphabet = {r["c"] for r in letters.select("c").collect()}  # at most the letters of Unicode
     model = Lattice(pieces(path, alphabet), languages)
     place = {name: i for i, name in enumerate(languages)}

@@ -68,6 +68,8 @@ def poisson_mix(
 ) -> DataFrame:
     """All columns of `docs` once per repetition, plus `_copy` (from 1) and `_order`, globally shuffled.
 
+    Columns of `docs` with the new names are replaced.
+
     A null source is a source of its own; null texts weigh one byte, as the line end that every text has.
     Rows with equal ids get equal counts, and a null id counts as the text "null". An empty table gives no rows.
     """
@@ -79,12 +81,11 @@ def poisson_mix(
 
     rates = source_rates(docs, source, text, weights).mapInArrow(steps, "_source string, _steps array<double>")
     rates = materialize(rates, "rates")
+    docs = docs.drop("_copy", "_order")
     key = F.coalesce(F.col(id).cast("string"), F.lit("null"))
-    drawn = docs.withColumn("_u", uniform(F.lit(seed), key)).join(
-        rates, F.col(source).cast("string").eqNullSafe(F.col("_source")), "inner"
-    )
-    count = F.size(F.filter("_steps", lambda step: step < F.col("_u")))
-    copies = drawn.withColumn("_count", count).filter("_count > 0")
-    copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    copies = copies.withColumn("_order", uniform(F.lit(seed), F.lit("order"), key, F.col("_copy").cast("string")))
-    return copies.select(*docs.columns, "_copy", "_order").repartition("_order").sortWithinPartitions("_order")
+    drawn = docs.select(F.struct("*").alias("doc"), key.alias("key"), F.col(source).cast("string").alias("own"), uniform(F.lit(seed), key).alias("u"))
+    drawn = drawn.join(rates, F.col("own").eqNullSafe(F.col("_source")), "inner")
+    count = F.size(F.filter("_steps", lambda step: step < F.col("u")))
+    copies = drawn.withColumn("count", count).filter("count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
+    order = uniform(F.lit(seed), F.lit("order"), F.col("key"), F.col("copy").cast("string"))
+    return copies.select("doc.*", F.col("copy").alias("_copy"), order.alias("_order")).repartition("_order").sortWithinPartitions("_order")

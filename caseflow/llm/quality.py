@@ -194,7 +194,11 @@ def predict(model: Model, column: pa.Array) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns and rows of `docs` plus `_score`, for whole texts; null and empty texts count as texts without tokens."""
+    """All columns and rows of `docs` plus `_score` (a column of that name is replaced), for whole texts.
+
+    Null and empty texts count as texts without tokens. Repeated rows repeat in the result.
+    """
+    docs = docs.drop("_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     body = docs.columns.index(text)
     schema = docs.withColumn("_score", F.lit(0.0)).schema

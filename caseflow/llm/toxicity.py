@@ -43,10 +43,16 @@ def _beginnings(word: str) -> set[str]:
 
 
 def _dictionary(words: list[str], weights: np.ndarray, size: int = DICTIONARY_BYTES) -> bytes:
-    """A trained dictionary's content over samples of ten words, drawn by weight."""
+    """A trained dictionary's content over samples of ten words, drawn by weight.
+
+    Too little different text for the trainer is its own dictionary.
+    """
     drawn = np.random.default_rng(SEED).choice(len(words), 60_000, p=weights / weights.sum())
     samples = [(" " + " ".join(words[i] for i in drawn[at : at + 10]) + " ").encode() for at in range(0, len(drawn), 10)]
-    return zstandard.train_dictionary(size, samples).as_bytes()
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -63,10 +69,13 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.toxic, self.ordinary, self.around = _compressor(model.toxic), _compressor(model.ordinary), model.around
+        self.still = 0
+        self.still = self.gain(b"")
 
     def gain(self, word: bytes) -> int:
+        """Bytes that the toxic dictionary saves on a word, beyond what it saves on the words around it."""
         window = self.around + word + b" "
-        return len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
+        return len(self.ordinary.compress(window)) - len(self.toxic.compress(window)) - self.still
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: shares of words by gain, their roots, and the logarithm of the word count."""
@@ -145,7 +154,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", id: str
     names, a, b = listed["entry"].to_pylist(), listed["a"].to_numpy(), listed["b"].to_numpy()
     marked = np.array([not marks.isdisjoint(_beginnings(w)) for w in names], bool)
     toxic, ordinary = np.flatnonzero(marked & (a > 0)), np.flatnonzero(~marked & (b > 1))
-    if not len(toxic) or len(ordinary) < 3:
+    if not len(toxic) or not len(ordinary):
         return plain
     common = ordinary[np.argsort(-b[ordinary], kind="stable")[:3]]
     model = plain._replace(
