@@ -8,12 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import ann, decontaminate, language, mixing, ngram_join, quality, secrets, sharding, substring, toxicity
+from caseflow.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Register a query with Python in its tasks."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return fn
+
+
+def native(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Register a query of DataFrame functions only."""
     QUERIES[fn.__name__] = fn
     return fn
 
@@ -22,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query
+@native
 def op1_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
     return found.select(
@@ -43,7 +56,7 @@ def op2_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, columns=("doc_id", "held_out"))
 
 
-@query
+@native
 def op3_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select(
