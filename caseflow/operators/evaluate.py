@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from caseflow import vocab
 from caseflow.functions.ranking import truth_rank
 from caseflow.functions.text import clean_distinct, strip
-from caseflow.scale import with_position
+from caseflow.scale import materialize, with_position, without_order
 
 OVERALL = "overall"
 HALVES = ("first_100", "last_100")
+NO_INDEX = "no_index"
 
 
 def rank_predictions(predictions: DataFrame) -> DataFrame:
@@ -90,12 +91,17 @@ def leaderboard(ranked: DataFrame, runs: DataFrame) -> DataFrame:
 def half_metrics(ranked: DataFrame) -> DataFrame:
     """Metrics of the first and second half of each scenario by index, and of the halves over all.
 
-    The first half has floor(n/2) cases. Only four narrow columns are moved to number the cases.
+    The first half has floor(n/2) cases. Cases without an index have no half and count under NO_INDEX. The narrow rows
+    are written once, because counting and numbering both read them.
     """
     narrow = ranked.select("method", "scenario", F.col("case_idx").alias("idx"), "groundtruth", "rank", "parse_strategy")
+    narrow = materialize(narrow, "ranked")
     placed = with_position(narrow, ["method", "scenario"], "idx")
     half = F.when(F.col("position") <= F.expr("group_n div 2"), HALVES[0]).otherwise(HALVES[1])
-    parts = placed.groupBy("method", half.alias("half"), F.col("scenario").alias("scope")).agg(*metric_sums())
+    columns = ["method", "scenario", "half", "groundtruth", "rank", "parse_strategy"]
+    halved = placed.withColumn("half", half).select(*columns)
+    lost = without_order(narrow, "idx").withColumn("half", F.lit(NO_INDEX)).select(*columns)
+    parts = halved.unionByName(lost).groupBy("method", "half", F.col("scenario").alias("scope")).agg(*metric_sums())
     return ratios(roll_up(parts, ["method", "half"], SUM_COLUMNS), ["method", "scope", "half"])
 
 

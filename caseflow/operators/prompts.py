@@ -98,7 +98,7 @@ def input_budget(model_length: int = vocab.MODEL_LENGTH, output: int = vocab.OUT
 
 def fit_prompts(
     prompts: DataFrame,
-    budget: int,
+    budget: int | None,
     *,
     before: str = "before",
     logs: str = "logs_json",
@@ -109,8 +109,18 @@ def fit_prompts(
 
     Over budget the logs shrink first, to head and tail; if that is not enough the whole prompt keeps head
     and tail around a marker. Adds prompt, original_tokens, final_tokens, truncated, truncation_strategy,
-    retained_log_tokens.
+    retained_log_tokens. Without a budget nothing is cut.
     """
+    if budget is None:
+        full = F.concat(*(F.coalesce(F.col(c), F.lit("")) for c in (before, logs, after)))
+        return (
+            prompts.withColumn("prompt", full)
+            .withColumn("original_tokens", count(F.col("prompt")))
+            .withColumn("final_tokens", F.col("original_tokens"))
+            .withColumn("truncated", F.lit(False))
+            .withColumn("truncation_strategy", F.lit("none"))
+            .withColumn("retained_log_tokens", F.lit(None).cast("int"))
+        )
     room = budget - len(vocab.PROMPT_CUT_MARK)
     if room <= 1:
         raise ValueError("the budget does not even hold the cut marker")
@@ -162,7 +172,8 @@ def build_prompts(
 ) -> DataFrame:
     """Prompts of one role. `{semantic_labels}` in the template is the evidence with its logs.
 
-    `examples` (scenario, text) appends a worked example to the cases of its scenario.
+    `examples` (scenario, text) appends a worked example to the cases of its scenario. Only a stated `budget`, in
+    tokens of `count`, cuts prompts; `input_budget()` gives that of a model.
     """
     subject = evidence_columns(cases, drop_logs_for)
     fields = {**case_fields(cases), **(extra or {})}
@@ -181,7 +192,7 @@ def build_prompts(
         .withColumn("after", F.concat(closing, render(tail, fields), suffix))
         .withColumn("_logs", F.col("logs_json") if found else F.lit(None).cast("string"))
     )
-    fitted = fit_prompts(parts, budget if budget is not None else input_budget(), logs="_logs", count=count)
+    fitted = fit_prompts(parts, budget, logs="_logs", count=count)
     stats = ["original_tokens", "final_tokens", "truncated", "truncation_strategy", "retained_log_tokens"]
     return fitted.select(*CASE, F.lit(role).alias("role"), "prompt", *stats)
 

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from caseflow import vocab
 from caseflow.functions.text import is_blank
-from caseflow.operators.prompts import build_prompts, merge_samples, round_context, truncate_answer
+from caseflow.operators.prompts import build_prompts, chars, merge_samples, round_context, truncate_answer
 from caseflow.scale import materialize
 
 CASE = ["scenario", "case_idx"]
 BatchModel = Callable[[Sequence[str], dict], Sequence[str]]
+Counter = Callable[[Column], Column]
 
 
 # --- routing ----------------------------------------------------------------------------------
@@ -51,10 +52,10 @@ def invoke(
     batch_size: int = vocab.BATCH_SIZE,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Call the model on every prompt with every sampler: (scenario, case_idx, sample, text).
+    """Call the model on every prompt with every sampler: (scenario, case_idx, sample, text, error).
 
     Prompts stream through the tasks in batches; a batch that raises, or is answered only in part, leaves null
-    text for its missing answers. `partitions` spreads the prompts over that many model workers.
+    text for its missing answers, and the reason in `error`. `partitions` spreads the prompts over that many model workers.
     """
     options = F.array(
         *[F.struct(F.lit(n).alias("sample"), F.lit(t).alias("temperature"), F.lit(p).alias("top_p")) for n, t, p in samplers]
@@ -68,14 +69,21 @@ def invoke(
             for (sample, temperature, top_p), part in frame.groupby(["sample", "temperature", "top_p"], sort=False):
                 for start in range(0, len(part), batch_size):
                     batch = part.iloc[start : start + batch_size]
+                    failure = "no answer"
                     try:
                         answers = list(model(list(batch["prompt"]), {"sample": sample, "temperature": temperature, "top_p": top_p}))
-                    except Exception:
-                        answers = []
+                    except Exception as reason:
+                        answers, failure = [], f"{type(reason).__name__}: {reason}"
                     answers = answers[: len(batch)] + [None] * (len(batch) - len(answers))
-                    yield batch[[*CASE, "sample"]].assign(text=answers)
+                    errors = [failure if a is None else None for a in answers]
+                    yield batch[[*CASE, "sample"]].assign(text=answers, error=errors)
 
-    return work.mapInPandas(call, "scenario string, case_idx bigint, sample string, text string")
+    return work.mapInPandas(call, "scenario string, case_idx bigint, sample string, text string, error string")
+
+
+def failed_calls(answers: DataFrame) -> DataFrame:
+    """Calls without an answer per sample and reason."""
+    return answers.filter(F.col("error").isNotNull()).groupBy("sample", "error").agg(F.count(F.lit(1)).alias("calls"))
 
 
 # --- flows ------------------------------------------------------------------------------------
@@ -86,7 +94,7 @@ def as_responses(answers: DataFrame, role: str, round_id: int | None = None) ->
 
 
 def competition(
-    cases: DataFrame, model: BatchModel, reasoner_template: str, verifier_template: str, *, budget: int | None = None, **options
+    cases: DataFrame, model: BatchModel, reasoner_template: str, verifier_template: str, *, budget: int | None = None, count: Counter = chars, **options
 ) -> tuple[DataFrame, DataFrame]:
     """Three samples per case, merged, then verified: (responses, accounting).
 
@@ -95,13 +103,13 @@ def competition(
     `{reasoner_outputs}` in the verifier template is the merged text, cut in the middle when too long.
     """
     with_sop = cases.filter(~is_blank(F.col("sop")))
-    prompts = build_prompts(with_sop, "competition", reasoner_template, budget=budget)
+    prompts = build_prompts(with_sop, "competition", reasoner_template, budget=budget, count=count)
     samples = materialize(invoke(prompts, model, samplers=vocab.SAMPLERS, **options), "samples")
     complete = samples.groupBy(*CASE).agg(F.count("text").alias("n")).filter(F.col("n") == len(vocab.SAMPLERS))
     merged = merge_samples(samples).join(complete.select(*CASE), CASE, "left_semi")
     ready = with_sop.join(merged.withColumnRenamed("text", "reasoner_outputs"), CASE)
     ready = ready.withColumn("reasoner_outputs", truncate_answer(F.col("reasoner_outputs")))
-    checked = materialize(invoke(build_prompts(ready, "verifier", verifier_template, budget=budget), model, **options), "verifier")
+    checked = materialize(invoke(build_prompts(ready, "verifier", verifier_template, budget=budget, count=count), model, **options), "verifier")
     responses = as_responses(samples, "competition").unionByName(as_responses(checked, "verifier"))
     accounting = stage_accounting(
         [("routed", cases), ("prepared", prompts), ("sampled", merged), ("verified", checked.filter(F.col("text").isNotNull()))],
@@ -122,6 +130,7 @@ def cooperation(
     *,
     max_rounds: int = vocab.MAX_ROUNDS,
     budget: int | None = None,
+    count: Counter = chars,
     marker: str = vocab.STOP_MARKER,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
@@ -137,13 +146,13 @@ def cooperation(
     active = blank.withColumn("last_round_outputs", F.lit(vocab.NO_PREVIOUS_ROUND))
     responses: list[DataFrame] = []
     for round_id in range(max_rounds):
-        meta_prompts = build_prompts(active, "meta", meta_template, budget=budget, drop_logs_for=None)
+        meta_prompts = build_prompts(active, "meta", meta_template, budget=budget, count=count, drop_logs_for=None)
         meta = materialize(invoke(meta_prompts, model, **options), f"meta_{round_id}")
         responses.append(as_responses(meta, "meta", round_id))
         going = meta.filter(F.col("text").isNotNull() & ~stops(F.col("text"), marker))
         reasoning = blank.join(going.select(*CASE, F.col("text").alias("meta_output")), CASE)
         answered = materialize(
-            invoke(build_prompts(reasoning, "reasoner", reasoner_template, budget=budget), model, **options), f"reasoner_{round_id}"
+            invoke(build_prompts(reasoning, "reasoner", reasoner_template, budget=budget, count=count), model, **options), f"reasoner_{round_id}"
         )
         responses.append(as_responses(answered, "reasoner", round_id))
         last = going.select(*CASE, F.col("text").alias("_meta")).join(

@@ -10,7 +10,6 @@ from caseflow.functions.text import before_think, embedded_json
 from caseflow.functions.variants import child, get, is_absent, is_array, is_object, string_of
 
 TOKENS = vocab.SEGMENT_TOKENS + vocab.STAT_TOKENS
-MAX_NESTING = 3
 
 
 def parse_answer(text: Column) -> dict[str, Column]:
@@ -32,17 +31,17 @@ def _record(value: Column) -> Column:
 
 
 def first_selection(value: Column) -> Column:
-    """First object with both `log` and `kpi` in depth-first order, through nested lists."""
-    items = F.array(_opened(value))
-    for _ in range(MAX_NESTING):
-        items = F.flatten(
-            F.transform(
-                items,
-                lambda v: F.when(
-                    is_array(v), F.transform(get(v, "$", "array<variant>"), _opened)
-                ).otherwise(F.array(v)),
-            )
+    """First object with both `log` and `kpi` in depth-first order, through any number of nested lists."""
+    def open_lists(items: Column, _level: Column) -> Column:
+        opened = F.transform(
+            items, lambda v: F.when(is_array(v), F.transform(get(v, "$", "array<variant>"), _opened)).otherwise(F.array(v))
         )
+        return F.when(F.exists(items, is_array), F.flatten(opened)).otherwise(items)
+
+    # A value cannot nest deeper than it has opening brackets, those inside JSON text included.
+    brackets = F.coalesce(F.length(F.regexp_replace(F.to_json(value), r"[^\[]", "")), F.lit(0))
+    levels = F.slice(F.sequence(F.lit(1), F.greatest(brackets, F.lit(1))), F.lit(1), brackets)
+    items = F.aggregate(levels, F.array(_opened(value)), open_lists)
     return F.get(F.filter(F.transform(items, _record), lambda r: r.isNotNull()), F.lit(0))
 
 

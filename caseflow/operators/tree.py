@@ -22,6 +22,8 @@ from caseflow import vocab
 from caseflow.functions.ranking import truth_rank
 from caseflow.scale import materialize, range_parts
 
+# Levels below the root that 64-bit heap numbers can name.
+MAX_LEVELS = 62
 NODE = "struct<feature:int,threshold:double>"
 
 
@@ -29,19 +31,25 @@ NODE = "struct<feature:int,threshold:double>"
 def node_of(splits: Column, features: Column, depth: int | Column) -> Column:
     """Node a row reaches after at most `depth` splits. `splits` is map<bigint, struct<feature, threshold>>.
 
-    Values are compared as 32-bit floats, like in training.
+    Values are compared as 32-bit floats and null counts as 0, like in training.
     """
     limit = F.lit(depth) if isinstance(depth, int) else depth
     steps = F.slice(F.sequence(F.lit(1), F.greatest(limit, F.lit(1))), F.lit(1), limit)
 
     def step(node: Column, _level: Column) -> Column:
         split = F.try_element_at(splits, node)
-        goes_right = F.get(features, split["feature"]).cast("float").cast("double") > split["threshold"]
+        value = F.coalesce(F.get(features, split["feature"]).cast("float").cast("double"), F.lit(0.0))
+        goes_right = value > split["threshold"]
         return F.when(split.isNull(), node).otherwise(node * 2 + F.when(goes_right, F.lit(1)).otherwise(F.lit(0)))
 
     return F.aggregate(steps, F.lit(1).cast("bigint"), step)
 
 
+def height_of(splits: Column) -> Column:
+    """Most splits on a path of the tree: as many steps as a row can take."""
+    return F.coalesce(F.array_max(F.transform(F.map_keys(splits), lambda node: level_of(node) + 1)), F.lit(0))
+
+
 def level_of(node: Column) -> Column:
     """Depth of a heap number (root 0)."""
     return F.length(F.bin(node)) - 1
@@ -185,8 +193,10 @@ def fit(
     `2 * min_leaf` rows and two sides of `min_leaf` rows. Counts and splits of each level are written to the
     shared folder, so the plan does not grow with the depth.
     """
+    if max_depth > MAX_LEVELS:
+        raise ValueError(f"trees deeper than {MAX_LEVELS} levels do not fit into 64-bit node numbers")
     keys = list(keys)
-    rows = train.select(*keys, "features", "label")
+    rows = materialize(train.select(*keys, "features", "label"), "training")  # read twice per level
     splits, counted = None, None
     for depth in range(max_depth + 1):
         placed = _at_nodes(rows, splits, keys, depth)
@@ -238,16 +248,16 @@ def predict(
     keys: Sequence[str],
     names: Sequence[str],
     *,
-    depth: int | Column = 30,
+    depth: int | Column | None = None,
     truth: str | None = "root_cause",
 ) -> DataFrame:
     """Add leaf, pred_rc, pred_scores, pred_top1_rc, cot, and with a truth column rank and is_correct.
 
     All classes of the training window are ranked by leaf share, ties by class name. The tree of a key is
-    one small row, so this is one lookup join and row-wise work.
+    one small row, so this is one lookup join and row-wise work. Without `depth` rows walk to their leaf.
     """
     joined = cases.join(tree_rows(nodes, keys), list(keys))
-    joined = joined.withColumn("leaf", node_of(F.col("splits"), F.col("features"), depth))
+    joined = joined.withColumn("leaf", node_of(F.col("splits"), F.col("features"), height_of(F.col("splits")) if depth is None else depth))
     joined = joined.withColumn("_dist", F.try_element_at("dists", "leaf"))
     total = F.aggregate("_dist", F.lit(0).cast("bigint"), lambda a, d: a + d["n"])
     predicted = (

@@ -151,7 +151,7 @@ def cooperation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds at most: a case stops in round case % 4, or runs out of rounds."""
     cases = rounds.route(model_cases(spark, sf_dir)).filter(F.col("mode") == "cooperation").drop("mode")
     meta = "meta {case_idx} {last_round_outputs}"
-    _responses, state = rounds.cooperation(cases, stand_in(), meta, "reasoner {case_idx} 0 {meta_output}", max_rounds=3, partitions=8)
+    _responses, state = rounds.cooperation(cases, stand_in(), meta, "reasoner {case_idx} 0 {meta_output}", max_rounds=3)
     return state
 
 
@@ -161,7 +161,7 @@ SELECT scenario, e AS case_idx, CASE WHEN {documents.SQL_SOP} = '' THEN 'routed'
 def competition_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases without a procedure stay routed; refused verifications stay sampled."""
     _responses, accounting = rounds.competition(
-        model_cases(spark, sf_dir), stand_in(), "competition {case_idx} 0 {sop}", "verifier {case_idx} 0 {reasoner_outputs}", partitions=8
+        model_cases(spark, sf_dir), stand_in(), "competition {case_idx} 0 {sop}", "verifier {case_idx} 0 {reasoner_outputs}"
     )
     return accounting
 
@@ -175,4 +175,4 @@ def sampled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = events.select(
         F.col("event_type").alias("scenario"), F.col("event_id").alias("case_idx"), F.concat(F.lit("competition "), "event_id", F.lit(" 0")).alias("prompt")
     )
-    return rounds.invoke(prompts, stand_in(), samplers=vocab.SAMPLERS, partitions=8).select("scenario", "case_idx", "sample", "text")
+    return rounds.invoke(prompts, stand_in(), samplers=vocab.SAMPLERS).select("scenario", "case_idx", "sample", "text")

@@ -69,6 +69,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def same_key_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where two nulls are equal too; the keys appear once."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in on], *[c for c in right.columns if c not in on])
+    condition = F.lit(True)
+    for key in on:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in on])
+
+
+def without_order(df: DataFrame, order: str) -> DataFrame:
+    """Problem rows of `with_position`: those without an index have no position."""
+    return df.filter(F.col(order).isNull())
+
+
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -81,6 +95,7 @@ def with_position(
 ) -> DataFrame:
     """Add `position` (1-based, by integer column `order` within `keys`) and `group_n`.
 
+    Null keys are a group like any other; rows without an index have no position, `without_order` returns them.
     `order` must be unique within `keys`. Rows are counted per bucket of `width` index values (map-side
     combined), bucket offsets are prefix sums over buckets of buckets, and rows are numbered inside
     their bucket. Hence a task sorts at most `width` rows of a group, however large the group is.
@@ -89,7 +104,7 @@ def with_position(
     """
     keys = list(keys)
     by_bucket = keys + ["_bucket"]
-    bucketed = df.withColumn("_bucket", F.expr(f"CAST(`{order}` AS BIGINT) div {width}L"))
+    bucketed = df.filter(F.col(order).isNotNull()).withColumn("_bucket", F.expr(f"CAST(`{order}` AS BIGINT) div {width}L"))
     edges = bucketed.groupBy(*by_bucket).agg(
         F.count(F.lit(1)).alias("_n"), F.max(order).cast("bigint").alias("_hi")
     ).withColumn("_super", F.expr(f"_bucket div {width}L"))
@@ -104,7 +119,7 @@ def with_position(
         F.sum("_sn").over(Window.partitionBy(*keys)).alias("group_n"),
     )
     within = Window.partitionBy(*keys, "_super").orderBy("_bucket")
-    offsets = edges.join(supers, keys + ["_super"]).select(
+    offsets = same_key_join(edges, supers, keys + ["_super"]).select(
         *by_bucket,
         "_n",
         "group_n",
@@ -120,7 +135,7 @@ def with_position(
         offsets = offsets.filter(F.col("group_n") - F.col("_before") - F.col("_n") < last)
 
     local = Window.partitionBy(*by_bucket).orderBy(order)
-    placed = bucketed.join(offsets, by_bucket).withColumn("position", F.col("_before") + F.row_number().over(local))
+    placed = same_key_join(bucketed, offsets, by_bucket).withColumn("position", F.col("_before") + F.row_number().over(local))
     if previous:
         placed = placed.withColumn(
             "previous_idx", F.coalesce(F.lag(F.col(order).cast("bigint")).over(local), F.col("_prev_hi"))

@@ -24,13 +24,16 @@ CHECKPOINTS = "folder string, mode string, alarm_type string, last_index bigint,
 CASES = "scenario string, idx bigint"
 
 
-def stream_labels(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:
-    """Label files of `<root>/<scenario>/` as they arrive: scenario, idx, path, doc."""
+def stream_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Label files of `<root>/<scenario>/` as they arrive: scenario, idx, path, doc.
+
+    A listing is one micro-batch: split by a number of files, lower indices of its later parts would come after
+    the checkpoint that its first part moved.
+    """
     raw = (
         spark.readStream.format("text")
         .option("wholetext", "true")
         .option("pathGlobFilter", "*_label_*.json")
-        .option("maxFilesPerTrigger", max_files)
         .load(f"{root}/*")
         .select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("body"))
     )
@@ -62,7 +65,11 @@ class IncrementalSink:
         held = self._read(spark, "pending", batch - 1, self.columns)
         names = held.columns
         # Arrivals may repeat; the narrow rows are written once, so the files are read once per batch.
-        once = held.unionByName(arrivals.select(*names)).dropDuplicates(["scenario", "idx"])
+        # Of several files of an index the first by path counts, as in the batch form.
+        order = [F.col("path")] if "path" in names else []
+        first = F.min_by(F.struct(*names), F.struct(*order)) if order else F.first(F.struct(*names))
+        every = held.unionByName(arrivals.select(*names))
+        once = every.groupBy("scenario", "idx").agg(first.alias("case")).select("case.*")
         once.write.mode("overwrite").parquet(self._path("offered", batch))
         offered = spark.read.schema(self.columns).parquet(self._path("offered", batch))
         selected = select_new(offered, state, self.mode, max_new=self.max_new)

@@ -105,3 +105,18 @@ def test_feedback_is_bounded(spark):
     assert [c["case_idx"] for c in summary["correct_cases"]] == [0, 3]
     top = summary["wrong_cases"][0]["important_nonzero_features"]
     assert len(top) == 20 and top[0] == {"name": "f39", "value": 39.0} and top[1]["name"] == "f79"
+
+
+def test_selection_in_any_number_of_lists(spark):
+    want = '{"log":["x"],"kpi":{}}'
+    rows = [(n, "[" * n + want + "]" * n) for n in range(9)] + [(20, "[1,[[]],[[" + want + "]]]"), (21, "[[[1]]]"), (22, '["[[' + want.replace('"', '\\"') + ']]"]')]
+    df = spark.createDataFrame(rows, "n int, body string").select("n", selection.first_selection(F.try_parse_json("body")).alias("s"))
+    got = {r.n: r.j for r in df.select("n", F.to_json("s").alias("j")).collect()}
+    assert all(got[n] is not None and '"log":["x"]' in got[n] for n in [*range(9), 20, 22]) and got[21] is None
+
+
+def test_prompts_are_cut_only_for_a_stated_budget(spark):
+    df = spark.createDataFrame([("p" * 20_000, "l" * 9_000, "s")], "before string, logs_json string, after string")
+    free = prompts.fit_prompts(df, None).first()
+    assert len(free.prompt) == 29_001 and not free.truncated and free.final_tokens == free.original_tokens
+    assert prompts.fit_prompts(df, 21_000).first().truncated

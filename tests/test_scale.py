@@ -3,7 +3,7 @@ from itertools import groupby
 
 from pyspark.sql import functions as F
 
-from caseflow.scale import skew_join, with_position
+from caseflow.scale import skew_join, with_position, without_order
 
 
 def cases(seed=1):
@@ -47,3 +47,10 @@ def test_skew_join_keeps_every_row_once(spark):
     assert joined.count() == 5000
     plain = big.join(small, ["k"], "left")
     assert sorted(map(str, joined.select("id", "k", "v").collect())) == sorted(map(str, plain.select("id", "k", "v").collect()))
+
+
+def test_null_keys_are_a_group_and_rows_without_an_index_are_reported(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", None)], "scenario string, idx bigint")
+    got = {(r.scenario, r.idx): (r.position, r.group_n) for r in with_position(df, ["scenario"], "idx", width=2).collect()}
+    assert got == {(None, 1): (1, 2), (None, 3): (2, 2), ("a", 2): (1, 1)}
+    assert [tuple(r) for r in without_order(df, "idx").collect()] == [("a", None)]

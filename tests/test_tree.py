@@ -69,3 +69,25 @@ def test_prediction_path_rank_and_depth(spark):
     assert [r.text for r in tree.rule_lines(nodes, ["k"], NAMES).orderBy("line").collect()][:2] == ["|--- f <= 1.50", "|   |--- class: 0"]
     shallow = tree.predict(infer, nodes, ["k"], NAMES, depth=0)
     assert {r.leaf for r in shallow.collect()} == {1}
+
+
+def test_missing_features_count_as_zero(spark):
+    rows = [("k", [-5.0, 0.0], "a")] * 20 + [("k", [None, None], "b")] * 20
+    df = spark.createDataFrame([(k, x, l, l) for k, x, l in rows], "k string, features array<double>, label string, root_cause string")
+    predicted, nodes = tree.run(df, df, ["k"], ["f", "g"], max_depth=2, min_leaf=5)
+    assert {(r.node, r.feature, r.threshold) for r in nodes.collect()} == {(1, 0, -2.5), (2, None, None), (3, None, None)}
+    assert all(r.is_correct for r in predicted.collect()) and {r.leaf for r in predicted.collect()} == {2, 3}
+
+
+def test_rows_walk_to_their_leaf_in_deep_trees(spark):
+    import pytest
+
+    levels = 40
+    entries = [("k", 2**i, 0, float(levels - i), [("a", 1), ("b", 0)]) for i in range(levels)]
+    entries += [("k", 2**levels, None, None, [("b", 9), ("a", 1)])] + [("k", 2 ** (i + 1) + 1, None, None, [("a", 2), ("b", 0)]) for i in range(levels)]
+    nodes = spark.createDataFrame(entries, "k string, node bigint, feature int, threshold double, dist array<struct<label:string,n:bigint>>")
+    cases = spark.createDataFrame([("k", [0.0], "b"), ("k", [4.5], "a")], "k string, features array<double>, root_cause string")
+    got = {r.root_cause: r for r in tree.predict(cases, nodes, ["k"], ["f"]).collect()}
+    assert got["b"].leaf == 2**levels and got["b"].is_correct and got["a"].leaf == 2 ** (levels - 3) + 1
+    with pytest.raises(ValueError):
+        tree.fit(cases.withColumnRenamed("root_cause", "label"), ["k"], max_depth=63)
