@@ -294,6 +294,8 @@ SCENARIO_SELECTIONS = {
     "click": {"log": ["CMDRECORD", "flash_count"], "kpi": {"traffic_in": ["mix", "max"]}},
     "error": {"log": ["template_occur_count", "hwPortDown(l)", "REBOOT"], "kpi": {"temperature": ["alarming", "duration"]}},
     "view": {"log": ["template_occur_count"], "kpi": {"traffic_out": ["alarming", "min"], "cpu_utilization": ["mix", "mean"]}},
+    "purchase": {"log": ["SHUTDOWN"], "kpi": {"memory_utilization": ["mix", "min"]}},
+    "signup": {"log": ["CMDRECORD"], "kpi": {}},
 }
 
 
@@ -316,8 +318,7 @@ def scenario_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features under one selection per scenario: their number and sum per case."""
     rows = [(s, sel["log"], sel["kpi"]) for s, sel in SCENARIO_SELECTIONS.items()]
     selections = spark.createDataFrame(rows, "scenario string, log array<string>, kpi map<string,array<string>>")
-    wanted = cases(spark, sf_dir).filter(F.col("scenario").isin(*SCENARIO_SELECTIONS))
-    picked = feat.select_features(wanted, selections)
+    picked = feat.select_features(cases(spark, sf_dir), selections)
     total = F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, x: a + F.round(x, 6))
     return picked.select("scenario", "idx", F.size("features").alias("n"), F.round(total, 3).alias("total"))
 

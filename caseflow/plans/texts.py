@@ -21,16 +21,17 @@ def truncated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(cut).alias("digest"))
 
 
-@registry.add("""SELECT doc_id, md5('Type {x}: ' || source || chr(10) || left(text, 50) || ' / ' || lang || '.') AS digest FROM documents""")
+@registry.add("""SELECT doc_id, md5('Type {x}: ' || source || chr(10) || text || ' / ' || lang || '.') AS digest FROM documents""")
 def rendered_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value that looks like a place is not filled again."""
-    fields = {"kind": F.col("source"), "body": F.left("text", F.lit(50)), "lang": F.col("lang")}
+    fields = {"kind": F.col("source"), "body": F.col("text"), "lang": F.col("lang")}
     text = render("Type {{x}}: {kind}\n{body} / {lang}.", fields)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("digest"))
 
 
 # Budget 3000: the logs are the text of every third document (JSON text), the rest is head and tail.
 BUDGET = 3000
+ROOM = BUDGET - len(vocab.PROMPT_CUT_MARK)
 SQL_OVERHEAD = """length('{"__truncated__":true,"__note__":"anomaly_logs 超出 Prompt token 预算，仅保留首尾内容","__original_token_count__":')
   + length(length(logs)::VARCHAR) + length(',"__head__":"","__tail__":""}')"""
 
@@ -40,7 +41,10 @@ SQL_OVERHEAD = """length('{"__truncated__":true,"__note__":"anomaly_logs 超出
          CASE WHEN doc_id % 3 < 2 THEN replace(replace(replace(text, '"', ''), '\\', ''), chr(10), ' ') END AS logs,
          CASE WHEN doc_id % 3 = 1 THEN text ELSE ' end' END AS after FROM documents),
 sized AS (SELECT *, length(before) + coalesce(length(logs), 0) + length(after) AS original_tokens, length(before) + length(after) AS rest FROM parts),
-decided AS (SELECT *, original_tokens > {BUDGET} AS truncated,
+decided AS (SELECT *,
+  before || CASE WHEN coalesce(length(logs), 0) > 0 THEN '{{"__truncated__":true,"__note__":"{vocab.LOG_CUT_NOTE}","__original_token_count__":'
+    || length(logs) || ',"__head__":"","__tail__":""}}' ELSE coalesce(logs, '') END || after AS shrunk,
+  original_tokens > {BUDGET} AS truncated,
   CASE WHEN original_tokens <= {BUDGET} THEN 'none'
        WHEN coalesce(length(logs), 0) = 0 OR rest + {SQL_OVERHEAD} > {BUDGET} THEN 'whole_prompt_fallback' ELSE 'anomaly_logs' END AS truncation_strategy
   FROM sized)
@@ -48,7 +52,7 @@ SELECT doc_id, original_tokens, truncated, truncation_strategy,
   CASE truncation_strategy WHEN 'none' THEN original_tokens WHEN 'whole_prompt_fallback' THEN {BUDGET}
     ELSE rest + {SQL_OVERHEAD} + least({BUDGET} - rest - ({SQL_OVERHEAD}), length(logs) - 1) END AS final_tokens,
   CASE truncation_strategy WHEN 'none' THEN md5(before || coalesce(logs, '') || after)
-    WHEN 'whole_prompt_fallback' THEN NULL ELSE
+    WHEN 'whole_prompt_fallback' THEN md5(left(shrunk, {ROOM // 2}) || '{vocab.PROMPT_CUT_MARK}' || right(shrunk, {ROOM - ROOM // 2})) ELSE
       md5(before || '{{"__truncated__":true,"__note__":"anomaly_logs 超出 Prompt token 预算，仅保留首尾内容","__original_token_count__":' || length(logs)
         || ',"__head__":"' || left(logs, least({BUDGET} - rest - ({SQL_OVERHEAD}), length(logs) - 1) // 2)
         || '","__tail__":"' || right(logs, least({BUDGET} - rest - ({SQL_OVERHEAD}), length(logs) - 1) - least({BUDGET} - rest - ({SQL_OVERHEAD}), length(logs) - 1) // 2)
@@ -65,11 +69,9 @@ def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 1, F.col("text")).otherwise(" end").alias("after"),
     )
     fitted = prompts.fit_prompts(parts, BUDGET)
-    # The marker text of the whole-prompt cut is fixed; its length is what the twin can state.
-    digest = F.when(F.col("truncation_strategy") != "whole_prompt_fallback", F.md5("prompt"))
     return fitted.select(
         "doc_id", F.col("original_tokens").cast("bigint").alias("original_tokens"), "truncated", "truncation_strategy",
-        F.col("final_tokens").cast("bigint").alias("final_tokens"), digest.alias("digest"),
+        F.col("final_tokens").cast("bigint").alias("final_tokens"), F.md5("prompt").alias("digest"),
     )
 
 

@@ -55,16 +55,21 @@ def capped_new_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("scenario", "idx", "previous_last_index")
 
 
-@registry.add("""SELECT event_type AS scenario, event_id AS idx FROM events WHERE event_id >= 250 AND event_id < 7001""")
+def last_index(spark: SparkSession, sf_dir: str) -> int:
+    return cases(spark, sf_dir).agg(F.max("idx")).first()[0] or 0
+
+
+@registry.add("""SELECT event_type AS scenario, event_id AS idx FROM events WHERE event_id >= (SELECT max(event_id) // 40 FROM events) AND event_id < (SELECT max(event_id) * 7 // 10 FROM events)""")
 def manual_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.select_window(cases(spark, sf_dir), 250, 7001).select("scenario", "idx")
+    rows, last = cases(spark, sf_dir), last_index(spark, sf_dir)
+    return inc.select_window(rows, last // 40, last * 7 // 10).select("scenario", "idx")
 
 
-@registry.add("""SELECT event_type AS scenario, min(event_id) AS window_start, 7001::BIGINT AS window_end,
-       count(*) FILTER (event_id < 7001) AS selected_count, min(event_id) - 1 AS previous_last_index
+@registry.add("""SELECT event_type AS scenario, min(event_id) AS window_start, (SELECT max(event_id) * 7 // 10 FROM events)::BIGINT AS window_end,
+       count(*) FILTER (event_id < (SELECT max(event_id) * 7 // 10 FROM events)) AS selected_count, min(event_id) - 1 AS previous_last_index
 FROM events GROUP BY 1""")
 def window_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.window_plan(cases(spark, sf_dir), end=7001)
+    return inc.window_plan(cases(spark, sf_dir), end=last_index(spark, sf_dir) * 7 // 10)
 
 
 @registry.add(f"""WITH {SQL_CASES},
@@ -102,10 +107,10 @@ def case_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("""WITH numbered AS (
   SELECT event_type AS scenario, event_id AS idx, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 50 AS block
-  FROM events WHERE event_id < 6000)
+  FROM events WHERE event_id < (SELECT max(event_id) * 6 // 10 FROM events))
 SELECT scenario, idx, block FROM numbered""")
 def case_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.with_block(cases(spark, sf_dir), 6000, 50).select("scenario", "idx", "block")
+    return inc.with_block(cases(spark, sf_dir), last_index(spark, sf_dir) * 6 // 10, 50).select("scenario", "idx", "block")
 
 
 @registry.add("""SELECT event_type AS scenario, event_id AS idx FROM events
@@ -153,10 +158,10 @@ def stage_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@registry.add("""SELECT event_type AS scenario, count(*) FILTER (event_id BETWEEN 51 AND 250) AS case_count,
-       count(*) FILTER (event_id BETWEEN 51 AND 250) = 40 AS as_expected FROM events GROUP BY 1""")
+@registry.add("""SELECT event_type AS scenario, count(*) FILTER (event_id BETWEEN 51 AND (SELECT max(event_id) // 2 FROM events)) AS case_count,
+       count(*) FILTER (event_id BETWEEN 51 AND (SELECT max(event_id) // 2 FROM events)) = 1000 AS as_expected FROM events GROUP BY 1""")
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.window_counts(cases(spark, sf_dir), 51, 250, 40)
+    return inc.window_counts(cases(spark, sf_dir), 51, last_index(spark, sf_dir) // 2, 1000)
 
 
 @registry.add("""WITH wanted AS (
@@ -166,16 +171,15 @@ SELECT scenario, idx FROM wanted
 EXCEPT SELECT event_type, event_id FROM events""")
 def missing_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cases(spark, sf_dir)
-    end = rows.agg(F.max("idx")).first()[0] + 100
-    return inc.missing_indices(rows, 51, end)
+    return inc.missing_indices(rows, 51, last_index(spark, sf_dir) + 100)
 
 
 @registry.add("""WITH ordered AS (
   SELECT event_type AS scenario, event_id AS idx, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS before
-  FROM events WHERE event_id BETWEEN 51 AND 100000),
+  FROM events WHERE event_id >= 51),
 gaps AS (
   SELECT scenario, coalesce(before + 1, 51) AS gap_start, idx - 1 AS gap_end FROM ordered
-  UNION ALL SELECT scenario, max(idx) + 1, 100000 FROM ordered GROUP BY 1)
+  UNION ALL SELECT scenario, max(idx) + 1, (SELECT max(event_id) + 100 FROM events) FROM ordered GROUP BY 1)
 SELECT scenario, gap_start, gap_end FROM gaps WHERE gap_start <= gap_end""")
 def gap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.gap_ranges(cases(spark, sf_dir), 51, 100000)
+    return inc.gap_ranges(cases(spark, sf_dir), 51, last_index(spark, sf_dir) + 100)
