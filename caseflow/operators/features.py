@@ -23,6 +23,7 @@ FULL_SELECTION = {
     "log": [*vocab.EXCEPTION_TEMPLATES, vocab.TEMPLATE_COUNTS, *vocab.FLASH_TEMPLATES, vocab.FLASH_COUNT],
     "kpi": {kpi: [*vocab.SEGMENT_TOKENS, *vocab.STAT_TOKENS] for kpi in vocab.KPIS},
 }
+from caseflow.scale import range_parts, same_key_join
 
 
 def log_section(sem: Column) -> Column:
@@ -224,9 +225,16 @@ def top_features(features: DataFrame, keep=("scenario", "idx"), limit: int = voc
 
 
 def label_classes(cases: DataFrame, label: str = "root_cause", keys: Sequence[str] = ()) -> DataFrame:
-    """Class ids from 0 by sorted label. The window runs over the distinct labels only."""
+    """Class ids from 0 by sorted label. Distinct labels are ranked inside range parts, whose counts give the offsets."""
+    keys = list(keys)
     distinct = cases.filter(F.col(label).isNotNull() & (F.col(label) != "")).select(*keys, label).distinct()
-    return distinct.withColumn("class_id", (F.row_number().over(Window.partitionBy(*keys).orderBy(label)) - 1).cast("int"))
+    parted = range_parts(distinct, [*keys, label], "labels")
+    counts = parted.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(label))
+    placed = same_key_join(parted, offsets, [*keys, "_part"])
+    return placed.select(*keys, label, (F.col("_before") + local - 1).cast("int").alias("class_id"))
 
 
 def label_encode(cases: DataFrame, label: str = "root_cause", keys: Sequence[str] = ()) -> DataFrame:

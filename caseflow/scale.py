@@ -163,33 +163,31 @@ def skew_join(
     how: str = "left",
     *,
     salt_by: Sequence[str],
-    share: int = 200,
-    salts: int = 64,
+    rows_per_task: int = 1 << 18,
+    most_keys: int = 10_000,
 ) -> DataFrame:
-    """Join `big` to `small` (unique per `on`), spreading keys that hold over 1/share of `big`.
+    """Join `big` to `small` (unique per `on`), dealing keys with many rows of `big` over several tasks.
 
-    Fewer than `share` keys can each hold more than 1/share of the rows, so the list of heavy keys has
-    a proven bound and is broadcast; it is found by a map-side combined count. Only heavy (and null)
-    keys are salted: their rows scatter over `salts` buckets by a hash of `salt_by`, which gives the same
-    bucket when a lost task runs again, and their single partner row is repeated.
+    A key is heavy above `rows_per_task` rows and above 1/most_keys of all rows. Fewer than `most_keys` keys
+    can hold so large a share, so the list of heavy keys has a proven bound and is broadcast; it is found by a
+    map-side combined count. A heavy key gets as many salts as it fills tasks; its rows scatter over them by
+    a hash of `salt_by`, which gives the same bucket when a lost task runs again, and its single partner row
+    is repeated. Null keys match nothing and scatter widely.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"how={how!r}: only left and inner joins can be salted on the left side")
     on = list(on)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = big.agg(F.count(F.lit(1)).alias("_all"))
-    heavy = F.broadcast(  # fewer than `share` rows
-        counts.filter((F.col("_n") * share > total.scalar()) & (F.col("_n") > salts)).select(
-            *on, F.lit(salts).alias("_salts")
-        )
+    load = F.greatest(F.lit(rows_per_task).cast("double"), total.scalar() / most_keys)
+    heavy = F.broadcast(  # fewer than `most_keys` rows
+        counts.filter(F.col("_n") > load).select(*on, F.ceil(F.col("_n") / load).cast("int").alias("_salts"))
     )
     any_null = F.lit(False)
     for key in on:
         any_null = any_null | F.col(key).isNull()
-    bucket = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
-    salted_big = big.join(heavy, on, "left").withColumn(
-        "_salt", F.when(any_null | F.col("_salts").isNotNull(), bucket).otherwise(F.lit(0))
-    )
+    salts = F.when(any_null, F.lit(most_keys)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted_big = big.join(heavy, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int"))
     salted_small = small.join(heavy, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     )

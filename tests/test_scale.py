@@ -43,7 +43,7 @@ def test_skew_join_keeps_every_row_once(spark):
         "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k")
     )
     small = spark.createDataFrame([("hot", 1), ("2", 2), ("5", 3), ("zz", 4)], "k string, v int")
-    joined = skew_join(big, small, ["k"], salt_by=["id"])
+    joined = skew_join(big, small, ["k"], salt_by=["id"], rows_per_task=100)
     assert joined.count() == 5000
     plain = big.join(small, ["k"], "left")
     assert sorted(map(str, joined.select("id", "k", "v").collect())) == sorted(map(str, plain.select("id", "k", "v").collect()))
