@@ -83,19 +83,26 @@ def prediction_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- streaming --------------------------------------------------------------------------------
-def _stream(spark: SparkSession, sf_dir: str) -> IncrementalSink:
-    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-    arrivals = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-        .select(F.col("event_type").alias("scenario"), F.col("event_id").alias("idx"), "value")
-    )
-    sink = IncrementalSink(
+EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+
+def _arrivals(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", names).parquet(folder)
+    return raw.select(F.col("event_type").alias("scenario"), F.col("event_id").alias("idx"), "value")
+
+
+def _sink(spark: SparkSession) -> IncrementalSink:
+    return IncrementalSink(
         new_folder(spark, "stream"),
         "tree_infer",
         lambda selected: selected.select("scenario", "idx", (F.col("value") > 0.05).alias("ok")),
         columns=f"{CASES}, value double",
     )
-    start(arrivals, sink).awaitTermination()
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> IncrementalSink:
+    sink = _sink(spark)
+    start(_arrivals(spark, sf_dir, "events*.parquet"), sink).awaitTermination()
     return sink
 
 
@@ -107,6 +114,23 @@ def streamed_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir).checkpoints(spark).select("folder", "mode", "last_index")
 
 
+@registry.add("""WITH fails AS (SELECT event_type AS scenario, min(event_id) AS first_failed FROM events WHERE value <= 0.05 GROUP BY 1)
+SELECT event_type AS folder, max(event_id) FILTER (first_failed IS NULL OR event_id < first_failed) AS last_index, count(*) AS cases,
+       count(*) FILTER (value > 0.05) AS succeeded
+FROM events LEFT JOIN fails ON scenario = event_type GROUP BY 1""")
+def streamed_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three arrivals of several files each, unordered inside: the same checkpoints and results as in one batch."""
+    events = table(spark, sf_dir, "events")
+    end = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    folder, sink = new_folder(spark, "arrivals"), _sink(spark)
+    for part in range(3):
+        events.filter(F.expr(f"event_id * 3 div {end} = {part}")).repartition(4, "event_id").write.mode("append").parquet(folder)
+        start(_arrivals(spark, folder, "*.parquet"), sink).awaitTermination()
+    counted = sink.results(spark).groupBy("scenario").agg(F.count(F.lit(1)).alias("cases"), F.count_if("ok").alias("succeeded"))
+    marks = sink.checkpoints(spark).select("folder", "last_index")
+    return marks.join(counted.withColumnRenamed("scenario", "folder"), "folder")
+
+
 # --- model flows ------------------------------------------------------------------------------
 def model_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of the event documents, stored once: every stage of a flow reads them again."""

@@ -91,6 +91,17 @@ def selection_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("p_brand").alias("scenario"), F.col("p_partkey").alias("pos"), F.expr(SELECTION_TEXT).alias("text"))
 
 
+@registry.add("""SELECT p_partkey, 1 + p_partkey % 8 AS lists, p_type AS log FROM part""")
+def deep_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer inside one to eight lists, next to other values, is found."""
+    lists = F.expr("1 + p_partkey % 8")
+    body = F.concat(F.lit('{"log": ["'), "p_type", F.lit('"], "kpi": {}}'))
+    text = F.concat(F.lit("so ```json "), F.repeat(F.lit("["), lists), F.lit("0, "), body, F.repeat(F.lit("]"), lists), F.lit(" ```"))
+    answers = table(spark, sf_dir, "part").select("p_partkey", lists.alias("lists"), text.alias("text"))
+    found = selection.first_selection(selection.parse_answer(F.col("text"))["json"])
+    return answers.select("p_partkey", "lists", F.try_variant_get(found, "$.log[0]", "string").alias("log"))
+
+
 def shown_selection(df: DataFrame) -> DataFrame:
     s = F.col("selection")
     return df.select("scenario", F.array_join(s["log"], "|").alias("log"), *[F.array_join(s["kpi"][k], "|").alias(k) for k in vocab.KPIS])
