@@ -1,9 +1,10 @@
 """N-gram Jaccard join over parity sketches.
 
-A document's shingles are XOR-hashed into a bit sketch: every shingle flips one bit, so the Hamming distance
-of two sketches never exceeds the symmetric difference of the two sets. At a Jaccard similarity of p percent
+A document's shingles are XOR-hashed into sketches. In the narrow one every shingle flips one bit, so the Hamming
+distance of two sketches never exceeds the symmetric difference of the two sets. In the wide one every shingle
+flips hashed bits of one segment, so no more segments differ than shingles do. At a Jaccard similarity of p percent
 that difference is at most (|A| + |B|)(100 - p) / (100 + p). Sizes fall into bands; in the band of the larger
-set the sketch has more segments than differing bits are possible, so two linked sets agree in whole segments
+set the wide sketch has more segments than can differ, so two linked sets agree in whole segments
 (pigeonhole), which are the join keys. A document takes part in its own band and, where a larger partner may
 be in the next one, there too.
 
@@ -63,6 +64,18 @@ class Bands:
         empty = need * math.exp(-(self.upper[max(band - 1, 0)]) / need)
         return math.ceil(empty + 4 * math.sqrt(empty))
 
+    def extra(self, band: int) -> int:
+        """Filled segments, beyond the first, in which two linked sets agree for certain.
+
+        The fewer shingles a segment holds, the more segments agree by chance, and the more are asked for.
+        """
+        held = (100 + self.percent) // (2 * (100 - self.percent))
+        return 1 + (self.distance(band) + 1) // max(held, 1)
+
+    def segments(self, band: int, fine: bool) -> int:
+        need = self.distance(band) + 1
+        return 2 * need if fine else need + self.spare(band) + self.extra(band)
+
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles as (row, hash), by row: `size` words each, or all words of a row that has fewer."""
@@ -83,12 +96,35 @@ def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], value[new]
 
 
-def parity(row: np.ndarray, value: np.ndarray, n_rows: int, segments: int) -> np.ndarray:
-    """Sketch of every row: `segments` unsigned 64-bit words of bit parities."""
-    place = (value >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
-    at = (row * segments + place.astype(np.int64)) * 64 + (value & np.uint64(63)).astype(np.int64)
-    bits = (np.bincount(at, minlength=n_rows * segments * 64) & 1).astype(np.uint8)
-    return np.packbits(bits, bitorder="little").view(np.uint64).reshape(n_rows, segments)
+def parity(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
+    """Bit sketch of every row: each shingle flips one of SKETCH_WORDS * 64 bits."""
+    bits = SKETCH_WORDS * 64
+    at = row * bits + (value & np.uint64(bits - 1)).astype(np.int64)
+    flips = (np.bincount(at, minlength=n_rows * bits) & 1).astype(np.uint8)
+    return np.packbits(flips, bitorder="little").view(np.uint64).reshape(n_rows, SKETCH_WORDS)
+
+
+def segment_parity(row: np.ndarray, value: np.ndarray, n_rows: int, segments: int) -> np.ndarray:
+    """Wide sketch of every row: each shingle flips 64 hashed bits of the segment that its value picks.
+
+    Values rise within a row, and so do their segments. Segments without shingles are 0.
+    """
+    place = row * segments + ((value >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+    sketch = np.zeros(n_rows * segments, np.uint64)
+    if len(place):
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        sketch[place[first]] = np.bitwise_xor.reduceat(mix(value + _OTHER), first)
+    return sketch.reshape(n_rows, segments)
+
+
+def set_hashes(value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every row's whole set, 0 for empty ones."""
+    one, two = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+    if len(value):
+        first = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])
+        one[sizes > 0] = np.add.reduceat(mix(value ^ _OTHER), first)
+        two[sizes > 0] = np.add.reduceat(mix(value + np.uint64(1)), first)
+    return one, two
 
 
 def band_keys(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Bands, fine: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -103,11 +139,11 @@ def band_keys(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Band
         rows = np.flatnonzero((sizes > 0) & (own <= band) & (band <= last))
         if need < 2 or not len(rows):
             continue  # without room for a difference only equal sets link, and those have collapsed
-        segments = 2 * need if fine else need + bands.spare(band)
-        step = max(1, (1 << 22) // (segments * 64))
+        segments = bands.segments(band, fine)
+        step = max(1, (1 << 20) // segments)
         for part in (rows[i : i + step] for i in range(0, len(rows), step)):
             take = np.concatenate([np.arange(base[r], base[r + 1]) for r in part])
-            sketch = parity(np.repeat(np.arange(len(part)), sizes[part]), value[take], len(part), segments)
+            sketch = segment_parity(np.repeat(np.arange(len(part)), sizes[part]), value[take], len(part), segments)
             tag = mix(np.arange(segments, dtype=np.uint64) + (np.uint64(int(band)) << np.uint64(40)) + (np.uint64(fine) << np.uint64(60)))
             keys = mix(sketch ^ tag) | np.uint64(1)
             if not fine:
@@ -123,48 +159,77 @@ def _signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
                 n_rows = len(block.bounds) - 1
                 row, value = shingle_sets(words(block, NOT_SPACE, LOWER), size)
                 sizes = np.bincount(row, minlength=n_rows)
-                one, two = np.zeros(n_rows, np.uint64), np.zeros(n_rows, np.uint64)
-                if len(row):
-                    first = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])
-                    one[sizes > 0] = np.add.reduceat(mix(value ^ _OTHER), first)
-                    two[sizes > 0] = np.add.reduceat(mix(value + _OTHER), first)
-                keys: list[list[bytes]] = [[] for _ in range(n_rows)]
-                for _, rows, found, _ in band_keys(row, value, sizes, bands, False):
-                    for r, k in zip(rows, found, strict=True):
-                        keys[r].append(k[k != 0].tobytes())
-                sketch = pa.FixedSizeListArray.from_arrays(pa.array(parity(row, value, n_rows, SKETCH_WORDS).view(np.int64).ravel()), SKETCH_WORDS)
+                one, two = set_hashes(value, sizes)
+                sketch = pa.FixedSizeListArray.from_arrays(pa.array(parity(row, value, n_rows).view(np.int64).ravel()), SKETCH_WORDS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(block.lo, n_rows),
                         pa.array(sizes, pa.int64()),
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
+                        pa.array([bands.extra(b) for b in bands.of(sizes)], pa.int32()),
                         sketch.cast(pa.list_(pa.int64())),
-                        pa.array([b"".join(k) for k in keys], pa.binary()),
                     ],
-                    ["id", "n", "one", "two", "sketch", "keys"],
+                    ["id", "n", "one", "two", "extra", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, one bigint, two bigint, sketch array<bigint>, keys binary")
+    return docs.mapInArrow(run, "id bigint, n bigint, one bigint, two bigint, extra int, sketch array<bigint>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, items): whole shingle sets of the documents in `ids`, found by another scan behind a filter."""
-    ids = materialize(ids.select("id").distinct(), "ids")
-    wanted = docs.sparkSession.sparkContext.broadcast(filters.build(ids.select(F.xxhash64("id").alias("h")), "h"))  # at most 16 MB
+def _scan(docs: DataFrame, size: int, emit, schema: str, ids: DataFrame | None = None) -> DataFrame:
+    """emit(ids, rows, hashes, sizes) per block of shingle sets; with `ids` only of those documents, and few others."""
+    sent = None
+    if ids is not None:
+        ids = materialize(ids.select(F.xxhash64("id").alias("h")).distinct(), "ids")
+        sent = docs.sparkSession.sparkContext.broadcast(filters.build(ids, "h"))  # at most 16 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(filters.passes(wanted.value, batch.column(2).to_numpy())))
+            if sent is not None:
+                batch = batch.filter(pa.array(filters.passes(sent.value, batch.column(2).to_numpy())))
             for block in blocks(batch.column(1)):
                 n_rows = len(block.bounds) - 1
                 row, value = shingle_sets(words(block, NOT_SPACE, LOWER), size)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n_rows))])
-                items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, n_rows), items], ["id", "items"])
+                yield from emit(batch.column(0).slice(block.lo, n_rows), row, value, np.bincount(row, minlength=n_rows))
+
+    return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, schema)
 
-    found = docs.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id bigint, items array<bigint>")
-    return materialize(found.join(ids, "id", "left_semi"), "sets")
+
+def _keys(docs: DataFrame, size: int, bands: Bands, fine: bool, shared: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """(key, id, tag, band, need) of all documents; with `shared` (key) only keys in it, and few others.
+
+    tag is a hash of key and whole set, equal for copies. Of copies in one block only the smallest id emits.
+    """
+    sent = None if shared is None else docs.sparkSession.sparkContext.broadcast(filters.build(shared, "key"))  # at most 16 MB
+
+    def emit(own: pa.Array, row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        numbers = own.to_numpy()
+        whole = set_hashes(value, sizes)[0]
+        order = np.lexsort((numbers, whole))
+        copy = np.zeros(len(numbers), bool)
+        copy[order[1:]] = whole[order[1:]] == whole[order[:-1]]
+        for band, rows, found, need in band_keys(row, value, sizes, bands, fine):
+            found[copy[rows]] = 0
+            keys, at = found.ravel(), np.repeat(rows, found.shape[1])
+            ok = keys != 0
+            if sent is not None:
+                ok &= filters.passes(sent.value, keys)
+            keys, at = keys[ok], at[ok]
+            tags = (mix(whole[at] ^ keys) >> np.uint64(33)).astype(np.int32)
+            rest = [pa.array(np.full(len(keys), x), pa.int32()) for x in (band, need)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(numbers[at]), pa.array(tags), *rest], ["key", "id", "tag", "band", "need"])
+
+    return _scan(docs, size, emit, "key bigint, id bigint, tag int, band int, need int", ids)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, items): whole shingle sets of the documents in `ids`, and of few others."""
+
+    def emit(own: pa.Array, row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(value.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([own, items], ["id", "items"])
+
+    return materialize(_scan(docs, size, emit, "id bigint, items array<bigint>", ids), "sets")
 
 
 def _bound(percent: int):
@@ -199,59 +264,61 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     source = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     signed = materialize(_signatures(source, size, bands), "signatures")
     classes = materialize(signed.filter("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    narrow = materialize(reps.select("id", "n", "sketch").dropDuplicates(["id", "n"]), "narrow")
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            keys = [np.frombuffer(k, np.int64) for k in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(ids, [len(k) for k in keys]))], ["key", "id"]
-            )
-
-    keyed = reps.select("id", "keys").mapInArrow(explode, "key bigint, id bigint")
-    pivots = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top").drop("top")
-    members = materialize(keyed.join(pivots, "key"), "members")
+    reps = classes.select(F.col("rep").alias("id")).distinct()
+    narrow = materialize(signed.join(reps, "id", "left_semi").select("id", "n", "extra", "sketch").dropDuplicates(["id", "n"]), "narrow")
+    single = source.filter("id IS NOT NULL")
+    # Keys of different sets; copies agree in the tag. Two sets whose tags collide by chance meet at their other keys.
+    shared = _keys(single, size, bands, False).groupBy("key").agg(F.min("tag").alias("p"), F.max("tag").alias("q")).filter("p < q").select("key")
+    found = _keys(single, size, bands, False, materialize(shared, "shared")).select("key", "id").distinct()
+    found = materialize(found.join(reps, "id", "left_semi"), "found")
+    pivots = found.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top").drop("top")
+    members = materialize(found.join(materialize(pivots, "pivots"), "key"), "members")
 
     def side(which: str) -> DataFrame:
         return narrow.select(F.col("id").alias(which), F.col("n").alias(f"n{which}"), F.col("sketch").alias(f"s{which}"))
 
     stars = members.filter("id <> pivot").select(F.col("id").alias("b"), F.col("pivot").alias("a")).distinct()
     stars = materialize(_near(stars.join(side("b"), "b").join(side("a"), "a"), percent).select("a", "b").distinct(), "stars")
-    sets = _sets(source, stars.select(F.explode(F.array("a", "b")).alias("id")), size)
+    sets = _sets(single, stars.select(F.explode(F.array("a", "b")).alias("id")), size)
     links = materialize(_verified(stars, sets, percent), "links")
 
     # Members of keys that are not connected yet; a key of two documents is settled by its one comparison.
     known = materialize(components(links), "known")
     placed = members.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("part").alias("p"), F.max("part").alias("q")).filter("k > 2 AND p < q")
-    unsettled = materialize(placed.join(open_keys.select("key"), "key", "left_semi").select("id", "part").distinct(), "unsettled")
-    sets = _sets(source, unsettled, size)
-
-    def fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            value = lists.flatten().to_numpy().view(np.uint64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            for band, rows, found, need in band_keys(row, value, sizes, bands, True):
-                count = found.shape[1]
-                out = [found.ravel().view(np.int64), np.repeat(ids[rows], count), np.full(found.size, band), np.full(found.size, need)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "id", "band", "need"])
-
-    fine = sets.mapInArrow(fine_keys, "key bigint, id bigint, band int, need int")
-    fine = materialize(fine.distinct(), "fine")
-    often = fine.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
-    rank = F.row_number().over(Window.partitionBy("id", "band").orderBy("k", "key"))
-    rare = fine.join(often, "key").withColumn("rank", rank).filter("rank <= need AND k > 1").select("key", "id")
+    # Two linked documents that are not connected yet share more than `extra` keys, all of them open.
+    unsettled = placed.join(open_keys.select("key"), "key", "left_semi").groupBy("id", "part").agg(F.countDistinct("key").alias("keys"))
+    unsettled = unsettled.join(narrow.groupBy("id").agg(F.min("extra").alias("extra")), "id").filter("keys > extra").select("id", "part")
+    unsettled = materialize(unsettled, "unsettled")
+
+    # Of its 2 * need keys a document takes part with the `need` rarest; those it shares with nobody come first.
+    often = _keys(single, size, bands, True, ids=unsettled).groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    often = materialize(often, "often")
+    rank = F.row_number().over(Window.partitionBy("id", "band").orderBy(F.desc("k"), F.desc("key")))
+    shared = _keys(single, size, bands, True, often, unsettled).drop("tag").distinct().join(often, "key").withColumn("rank", rank)
+    rare = shared.filter("rank > need").select("key", "id")  # `need` of 2 * need keys, the most frequent, stay out
     rare = materialize(rare.join(unsettled, "id").join(narrow, "id"), "rare")
     left = rare.select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = rare.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    more = _near(left.join(right, "key").filter("a < b AND pa <> pb"), percent).select("a", "b").distinct()
-    links = links.unionByName(_verified(more, sets, percent))
+    more = materialize(_near(left.join(right, "key").filter("a < b AND pa <> pb"), percent).select("a", "b").distinct(), "more")
+    links = links.unionByName(_verified(more, _sets(single, more.select(F.explode(F.array("a", "b")).alias("id")), size), percent))
 
     final = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
     final = final.select("one", "two", "n", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "one", "two").join(final, ["one", "two", "n"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of every group of near copies: the one with the smallest id; all columns of `docs` stay.
+
+    Repeated rows under one id count as copies, and one of them stays. Rows without an id, and texts without words, stay.
+    """
+    found = ngram_components(docs, id, text, size, percent)
+    number = F.col(id).cast("bigint")
+    repeated = docs.groupBy(number.alias("_id")).count().filter("_id IS NOT NULL AND count > 1").select("_id")
+    repeated = materialize(repeated, "repeated")
+    losers = found.filter("id <> component_id").select(F.col("id").alias("_id"))
+    kept = filters.without(docs, losers.union(repeated), id)
+    again = docs.join(repeated.join(losers, "_id", "left_anti"), number == F.col("_id"), "left_semi")
+    return kept.unionByName(again.dropDuplicates([id]))
