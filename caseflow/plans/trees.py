@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.operators import tree
+from caseflow.operators import features as feat
+from caseflow.operators import flow, tree
+from caseflow.plans import documents, windows
 from caseflow.plans.common import Registry, r6, table
 from caseflow.scale import spread
 
@@ -121,3 +123,54 @@ def depth_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = tree.fit(train_rows(spark, sf_dir), KEYS, max_depth=2)
     chosen = tree.choose_depth(tree.depth_scores(rows(spark, sf_dir), nodes, KEYS, (2, 1)), KEYS)
     return chosen.withColumn("selected_accuracy", F.round("selected_accuracy", 6))
+
+
+# --- documents to predictions -----------------------------------------------------------------
+FLOW_NEW, FLOW_TRAIN = 40, 50
+
+
+def _sql_flow() -> str:
+    """One split per scenario over the selected features, found by comparing all values with all training rows."""
+    sql, places = documents._sql_features(), {rule[0]: i for i, rule in enumerate(feat.feature_rules())}
+    arms = []
+    for scenario, selection in documents.SCENARIO_SELECTIONS.items():
+        pairs = ", ".join(f"{{'f': {places[n]}, 'x': ({sql[n]})::FLOAT::DOUBLE}}" for n in documents._selected_names(selection))
+        arms.append(f"SELECT scenario, e AS idx, root, train, unnest([{pairs}]) AS p FROM chosen WHERE scenario = '{scenario}'")
+    return f"""WITH {documents.SQL_EVENTS}, {windows.SQL_CASES},
+rooted AS (SELECT *, {documents.SQL_ROOT} AS root FROM ev),
+new_ AS (
+  SELECT r.* FROM rooted r JOIN fresh f ON f.scenario = r.scenario AND f.idx = r.e
+  QUALIFY row_number() OVER (PARTITION BY r.scenario ORDER BY e) <= {FLOW_NEW}),
+train_ AS (
+  SELECT r.* FROM rooted r JOIN (SELECT scenario, min(e) AS first_e FROM new_ GROUP BY 1) b ON b.scenario = r.scenario AND r.e < b.first_e
+  WHERE root <> '' QUALIFY row_number() OVER (PARTITION BY r.scenario ORDER BY e DESC) <= {FLOW_TRAIN}),
+chosen AS (SELECT *, true AS train FROM train_ UNION ALL SELECT *, false FROM new_),
+long AS (SELECT scenario, idx, root, train, p.f AS f, p.x AS x FROM ({" UNION ALL ".join(arms)})),
+steps AS (SELECT scenario, f, x, lead(x) OVER (PARTITION BY scenario, f ORDER BY x) AS next_x FROM (SELECT DISTINCT scenario, f, x FROM long WHERE train)),
+sides AS (
+  SELECT s.scenario, s.f, s.x, s.next_x, root, count(*) FILTER (l.x <= s.x) AS a, count(*) FILTER (l.x > s.x) AS b
+  FROM steps s JOIN long l ON l.scenario = s.scenario AND l.f = s.f AND l.train WHERE next_x IS NOT NULL GROUP BY ALL),
+best AS (
+  SELECT scenario, f, (x + next_x) / 2 AS threshold FROM sides GROUP BY scenario, f, x, next_x HAVING sum(a) >= 10 AND sum(b) >= 10
+  QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY sum(a * a)::DOUBLE / sum(a) + sum(b * b)::DOUBLE / sum(b) DESC, f, x) = 1),
+placed AS (
+  SELECT c.scenario, c.e AS idx, c.root, c.train, CASE WHEN b.f IS NULL THEN 1 WHEN l.x > b.threshold THEN 3 ELSE 2 END AS leaf
+  FROM chosen c LEFT JOIN best b USING (scenario) LEFT JOIN long l ON l.scenario = c.scenario AND l.idx = c.e AND l.f = b.f),
+top AS (
+  SELECT scenario, leaf, root AS best_root FROM placed WHERE train GROUP BY 1, 2, 3
+  QUALIFY row_number() OVER (PARTITION BY scenario, leaf ORDER BY count(*) DESC, root) = 1)
+SELECT p.scenario, p.idx, leaf::BIGINT AS leaf, best_root AS pred_top1_rc, CASE WHEN root <> '' THEN root = best_root END AS is_correct,
+       max(p.idx) OVER (PARTITION BY p.scenario) AS last_index
+FROM placed p JOIN top USING (scenario, leaf) WHERE NOT train"""
+
+
+@registry.add(_sql_flow())
+def tree_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections, train window, features, trees of one split, predictions and checkpoints from event documents."""
+    rows = [(s, sel["log"], sel["kpi"]) for s, sel in documents.SCENARIO_SELECTIONS.items()]
+    selections = spark.createDataFrame(rows, "scenario string, log array<string>, kpi map<string,array<string>>")
+    found = flow.tree_flow(
+        documents.cases(spark, sf_dir), selections, windows.checkpoints(spark, sf_dir), train_n=FLOW_TRAIN, max_new=FLOW_NEW, max_depth=1
+    )
+    marks = found.checkpoints.filter("mode = 'tree_infer'").select(F.col("folder").alias("scenario"), "last_index")
+    return found.predictions.select("scenario", "idx", "leaf", "pred_top1_rc", "is_correct").join(marks, "scenario")
