@@ -6,11 +6,11 @@ all cases, so positions come from `with_position` and totals from map-side combi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow import vocab
-from caseflow.scale import with_position
+from caseflow.scale import same_key_join, with_position
 
 CHECKPOINT_KEY = ["folder", "mode"]
 
@@ -182,7 +182,7 @@ def stage_specs(cases: DataFrame, block_size: int) -> DataFrame:
     previous = blocks.select("scenario", (F.col("block") + 1).alias("block"), F.col("infer_last_idx").alias("train_last_idx"))
     return (
         blocks.filter((F.col("block") > 0) & (F.col("group_n") >= 2 * block_size))
-        .join(previous, ["scenario", "block"])
+        .transform(same_key_join, previous, ["scenario", "block"])
         .select(
             "scenario",
             F.col("block").cast("int").alias("stage"),
@@ -209,6 +209,24 @@ def with_stages(cases: DataFrame, block_size: int) -> DataFrame:
     return expanded.withColumn("part", F.when(F.col("stage") == F.col("_block"), "infer").otherwise("train")).drop("_block")
 
 
+def stage_summary(cases: DataFrame, block_size: int) -> DataFrame:
+    """Size and bounds of both parts of every stage, from one row per block and running sums.
+
+    Unlike `with_stages` this never repeats a case, so it is linear in the cases.
+    """
+    placed = with_position(cases.select("scenario", "idx"), ["scenario"], "idx").filter(F.col("group_n") >= 2 * block_size)
+    blocks = placed.groupBy("scenario", F.expr(f"CAST((position - 1) div {block_size}L AS INT)").alias("stage")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")
+    )
+    earlier = Window.partitionBy("scenario").orderBy("stage").rowsBetween(Window.unboundedPreceding, -1)  # over blocks
+    train = blocks.select(
+        "scenario", "stage", F.lit("train").alias("part"), F.sum("n").over(earlier).alias("n"),
+        F.min("first_idx").over(earlier).alias("first_idx"), F.max("last_idx").over(earlier).alias("last_idx"),
+    )
+    infer = blocks.select("scenario", "stage", F.lit("infer").alias("part"), "n", "first_idx", "last_idx")
+    return infer.unionByName(train).filter("stage > 0")
+
+
 # --- validation -------------------------------------------------------------------------------
 def window_counts(cases: DataFrame, start: int, end: int, expected: int) -> DataFrame:
     """Cases per scenario in the closed interval, and whether that is the expected number."""
@@ -233,7 +251,7 @@ def gap_ranges(cases: DataFrame, start: int, end: int) -> DataFrame:
     tail = inside.groupBy("scenario").agg((F.max("idx") + 1).cast("bigint").alias("gap_start")).withColumn(
         "gap_end", F.lit(end).cast("bigint")
     )
-    seen = cases.select("scenario").distinct().join(inside.select("scenario").distinct(), "scenario", "left_anti")
+    seen = cases.groupBy("scenario").agg(F.count_if(F.col("idx").between(start, end)).alias("n")).filter("n = 0")
     empty = seen.select("scenario", F.lit(start).cast("bigint").alias("gap_start"), F.lit(end).cast("bigint").alias("gap_end"))
     return inner.unionByName(tail).unionByName(empty).filter(F.col("gap_start") <= F.col("gap_end"))
 

@@ -66,7 +66,7 @@ SELECT method AS mode, scenario, count(*) AS n, sum(case_idx)::BIGINT AS total,
 def prediction_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write predictions in all formats, read the lines and the CSV back, and join the two."""
     ranked = rank_predictions(predictions(spark, sf_dir)).withColumn("mode", F.col("method")).drop("status")
-    meta = ranked.select(F.lit("brand rankings").alias("run")).limit(1)
+    meta = spark.createDataFrame([("brand rankings",)], "run string")
     out = new_folder(spark, "predictions")
     tables.write_predictions(ranked, meta, out, "all")
     lines = tables.read_jsonl(

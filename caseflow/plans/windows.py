@@ -152,10 +152,7 @@ SELECT s.scenario, s.stage::INT AS stage, CASE WHEN n.block = s.stage THEN 'infe
 FROM stages s JOIN numbered n ON n.scenario = s.scenario AND n.block <= s.stage
 WHERE s.scenario IN (SELECT event_type FROM events GROUP BY 1 HAVING count(*) >= 1000) GROUP BY 1, 2, 3""")
 def stage_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = inc.with_stages(cases(spark, sf_dir).select("scenario", "idx"), 500)
-    return members.groupBy("scenario", "stage", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")
-    )
+    return inc.stage_summary(cases(spark, sf_dir), 500)
 
 
 @registry.add("""SELECT event_type AS scenario, count(*) FILTER (event_id BETWEEN 51 AND (SELECT max(event_id) // 2 FROM events)) AS case_count,

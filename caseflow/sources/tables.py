@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow import vocab
+from caseflow.scale import materialize
 from caseflow.sources.labels import decoded
 
 PREDICTION_CSV = (
@@ -49,9 +50,12 @@ def csv_columns(predictions: DataFrame) -> list[Column]:
 def write_predictions(predictions: DataFrame, meta: DataFrame, out: str, fmt: str = "parquet") -> list[str]:
     """Write predictions under `out`, partitioned by mode, scenario and run_name where present.
 
-    `fmt` is parquet, jsonl, csv or all. Every task writes its own rows; nothing passes the driver.
+    `fmt` is parquet, json, jsonl, csv or all (json and jsonl are one object per line). Every task writes its own
+    rows; nothing passes the driver. For several formats the rows are computed once and written to the shared folder.
     """
     formats = ("parquet", "jsonl", "csv") if fmt == "all" else (fmt,)
+    if len(formats) > 1:
+        predictions = materialize(predictions, "predictions")
     parts = [c for c in ("mode", "scenario", "run_name") if c in predictions.columns]
     written = []
     for name in formats:
@@ -59,7 +63,7 @@ def write_predictions(predictions: DataFrame, meta: DataFrame, out: str, fmt: st
         if name == "csv":
             rows = predictions.select(*parts, *csv_columns(predictions))
             rows.write.partitionBy(*parts).option("header", "true").option("escape", '"').csv(target)
-        elif name == "jsonl":
+        elif name in ("json", "jsonl"):
             predictions.write.partitionBy(*parts).json(target)
         elif name == "parquet":
             predictions.write.partitionBy(*parts).parquet(target)
