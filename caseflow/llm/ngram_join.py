@@ -10,7 +10,7 @@ be in the next one, there too.
 
 1. Equal sets collapse into one class, represented by its smallest id.
 2. Members of a key are compared with the key's smallest id; what passes the sketch distance is verified on
-   the whole shingle sets.
+   the whole shingle sets, one partner per document first, then the pairs that are not connected by that.
 3. Keys whose members are not all connected yet are settled with twice the segments: linked sets then share
    many keys, and by the prefix principle at least one among the rarest of each side, so that groups of
    thousands of near copies meet only at the keys that tell them apart. Pairs already connected are skipped.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,7 +34,9 @@ from caseflow.llm.components import components
 from caseflow.llm.textblocks import LOWER, NOT_SPACE, Words, blocks, mix, rolling, words
 from caseflow.scale import materialize
 
-SKETCH_WORDS = 16  # 1,024 bits
+SKETCH_WORDS = 16  # 1,024 bits at least; twice as many bits as shingles
+# Keys that one task counts at a time.
+PART_KEYS = 1 << 21
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -96,12 +98,30 @@ def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], value[new]
 
 
-def parity(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
-    """Bit sketch of every row: each shingle flips one of SKETCH_WORDS * 64 bits."""
-    bits = SKETCH_WORDS * 64
+def parity(row: np.ndarray, value: np.ndarray, n_rows: int, width: int = SKETCH_WORDS) -> np.ndarray:
+    """Bit sketch of every row: each shingle flips one of width * 64 bits (a power of two).
+
+    The XOR of the halves of a sketch is the sketch of half the width.
+    """
+    bits = width * 64
     at = row * bits + (value & np.uint64(bits - 1)).astype(np.int64)
     flips = (np.bincount(at, minlength=n_rows * bits) & 1).astype(np.uint8)
-    return np.packbits(flips, bitorder="little").view(np.uint64).reshape(n_rows, SKETCH_WORDS)
+    return np.packbits(flips, bitorder="little").view(np.uint64).reshape(n_rows, width)
+
+
+def sketches(row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Sketches as wide as each row's set asks for."""
+    width = np.full(len(sizes), SKETCH_WORDS)
+    while (narrow := width * 32 < sizes).any():
+        width[narrow] *= 2
+    found: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(sizes)
+    base = np.concatenate([[0], np.cumsum(sizes)])
+    for w in np.unique(width):
+        for r in np.flatnonzero(width == w):
+            own = value[base[r] : base[r + 1]]
+            found[r] = parity(np.zeros(len(own), np.int64), own, 1, int(w))[0]
+    flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), pa.array(flat.view(np.int64)))
 
 
 def segment_parity(row: np.ndarray, value: np.ndarray, n_rows: int, segments: int) -> np.ndarray:
@@ -160,7 +180,6 @@ def _signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
                 row, value = shingle_sets(words(block, NOT_SPACE, LOWER), size)
                 sizes = np.bincount(row, minlength=n_rows)
                 one, two = set_hashes(value, sizes)
-                sketch = pa.FixedSizeListArray.from_arrays(pa.array(parity(row, value, n_rows).view(np.int64).ravel()), SKETCH_WORDS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(block.lo, n_rows),
@@ -168,12 +187,13 @@ def _signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
                         pa.array([bands.extra(b) for b in bands.of(sizes)], pa.int32()),
-                        sketch.cast(pa.list_(pa.int64())),
+                        pa.array([sum(bands.segments(b, False) for b in range(lo, hi + 1)) for lo, hi in zip(bands.of(sizes), bands.last(sizes), strict=True)], pa.int64()),
+                        sketches(row, value, sizes),
                     ],
-                    ["id", "n", "one", "two", "extra", "sketch"],
+                    ["id", "n", "one", "two", "extra", "n_keys", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, one bigint, two bigint, extra int, sketch array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, one bigint, two bigint, extra int, n_keys bigint, sketch array<bigint>")
 
 
 def _scan(docs: DataFrame, size: int, emit, schema: str, ids: DataFrame | None = None) -> DataFrame:
@@ -195,12 +215,57 @@ def _scan(docs: DataFrame, size: int, emit, schema: str, ids: DataFrame | None =
     return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, schema)
 
 
-def _keys(docs: DataFrame, size: int, bands: Bands, fine: bool, shared: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """(key, id, tag, band, need) of all documents; with `shared` (key) only keys in it, and few others.
+def _key_hash(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part of a key, and 40 of its bits: enough to tell which keys may be shared."""
+    return (keys % np.uint64(parts)).astype(np.int64), keys >> np.uint64(24)
 
-    tag is a hash of key and whole set, equal for copies. Of copies in one block only the smallest id emits.
+
+def _counted_keys(docs: DataFrame, size: int, bands: Bands, fine: bool, total: int, ids: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """(h, k): hashes of keys that at least two different sets emit, and by how many; the number of parts.
+
+    Keys travel packed in seven bytes, 40 bits of the key and 16 of a hash of key and whole set, which is equal for
+    copies. Two sets whose bits collide meet at their other keys; keys that collide are looked at in vain. A part
+    holds about PART_KEYS keys, whatever the input, and a key counts at most once per document in it.
     """
-    sent = None if shared is None else docs.sparkSession.sparkContext.broadcast(filters.build(shared, "key"))  # at most 16 MB
+    parts = int(total // PART_KEYS) + 1
+
+    def emit(own: pa.Array, row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        whole = set_hashes(value, sizes)[0]
+        found = [np.zeros(0, np.uint64)]
+        where = [np.zeros(0, np.int64)]
+        for _, rows, keys, _ in band_keys(row, value, sizes, bands, fine):
+            at, keys = np.repeat(rows, keys.shape[1]), keys.ravel()
+            part, short = _key_hash(keys[keys != 0], parts)
+            found.append((short << np.uint64(16)) | (mix(whole[at[keys != 0]] ^ keys[keys != 0]) >> np.uint64(48)))
+            where.append(part)
+        packed, part = np.concatenate(found), np.concatenate(where)
+        order = np.lexsort((packed, part))
+        packed, part = packed[order], part[order]
+        new = np.ones(len(packed), bool)
+        new[1:] = (packed[1:] != packed[:-1]) | (part[1:] != part[:-1])
+        packed, part = packed[new], part[new]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        pieces = [x.view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for x in np.split(packed, cuts[1:])] if len(packed) else []
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(pieces, pa.binary())], ["part", "keys"])
+
+    def count(group: pa.Table) -> pa.Table:
+        part = np.uint64(group["part"][0].as_py())
+        raw = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint8).reshape(-1, 7)
+        packed = np.zeros((len(raw), 8), np.uint8)
+        packed[:, :7] = raw
+        packed = np.unique(packed.view(np.uint64).ravel())
+        short, k = np.unique(packed >> np.uint64(16), return_counts=True)
+        h = mix((part << np.uint64(40)) ^ short[k > 1])
+        return pa.table({"h": pa.array(h.view(np.int64)), "k": pa.array(k[k > 1], pa.int64())})
+
+    packed = _scan(docs, size, emit, "part int, keys binary", ids)
+    return materialize(packed.groupBy("part").applyInArrow(count, "h bigint, k bigint"), "counted"), parts
+
+
+def _keys(docs: DataFrame, size: int, bands: Bands, fine: bool, counted: tuple[DataFrame, int], ids: DataFrame | None = None) -> DataFrame:
+    """(key, h, id, band, need) for counted keys, and few others. Of copies in one block only the smallest id emits."""
+    shared, parts = counted
+    sent = docs.sparkSession.sparkContext.broadcast(filters.build(shared, "h"))  # at most 16 MB
 
     def emit(own: pa.Array, row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         numbers = own.to_numpy()
@@ -211,15 +276,14 @@ def _keys(docs: DataFrame, size: int, bands: Bands, fine: bool, shared: DataFram
         for band, rows, found, need in band_keys(row, value, sizes, bands, fine):
             found[copy[rows]] = 0
             keys, at = found.ravel(), np.repeat(rows, found.shape[1])
-            ok = keys != 0
-            if sent is not None:
-                ok &= filters.passes(sent.value, keys)
-            keys, at = keys[ok], at[ok]
-            tags = (mix(whole[at] ^ keys) >> np.uint64(33)).astype(np.int32)
-            rest = [pa.array(np.full(len(keys), x), pa.int32()) for x in (band, need)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(numbers[at]), pa.array(tags), *rest], ["key", "id", "tag", "band", "need"])
+            part, short = _key_hash(keys, parts)
+            h = mix((part.astype(np.uint64) << np.uint64(40)) ^ short)
+            ok = (keys != 0) & filters.passes(sent.value, h)
+            rest = [pa.array(np.full(int(ok.sum()), x), pa.int32()) for x in (band, need)]
+            out = [pa.array(keys[ok].view(np.int64)), pa.array(h[ok].view(np.int64)), pa.array(numbers[at[ok]])]
+            yield pa.RecordBatch.from_arrays([*out, *rest], ["key", "h", "id", "band", "need"])
 
-    return _scan(docs, size, emit, "key bigint, id bigint, tag int, band int, need int", ids)
+    return _scan(docs, size, emit, "key bigint, h bigint, id bigint, band int, need int", ids)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -236,18 +300,45 @@ def _bound(percent: int):
     return F.expr(f"(na + nb) * {100 - percent} div {100 + percent}")
 
 
-def _near(pairs: DataFrame, percent: int):
-    """Keep (a, b) with na, nb, sa, sb by what sizes and sketches allow."""
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (apart <= _bound(percent)))
+def _near(pairs: DataFrame, percent: int) -> DataFrame:
+    """Keep (a, b) with na, nb, sa, sb by what sizes and sketches allow; sizes so close differ by one width at most."""
+    sized = pairs.filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
+    width = F.least(F.size("sa"), F.size("sb"))
+
+    def folded(sketch: str) -> Column:
+        halves = F.zip_with(F.slice(sketch, F.lit(1), width), F.slice(sketch, width + 1, width), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(sketch) > width, halves).otherwise(F.col(sketch))
+
+    apart = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return sized.filter(apart <= _bound(percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole shingle sets are similar enough, written to the shared folder."""
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    left = _sets(docs, pairs.select(F.col("a").alias("id")), size).select(F.col("id").alias("a"), F.col("items").alias("x"))
+    right = _sets(docs, pairs.select(F.col("b").alias("id")), size).select(F.col("id").alias("b"), F.col("items").alias("y"))
+    both = pairs.join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    kept = both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
+    return materialize(kept.select("a", "b").distinct(), "verified")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, before: DataFrame | None = None) -> DataFrame:
+    """Links among candidate pairs, enough for their components: `before` and these connect what all links connect.
+
+    Every document is compared with its smallest partner first; of the other pairs only those that are not
+    connected by then are left to compare.
+    """
+    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")), "first")
+    links = _verified(first, docs, size, percent)
+    links = links if before is None else links.unionByName(before)
+    known = components(links)
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(known.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    return materialize(links.unionByName(_verified(rest, docs, size, percent)), "links")
 
 
 def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
@@ -267,9 +358,9 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     reps = classes.select(F.col("rep").alias("id")).distinct()
     narrow = materialize(signed.join(reps, "id", "left_semi").select("id", "n", "extra", "sketch").dropDuplicates(["id", "n"]), "narrow")
     single = source.filter("id IS NOT NULL")
-    # Keys of different sets; copies agree in the tag. Two sets whose tags collide by chance meet at their other keys.
-    shared = _keys(single, size, bands, False).groupBy("key").agg(F.min("tag").alias("p"), F.max("tag").alias("q")).filter("p < q").select("key")
-    found = _keys(single, size, bands, False, materialize(shared, "shared")).select("key", "id").distinct()
+    total = signed.agg(F.sum("n_keys")).first()[0] or 0
+    counted = _counted_keys(single, size, bands, False, total)
+    found = _keys(single, size, bands, False, counted).select("key", "id").distinct()
     found = materialize(found.join(reps, "id", "left_semi"), "found")
     pivots = found.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top").drop("top")
     members = materialize(found.join(materialize(pivots, "pivots"), "key"), "members")
@@ -279,8 +370,7 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
 
     stars = members.filter("id <> pivot").select(F.col("id").alias("b"), F.col("pivot").alias("a")).distinct()
     stars = materialize(_near(stars.join(side("b"), "b").join(side("a"), "a"), percent).select("a", "b").distinct(), "stars")
-    sets = _sets(single, stars.select(F.explode(F.array("a", "b")).alias("id")), size)
-    links = materialize(_verified(stars, sets, percent), "links")
+    links = _linked(stars, single, size, percent)
 
     # Members of keys that are not connected yet; a key of two documents is settled by its one comparison.
     known = materialize(components(links), "known")
@@ -292,16 +382,16 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     unsettled = materialize(unsettled, "unsettled")
 
     # Of its 2 * need keys a document takes part with the `need` rarest; those it shares with nobody come first.
-    often = _keys(single, size, bands, True, ids=unsettled).groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    often = materialize(often, "often")
+    total = 2 * (signed.join(unsettled, "id", "left_semi").agg(F.sum("n_keys")).first()[0] or 0)
+    counted = _counted_keys(single, size, bands, True, total, unsettled)
     rank = F.row_number().over(Window.partitionBy("id", "band").orderBy(F.desc("k"), F.desc("key")))
-    shared = _keys(single, size, bands, True, often, unsettled).drop("tag").distinct().join(often, "key").withColumn("rank", rank)
+    shared = _keys(single, size, bands, True, counted, unsettled).distinct().join(counted[0], "h").withColumn("rank", rank)
     rare = shared.filter("rank > need").select("key", "id")  # `need` of 2 * need keys, the most frequent, stay out
     rare = materialize(rare.join(unsettled, "id").join(narrow, "id"), "rare")
     left = rare.select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = rare.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     more = materialize(_near(left.join(right, "key").filter("a < b AND pa <> pb"), percent).select("a", "b").distinct(), "more")
-    links = links.unionByName(_verified(more, _sets(single, more.select(F.explode(F.array("a", "b")).alias("id")), size), percent))
+    links = _linked(more, single, size, percent, links)
 
     final = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
     final = final.select("one", "two", "n", F.coalesce("component", "rep").alias("component_id"))
