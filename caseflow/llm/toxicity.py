@@ -5,7 +5,7 @@ and ordinary texts every word and word beginning occurs; words with a beginning
 frequent in toxic texts are the sample text of the toxic dictionary, recurring other words that of the ordinary
 one. A window is one word behind fixed common words, which keep zstandard's block overhead equal; its gain is
 the difference of its compressed lengths under both dictionaries. The last third calibrates: a logistic model
-over a text's distribution of gains and its length turns them into a probability.
+over a text's distribution of gains, by length of word, and its own length turns them into a probability.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ DICTIONARY_BYTES, LEVEL = 16_384, 12
 # Least z-value of a toxic beginning, and its lengths in letters.
 SIGNIFICANT, SHORTEST, LONGEST = 5.0, 4, 8
 LOW, HIGH = -4, 9
+# Word lengths in letters from which a new class begins: a byte saved on a short word says more.
+LENGTHS = (1, 5, 7, 10)
 SEED = 8
 
 
@@ -78,16 +80,17 @@ class Scorer:
         return len(self.ordinary.compress(window)) - len(self.toxic.compress(window)) - self.still
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: shares of words by gain, their roots, and the logarithm of the word count."""
+        """Per text: shares of words by gain and length class, their roots, and the logarithm of the word count."""
         points, start, length, row = letter_runs(texts)
-        bins = HIGH - LOW + 1
+        bins = (HIGH - LOW + 1) * len(LENGTHS)
         table = np.zeros((len(texts), bins))
         if len(row):
             first, which = distinct_words(points, start, length)
             gains = np.array(
                 [self.gain(points[start[i] : start[i] + length[i]].tobytes().decode("utf-32-le", "replace").encode("utf-8", "replace")) for i in first]
             )
-            place = np.clip(gains, LOW, HIGH) - LOW
+            long = np.searchsorted(LENGTHS, length[first], "right") - 1
+            place = (np.clip(gains, LOW, HIGH) - LOW) * len(LENGTHS) + long
             table = np.bincount(row * bins + place[which], minlength=len(texts) * bins).reshape(len(texts), bins).astype(float)
         count = np.maximum(table.sum(1, keepdims=True), 1)
         share = table / count
