@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow import vocab
 from caseflow.operators import features as feat
 from caseflow.operators import flow, tree
 from caseflow.plans import documents, windows
@@ -166,11 +167,72 @@ FROM placed p JOIN top USING (scenario, leaf) WHERE NOT train"""
 
 @registry.add(_sql_flow())
 def tree_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selections, train window, features, trees of one split, predictions and checkpoints from event documents."""
+    """The capped form: the first FLOW_NEW new cases of each scenario under trees of one split; `tree_flow_all` takes all."""
+    return _flow_rows(spark, sf_dir, max_new=FLOW_NEW, max_depth=1)
+
+
+def _flow_rows(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
     rows = [(s, sel["log"], sel["kpi"]) for s, sel in documents.SCENARIO_SELECTIONS.items()]
     selections = spark.createDataFrame(rows, "scenario string, log array<string>, kpi map<string,array<string>>")
-    found = flow.tree_flow(
-        documents.cases(spark, sf_dir), selections, windows.checkpoints(spark, sf_dir), train_n=FLOW_TRAIN, max_new=FLOW_NEW, max_depth=1
-    )
+    found = flow.tree_flow(documents.cases(spark, sf_dir), selections, windows.checkpoints(spark, sf_dir), train_n=FLOW_TRAIN, **limits)
     marks = found.checkpoints.filter("mode = 'tree_infer'").select(F.col("folder").alias("scenario"), "last_index")
     return found.predictions.select("scenario", "idx", "leaf", "pred_top1_rc", "is_correct").join(marks, "scenario")
+
+
+def _sql_flow_level(depth: int) -> str:
+    """Best splits of the impure nodes on one level, and every case moved below them."""
+    at, name, moved = f"at{depth}", f"best{depth}", f"at{depth + 1}"
+    return f"""
+open{depth} AS (
+  SELECT scenario, node FROM {at} WHERE train AND node >= {2**depth} GROUP BY 1, 2 HAVING count(DISTINCT root) > 1 AND count(*) >= 20),
+long{depth} AS (
+  SELECT a.scenario, a.node, a.root, l.f, l.x FROM {at} a JOIN open{depth} USING (scenario, node)
+  JOIN long l ON l.scenario = a.scenario AND l.idx = a.idx WHERE a.train),
+steps{depth} AS (
+  SELECT scenario, node, f, x, lead(x) OVER (PARTITION BY scenario, node, f ORDER BY x) AS next_x
+  FROM (SELECT DISTINCT scenario, node, f, x FROM long{depth})),
+sides{depth} AS (
+  SELECT s.scenario, s.node, s.f, s.x, s.next_x, root, count(*) FILTER (l.x <= s.x) AS a, count(*) FILTER (l.x > s.x) AS b
+  FROM steps{depth} s JOIN long{depth} l ON l.scenario = s.scenario AND l.node = s.node AND l.f = s.f WHERE next_x IS NOT NULL GROUP BY ALL),
+{name} AS (
+  SELECT scenario, node, f, (x + next_x) / 2 AS threshold FROM sides{depth}
+  GROUP BY scenario, node, f, x, next_x HAVING sum(a) >= 10 AND sum(b) >= 10
+  QUALIFY row_number() OVER (PARTITION BY scenario, node
+    ORDER BY sum(a * a)::DOUBLE / sum(a) + sum(b * b)::DOUBLE / sum(b) DESC, f, x) = 1),
+{moved} AS (
+  SELECT c.scenario, c.idx, c.root, c.train, CASE WHEN b.f IS NULL THEN c.node WHEN l.x > b.threshold THEN c.node * 2 + 1 ELSE c.node * 2 END AS node
+  FROM {at} c LEFT JOIN {name} b USING (scenario, node) LEFT JOIN long l ON l.scenario = c.scenario AND l.idx = c.idx AND l.f = b.f)"""
+
+
+def _sql_flow_all() -> str:
+    """Trees of three levels over the selected features and every new case, found like in `_sql_flow`."""
+    sql, places = documents._sql_features(), {rule[0]: i for i, rule in enumerate(feat.feature_rules())}
+    arms = []
+    for scenario, selection in documents.SCENARIO_SELECTIONS.items():
+        pairs = ", ".join(f"{{'f': {places[n]}, 'x': ({sql[n]})::FLOAT::DOUBLE}}" for n in documents._selected_names(selection))
+        arms.append(f"SELECT scenario, e AS idx, unnest([{pairs}]) AS p FROM chosen WHERE scenario = '{scenario}'")
+    return f"""WITH {documents.SQL_EVENTS}, {windows.SQL_CASES},
+rooted AS (SELECT *, {documents.SQL_ROOT} AS root FROM ev),
+new_ AS (SELECT r.* FROM rooted r JOIN fresh f ON f.scenario = r.scenario AND f.idx = r.e),
+train_ AS (
+  SELECT r.* FROM rooted r JOIN (SELECT scenario, min(e) AS first_e FROM new_ GROUP BY 1) b ON b.scenario = r.scenario AND r.e < b.first_e
+  WHERE root <> '' QUALIFY row_number() OVER (PARTITION BY r.scenario ORDER BY e DESC) <= {FLOW_TRAIN}),
+chosen AS (SELECT *, true AS train FROM train_ UNION ALL SELECT *, false FROM new_),
+long AS (SELECT scenario, idx, p.f AS f, p.x AS x FROM ({" UNION ALL ".join(arms)})),
+at0 AS (SELECT scenario, e AS idx, root, train, 1 AS node FROM chosen),
+{", ".join(_sql_flow_level(d) for d in range(vocab.MAX_DEPTH))},
+top AS (
+  SELECT scenario, node, root AS best_root FROM at{vocab.MAX_DEPTH} WHERE train GROUP BY 1, 2, 3
+  QUALIFY row_number() OVER (PARTITION BY scenario, node ORDER BY count(*) DESC, root) = 1)
+SELECT p.scenario, p.idx, node::BIGINT AS leaf, best_root AS pred_top1_rc, CASE WHEN root <> '' THEN root = best_root END AS is_correct,
+       max(p.idx) OVER (PARTITION BY p.scenario) AS last_index
+FROM at{vocab.MAX_DEPTH} p JOIN top USING (scenario, node) WHERE NOT train"""
+
+
+@registry.add(_sql_flow_all())
+def tree_flow_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections, train window, features, trees, predictions and checkpoints from event documents, for every new case.
+
+    Signups have no checkpoint, so no earlier case to learn from: they stay without predictions and without a mark.
+    """
+    return _flow_rows(spark, sf_dir)
