@@ -20,8 +20,9 @@ from caseflow.llm.textblocks import rolling_words
 from caseflow.scale import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-MAX_PIECE, MAX_WORD = 6, 40
 TRAIN_DOCS, ROUNDS, SMOOTH = 1500, 2, 0.1
+# Positions between two rescalings of prefix sums, and letters of words of one length handled at once.
+STRIDE, CELLS = 8, 1 << 20
 # Characters handled at once.
 CHARS = 4 << 20
 
@@ -44,7 +45,7 @@ def pieces(path: str, alphabet: set[str]) -> list[str]:
                 piece = base64.b64decode(line.split()[0]).decode().strip().lower()
             except UnicodeDecodeError:
                 continue  # a part of a character
-            if 0 < len(piece) <= MAX_PIECE and set(piece) <= alphabet:
+            if piece and set(piece) <= alphabet:
                 found.add(piece)
     return sorted(found)
 
@@ -59,6 +60,7 @@ class Lattice:
     def __init__(self, vocabulary: list[str], languages: list[str]):
         self.languages = languages
         alphabet = sorted({c for p in vocabulary for c in p})
+        self.longest = max(map(len, vocabulary), default=1)
         self.symbols = np.zeros(0x110000, np.int16)
         self.symbols[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
         rows: list[dict[int, int]] = [{}, {}]
@@ -81,36 +83,66 @@ class Lattice:
         self.p = np.where(self.terminal[:, None], 1.0 / n, 0.0).repeat(len(languages), 1)
         self.prior = np.full(len(languages), 1.0 / max(len(languages), 1))
 
-    def _steps(self, codes: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(end, state) of the pieces that start at position i of every word."""
-        state = np.zeros(len(codes), np.int32)
-        for j in range(i, min(i + MAX_PIECE, codes.shape[1])):
-            state = self.moves[state, codes[:, j]]
-            yield j + 1, state
+    def _steps(self, codes: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(end, words, states) of the pieces that start at position i, with the words such a piece goes on in."""
+        own, state = np.arange(len(codes)), np.zeros(len(codes), np.int32)
+        for j in range(i, min(i + self.longest, codes.shape[1])):
+            state = self.moves[state, codes[own, j]]
+            alive = state != 1
+            if not alive.all():
+                own, state = own[alive], state[alive]
+            if not len(own):
+                return
+            yield j + 1, own, state
+
+    def _scaled(self, codes: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix probabilities (word, position, language) of words of one length, as multiples of the exponentials
+        (position // STRIDE, word, language).
+
+        Every STRIDE positions what is open is divided by its largest value, so words of any length keep their digits.
+        """
+        n = codes.shape[1]
+        alpha = np.zeros((len(codes), n + 1, p.shape[1]))
+        alpha[:, 0] = 1
+        logs = np.zeros((n // STRIDE + 1, len(codes), p.shape[1]))
+        for i in range(n + 1):
+            if i and i % STRIDE == 0:
+                open_ = alpha[:, i : i + self.longest]
+                top = open_.max(1)
+                open_ /= top[:, None]
+                logs[i // STRIDE] = logs[i // STRIDE - 1] + np.log(top)
+            for end, own, state in self._steps(codes, i):
+                alpha[own, end] += alpha[own, i] * p[state]
+        return alpha, logs
 
     def forward(self, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Prefix probabilities (word, position, language) of words of one length."""
-        alpha = np.zeros((len(codes), codes.shape[1] + 1, p.shape[1]))
-        alpha[:, 0] = 1
-        for i in range(codes.shape[1]):
-            for end, state in self._steps(codes, i):
-                alpha[:, end] += alpha[:, i] * p[state]
-        return alpha
+        """Prefix probabilities (word, position, language) of words of one length; of long words they may be 0."""
+        alpha, logs = self._scaled(codes, p)
+        return alpha * np.exp(logs[np.arange(alpha.shape[1]) // STRIDE]).swapaxes(0, 1)
+
+    def log_words(self, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Log-probabilities (word, language) of words of one length."""
+        alpha, logs = self._scaled(codes, p)
+        return np.log(alpha[:, -1]) + logs[-1]
 
     def expected(self, codes: np.ndarray, counts: np.ndarray, language: int) -> np.ndarray:
         """Expected uses of every state's piece over all segmentations of the words."""
         p = self.p[:, [language]]
         n = codes.shape[1]
-        alpha = self.forward(codes, p)[:, :, 0]
-        beta = np.zeros((len(codes), n + 1))
-        beta[:, n] = 1
+        alpha, logs = self._scaled(codes, p)
+        alpha, logs = alpha[:, :, 0], logs[np.arange(n + 1) // STRIDE, :, 0].T
+        with np.errstate(divide="ignore"):
+            log_p, begins = np.log(p[:, 0]), np.log(alpha) + logs
+        ends = np.where(alpha > 0, begins, np.inf)
+        # How often a segmentation has a border at a position; a border's pieces share it by their prefixes.
+        border = np.zeros((len(codes), n + 1))
+        border[:, n] = 1
         total = np.zeros(len(self.p))
-        weight = counts / alpha[:, n]
         for i in reversed(range(n)):
-            for end, state in self._steps(codes, i):
-                beta[:, i] += p[state, 0] * beta[:, end]
-            for end, state in self._steps(codes, i):
-                total += np.bincount(state, weight * alpha[:, i] * p[state, 0] * beta[:, end], len(total))
+            for end, own, state in self._steps(codes, i):
+                share = border[own, end] * np.exp(begins[own, i] + log_p[state] - ends[own, end])
+                border[own, i] += share
+                total += np.bincount(state, counts[own] * share, len(total))
         return total
 
     def update(self, totals: np.ndarray) -> None:
@@ -119,19 +151,20 @@ class Lattice:
 
 
 def by_length(points: np.ndarray, start: np.ndarray, length: np.ndarray, symbols: np.ndarray, step: int = 1 << 15):
-    """(word indices, code matrix) for words of equal length, at most `step` at a time."""
+    """(word indices, code matrix) for words of equal length, at most `step` words and about CELLS letters at a time."""
     order = np.argsort(length, kind="stable")
     cuts = np.flatnonzero(np.diff(length[order])) + 1
     for same in np.split(order, cuts) if len(order) else ():
-        for at in range(0, len(same), step):
-            own = same[at : at + step]
+        rows = min(step, max(1, CELLS // max(1, int(length[same[0]]))))
+        for at in range(0, len(same), rows):
+            own = same[at : at + rows]
             yield own, symbols[points[start[own][:, None] + np.arange(length[own[0]])]]
 
 
-def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def letter_runs(texts: list[str], longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts, and start, length and text of every word.
 
-    A run of over MAX_WORD letters counts as several words of that length.
+    With `longest`, a longer run of letters counts as several words of that length.
     """
     lowered = [t.lower() for t in texts]
     points = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -139,10 +172,11 @@ def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     letter = np.zeros(len(points) + 2, bool)
     letter[1:-1] = is_letter()[points]
     start, end = np.flatnonzero(letter[1:-1] & ~letter[:-2]), np.flatnonzero(letter[1:-1] & ~letter[2:]) + 1
-    parts = -(-(end - start) // MAX_WORD)
-    base = np.repeat(start, parts) + MAX_WORD * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    length = np.minimum(MAX_WORD, np.repeat(end, parts) - base)
-    return points, base, length, np.searchsorted(bounds, base, "right") - 1
+    if longest is not None:
+        parts = -(-(end - start) // longest)
+        base = np.repeat(start, parts) + longest * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        start, end = base, np.minimum(base + longest, np.repeat(end, parts))
+    return points, start, end - start, np.searchsorted(bounds, start, "right") - 1
 
 
 def portions(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -233,7 +267,7 @@ def log_likelihoods(lattice: Lattice, texts: list[str]) -> tuple[np.ndarray, np.
         first, which = distinct_words(points, start, length)
         logs = np.zeros((len(first), len(lattice.languages)))
         for own, codes in by_length(points, start[first], length[first], lattice.symbols):
-            logs[own] = np.log(lattice.forward(codes, lattice.p)[:, -1])
+            logs[own] = lattice.log_words(codes, lattice.p)
         for k in range(out.shape[1]):
             out[:, k] = np.bincount(row, logs[which, k], len(texts))
     return out, words

@@ -27,6 +27,8 @@ DICTIONARY_BYTES, LEVEL = 16_384, 12
 # Least z-value of a toxic beginning, and its lengths in letters.
 SIGNIFICANT, SHORTEST, LONGEST = 5.0, 4, 8
 LOW, HIGH = -4, 9
+# Letters of one window; longer runs of letters are several.
+MAX_WORD = 40
 # Word lengths in letters from which a new class begins: a byte saved on a short word says more.
 LENGTHS = (1, 5, 7, 10)
 SEED = 8
@@ -81,7 +83,7 @@ class Scorer:
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: shares of words by gain and length class, their roots, and the logarithm of the word count."""
-        points, start, length, row = letter_runs(texts)
+        points, start, length, row = letter_runs(texts, MAX_WORD)
         bins = (HIGH - LOW + 1) * len(LENGTHS)
         table = np.zeros((len(texts), bins))
         if len(row):
@@ -127,7 +129,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", id: str
         for batch in batches:
             labels = np.asarray(batch.column(1))
             for at, texts in portions(batch.column(0)):
-                points, start, length, row = letter_runs(texts)
+                points, start, length, row = letter_runs(texts, MAX_WORD)
                 own: list[set[str]] = [set() for _ in texts]
                 for s, n, r in zip(start, length, row, strict=True):
                     own[r].add(points[s : s + n].tobytes().decode("utf-32-le", "replace"))
