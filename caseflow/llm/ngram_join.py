@@ -402,13 +402,33 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row of every group of near copies: the one with the smallest id; all columns of `docs` stay.
 
-    Repeated rows under one id count as copies, and one of them stays. Rows without an id, and texts without words, stay.
+    Rows of one id and one text count as copies, and one of them stays; different texts under one id are documents of
+    their own. Rows without an id, and texts without words, stay.
     """
-    found = ngram_components(docs, id, text, size, percent)
-    number = F.col(id).cast("bigint")
-    repeated = docs.groupBy(number.alias("_id")).count().filter("_id IS NOT NULL AND count > 1").select("_id")
-    repeated = materialize(repeated, "repeated")
-    losers = found.filter("id <> component_id").select(F.col("id").alias("_id"))
-    kept = filters.without(docs, losers.union(repeated), id)
-    again = docs.join(repeated.join(losers, "_id", "left_anti"), number == F.col("_id"), "left_semi")
-    return kept.unionByName(again.dropDuplicates([id]))
+    number, mark = F.col(id).cast("bigint"), F.xxhash64(F.col(text).cast("string"))
+    seen = docs.groupBy(number.alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.min(mark).alias("_first"), F.max(mark).alias("_last"))
+    repeated = materialize(seen.filter("_id IS NOT NULL AND _n > 1"), "repeated")
+    torn = repeated.filter("_first <> _last").select("_id", "_first")
+    split = not torn.isEmpty()
+    keyed = docs.withColumn("__node", number)
+    if split:
+        # The text with the smallest hash keeps the id, every other one goes by a hash of both.
+        node = F.when(mark == F.col("_first"), number).otherwise(F.xxhash64(number, mark))
+        several = materialize(docs.join(torn, number == F.col("_id")).withColumn("__node", node), "several")
+        keyed = filters.without(docs, torn.select("_id"), id).withColumn("__node", number).unionByName(several.drop("_id", "_first"))
+        repeated = materialize(keyed.groupBy(F.col("__node").alias("_id")).count().filter("_id IS NOT NULL AND count > 1"), "repeated_nodes")
+    repeated = repeated.select("_id")
+
+    found = ngram_components(keyed, "__node", text, size, percent)
+    stays = F.col("component_id")
+    if split:
+        found = materialize(found, "found")
+        real = several.select(F.col("__node").alias("id"), F.col("_id").alias("real")).distinct()
+        mixed = found.join(found.join(real, "id", "left_semi").select("component_id").distinct(), "component_id", "left_semi")
+        smallest = mixed.join(real, "id", "left").groupBy("component_id").agg(F.min(F.struct(F.coalesce("real", "id"), "id"))["id"].alias("smallest"))
+        found = found.join(smallest, "component_id", "left")
+        stays = F.coalesce("smallest", "component_id")
+    losers = materialize(found.filter(F.col("id") != stays).select(F.col("id").alias("_id")), "losers")
+    kept = filters.without(keyed, losers.union(repeated), "__node")
+    again = keyed.join(repeated.join(losers, "_id", "left_anti"), F.col("__node") == F.col("_id"), "left_semi")
+    return kept.unionByName(again.dropDuplicates(["__node"])).drop("__node")
