@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,28 @@ def passes(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ok
 
 
+class Held:
+    """Filters that are broadcast inside a `with` block and leave all executors at its end.
+
+    What reads them has to be written by then.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.context = docs.sparkSession.sparkContext
+        self.sent: list[Broadcast] = []
+
+    def __enter__(self) -> Held:
+        return self
+
+    def filter(self, members: DataFrame, column: str) -> Broadcast:
+        self.sent.append(self.context.broadcast(build(members, column)))  # at most MAX_BITS
+        return self.sent[-1]
+
+    def __exit__(self, *_: object) -> None:
+        for one in self.sent:
+            one.destroy()
+
+
 def without(docs: DataFrame, gone: DataFrame, id: str = "doc_id") -> DataFrame:
     """Rows of `docs` whose id is not in the single column of `gone`; rows that the filter clears are not shuffled."""
     gone = materialize(gone.select(F.col(gone.columns[0]).cast("bigint").alias("__gone")).filter("__gone IS NOT NULL").distinct(), "gone")

@@ -36,7 +36,9 @@ from caseflow.scale import materialize
 
 SKETCH_WORDS = 16  # 1,024 bits at least; twice as many bits as shingles
 # Keys that one task counts at a time.
-PART_KEYS = 1 << 21
+PART_KEYS = 1 << 20
+# Pairs of one document that one task verifies.
+PAIR_ROWS = 512
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -196,12 +198,12 @@ def _signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n bigint, one bigint, two bigint, extra int, n_keys bigint, sketch array<bigint>")
 
 
-def _scan(docs: DataFrame, size: int, emit, schema: str, ids: DataFrame | None = None) -> DataFrame:
+def _scan(docs: DataFrame, size: int, emit, schema: str, held: filters.Held, ids: DataFrame | None = None) -> DataFrame:
     """emit(ids, rows, hashes, sizes) per block of shingle sets; with `ids` only of those documents, and few others."""
     sent = None
     if ids is not None:
         ids = materialize(ids.select(F.xxhash64("id").alias("h")).distinct(), "ids")
-        sent = docs.sparkSession.sparkContext.broadcast(filters.build(ids, "h"))  # at most 16 MB
+        sent = held.filter(ids, "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,16 +218,17 @@ def _scan(docs: DataFrame, size: int, emit, schema: str, ids: DataFrame | None =
 
 
 def _key_hash(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part of a key, and 40 of its bits: enough to tell which keys may be shared."""
-    return (keys % np.uint64(parts)).astype(np.int64), keys >> np.uint64(24)
+    """Part of a key, and 32 of its bits: enough to tell which keys may be shared."""
+    return (keys % np.uint64(parts)).astype(np.int64), keys >> np.uint64(32)
 
 
 def _counted_keys(docs: DataFrame, size: int, bands: Bands, fine: bool, total: int, ids: DataFrame | None = None) -> tuple[DataFrame, int]:
     """(h, k): hashes of keys that at least two different sets emit, and by how many; the number of parts.
 
-    Keys travel packed in seven bytes, 40 bits of the key and 16 of a hash of key and whole set, which is equal for
-    copies. Two sets whose bits collide meet at their other keys; keys that collide are looked at in vain. A part
-    holds about PART_KEYS keys, whatever the input, and a key counts at most once per document in it.
+    Keys travel packed in eight bytes, 32 bits of the key and 32 of a hash of key and whole set, which is equal for
+    copies and differs from key to key. Linked sets share at least two keys, so that a link is lost only where 32 bits
+    collide at each of them; keys that collide are looked at in vain. A part holds about PART_KEYS keys, whatever
+    the input, and a key counts at most once per document in it.
     """
     parts = int(total // PART_KEYS) + 1
 
@@ -236,7 +239,7 @@ def _counted_keys(docs: DataFrame, size: int, bands: Bands, fine: bool, total: i
         for _, rows, keys, _ in band_keys(row, value, sizes, bands, fine):
             at, keys = np.repeat(rows, keys.shape[1]), keys.ravel()
             part, short = _key_hash(keys[keys != 0], parts)
-            found.append((short << np.uint64(16)) | (mix(whole[at[keys != 0]] ^ keys[keys != 0]) >> np.uint64(48)))
+            found.append((short << np.uint64(32)) | (mix(whole[at[keys != 0]] ^ keys[keys != 0]) >> np.uint64(32)))
             where.append(part)
         packed, part = np.concatenate(found), np.concatenate(where)
         order = np.lexsort((packed, part))
@@ -245,27 +248,26 @@ def _counted_keys(docs: DataFrame, size: int, bands: Bands, fine: bool, total: i
         new[1:] = (packed[1:] != packed[:-1]) | (part[1:] != part[:-1])
         packed, part = packed[new], part[new]
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        pieces = [x.view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for x in np.split(packed, cuts[1:])] if len(packed) else []
+        pieces = [x.tobytes() for x in np.split(packed, cuts[1:])] if len(packed) else []
         yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(pieces, pa.binary())], ["part", "keys"])
 
     def count(group: pa.Table) -> pa.Table:
         part = np.uint64(group["part"][0].as_py())
-        raw = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint8).reshape(-1, 7)
-        packed = np.zeros((len(raw), 8), np.uint8)
-        packed[:, :7] = raw
-        packed = np.unique(packed.view(np.uint64).ravel())
-        short, k = np.unique(packed >> np.uint64(16), return_counts=True)
+        packed = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint64)
+        packed = np.unique(packed)
+        short, k = np.unique(packed >> np.uint64(32), return_counts=True)
         h = mix((part << np.uint64(40)) ^ short[k > 1])
         return pa.table({"h": pa.array(h.view(np.int64)), "k": pa.array(k[k > 1], pa.int64())})
 
-    packed = _scan(docs, size, emit, "part int, keys binary", ids)
-    return materialize(packed.groupBy("part").applyInArrow(count, "h bigint, k bigint"), "counted"), parts
+    with filters.Held(docs) as held:
+        packed = _scan(docs, size, emit, "part int, keys binary", held, ids)
+        return materialize(packed.groupBy("part").applyInArrow(count, "h bigint, k bigint"), "counted"), parts
 
 
-def _keys(docs: DataFrame, size: int, bands: Bands, fine: bool, counted: tuple[DataFrame, int], ids: DataFrame | None = None) -> DataFrame:
+def _keys(docs: DataFrame, size: int, bands: Bands, fine: bool, counted: tuple[DataFrame, int], held: filters.Held, ids: DataFrame | None = None) -> DataFrame:
     """(key, h, id, band, need) for counted keys, and few others. Of copies in one block only the smallest id emits."""
     shared, parts = counted
-    sent = docs.sparkSession.sparkContext.broadcast(filters.build(shared, "h"))  # at most 16 MB
+    sent = held.filter(shared, "h")
 
     def emit(own: pa.Array, row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         numbers = own.to_numpy()
@@ -283,7 +285,7 @@ def _keys(docs: DataFrame, size: int, bands: Bands, fine: bool, counted: tuple[D
             out = [pa.array(keys[ok].view(np.int64)), pa.array(h[ok].view(np.int64)), pa.array(numbers[at[ok]])]
             yield pa.RecordBatch.from_arrays([*out, *rest], ["key", "h", "id", "band", "need"])
 
-    return _scan(docs, size, emit, "key bigint, h bigint, id bigint, band int, need int", ids)
+    return _scan(docs, size, emit, "key bigint, h bigint, id bigint, band int, need int", held, ids)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -293,7 +295,8 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(value.view(np.int64)))
         yield pa.RecordBatch.from_arrays([own, items], ["id", "items"])
 
-    return materialize(_scan(docs, size, emit, "id bigint, items array<bigint>", ids), "sets")
+    with filters.Held(docs) as held:
+        return materialize(_scan(docs, size, emit, "id bigint, items array<bigint>", held, ids), "sets")
 
 
 def _bound(percent: int):
@@ -314,11 +317,20 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole shingle sets are similar enough, written to the shared folder."""
+    """Pairs (a, b) whose whole shingle sets are similar enough, written to the shared folder.
+
+    A document with many partners is dealt over tasks of PAIR_ROWS pairs, and its set is repeated in each of them. More
+    than a ten-thousandth of all pairs go to one task where fewer would make that list of documents unbounded.
+    """
     pairs = materialize(pairs.select("a", "b"), "pairs")
+    load = F.greatest(F.lit(float(PAIR_ROWS)), pairs.agg(F.count(F.lit(1)) / 10_000).scalar())
+    busy = pairs.groupBy("a").count().filter(F.col("count") > load)
+    busy = F.broadcast(busy.select("a", F.ceil(F.col("count") / load).cast("int").alias("parts")))  # fewer than 10,000 rows
     left = _sets(docs, pairs.select(F.col("a").alias("id")), size).select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = _sets(docs, pairs.select(F.col("b").alias("id")), size).select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(right, "b").join(left, "a")
+    dealt = pairs.join(busy, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    repeated = left.join(busy, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    both = dealt.join(right, "b").join(repeated, ["a", "part"])
     shared = F.size(F.array_intersect("x", "y"))
     kept = both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
     return materialize(kept.select("a", "b").distinct(), "verified")
@@ -360,8 +372,9 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     single = source.filter("id IS NOT NULL")
     total = signed.agg(F.sum("n_keys")).first()[0] or 0
     counted = _counted_keys(single, size, bands, False, total)
-    found = _keys(single, size, bands, False, counted).select("key", "id").distinct()
-    found = materialize(found.join(reps, "id", "left_semi"), "found")
+    with filters.Held(docs) as held:
+        found = _keys(single, size, bands, False, counted, held).select("key", "id").distinct()
+        found = materialize(found.join(reps, "id", "left_semi"), "found")
     pivots = found.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top").drop("top")
     members = materialize(found.join(materialize(pivots, "pivots"), "key"), "members")
 
@@ -376,18 +389,20 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     known = materialize(components(links), "known")
     placed = members.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("part").alias("p"), F.max("part").alias("q")).filter("k > 2 AND p < q")
-    # Two linked documents that are not connected yet share more than `extra` keys, all of them open.
+    # Two linked documents that are not connected yet share more than `extra` keys, all of them open but for one
+    # whose owners collide in _counted_keys.
     unsettled = placed.join(open_keys.select("key"), "key", "left_semi").groupBy("id", "part").agg(F.countDistinct("key").alias("keys"))
-    unsettled = unsettled.join(narrow.groupBy("id").agg(F.min("extra").alias("extra")), "id").filter("keys > extra").select("id", "part")
+    unsettled = unsettled.join(narrow.groupBy("id").agg(F.min("extra").alias("extra")), "id").filter("keys >= extra").select("id", "part")
     unsettled = materialize(unsettled, "unsettled")
 
     # Of its 2 * need keys a document takes part with the `need` rarest; those it shares with nobody come first.
     total = 2 * (signed.join(unsettled, "id", "left_semi").agg(F.sum("n_keys")).first()[0] or 0)
     counted = _counted_keys(single, size, bands, True, total, unsettled)
     rank = F.row_number().over(Window.partitionBy("id", "band").orderBy(F.desc("k"), F.desc("key")))
-    shared = _keys(single, size, bands, True, counted, unsettled).distinct().join(counted[0], "h").withColumn("rank", rank)
-    rare = shared.filter("rank > need").select("key", "id")  # `need` of 2 * need keys, the most frequent, stay out
-    rare = materialize(rare.join(unsettled, "id").join(narrow, "id"), "rare")
+    with filters.Held(docs) as held:
+        shared = _keys(single, size, bands, True, counted, held, unsettled).distinct().join(counted[0], "h").withColumn("rank", rank)
+        rare = shared.filter("rank > need").select("key", "id")  # `need` of 2 * need keys, the most frequent, stay out
+        rare = materialize(rare.join(unsettled, "id").join(narrow, "id"), "rare")
     left = rare.select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = rare.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     more = materialize(_near(left.join(right, "key").filter("a < b AND pa <> pb"), percent).select("a", "b").distinct(), "more")

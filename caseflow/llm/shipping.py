@@ -11,10 +11,18 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+# Texts reach workers in batches of this size instead of the default one, which with several workers is much memory.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per application: ask a worker for the package, and send it as a zip file if it is missing."""
+    """Prepare a session for the operators with Python in their tasks.
+
+    Batch sizes that the user did not set are lowered. Once per application a worker is asked for the package, which
+    is sent as a zip file if it is missing there.
+    """
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -1,7 +1,8 @@
 """Vectorised words and hashes over Arrow text columns.
 
-A text column is walked in blocks of about `BLOCK` bytes, so that the arrays of one value per byte stay
-small whatever the Arrow batch holds; a longer document is a block of its own. Null texts count as empty.
+A text column is walked in blocks of about `BLOCK` bytes, so that what is held per word stays small whatever the
+Arrow batch holds; a longer document is a block of its own. Its bytes are marked by a few flags of one byte and hashed
+in steps, also inside one long word. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
+# Bytes that are hashed at once.
+STEP = 1 << 18
 
 # Byte classes. Bytes over 0x7F belong to words everywhere.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -105,12 +108,42 @@ def words(block: Block, member: np.ndarray, fold: np.ndarray) -> Words:
     before[edges] = False
     after[edges - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    del before, after
+    return Words(start, end, _word_hashes(folded, start, end), np.searchsorted(start, block.bounds).astype(np.int64))
+
+
+def _word_hashes(folded: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = STEP) -> np.ndarray:
+    """Hashes of byte ranges, about `step` bytes at a time, so that a long text takes no 64-bit value per byte."""
     length = end - start
-    powers = _POWERS if length.max() <= len(_POWERS) else _powers(_BASE, int(length.max()))
-    first = np.concatenate([[0], np.cumsum(length)[:-1]])
-    place = np.arange(int(length.sum())) - np.repeat(first, length)
-    hashes = mix(np.add.reduceat(_BYTE_VALUES[folded[inside]] * powers[place], first) + length.astype(np.uint64))
-    return Words(start, end, hashes, np.searchsorted(start, block.bounds).astype(np.int64))
+    upto = np.cumsum(length)
+    found = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        done = int(upto[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + step, "right")))
+        if length[lo] > step:
+            found[lo] = _long_word(folded[start[lo] : end[lo]], step)
+            lo += 1
+            continue
+        own = length[lo:hi]
+        powers = _POWERS if own.max() <= len(_POWERS) else _powers(_BASE, int(own.max()))
+        first = np.cumsum(own) - own
+        place = np.arange(int(own.sum())) - np.repeat(first, own)
+        values = _BYTE_VALUES[folded[np.repeat(start[lo:hi], own) + place]]
+        found[lo:hi] = np.add.reduceat(values * powers[place], first)
+        lo = hi
+    return mix(found + length.astype(np.uint64))
+
+
+def _long_word(data: np.ndarray, step: int) -> np.uint64:
+    """The sum of _word_hashes() for one word of more than `step` bytes."""
+    total, factor, powers = np.uint64(0), np.uint64(1), _powers(_BASE, step)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), step):
+            part = data[at : at + step]
+            total += factor * (_BYTE_VALUES[part] * powers[: len(part)]).sum(dtype=np.uint64)
+            factor *= powers[-1] * np.uint64(_BASE)
+    return total
 
 
 def rolling_words(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow.llm import ann, components, decontaminate, filters, language, mixing, ngram_join, quality, secrets, sharding, substring, toxicity
+from caseflow.llm import textblocks
 from caseflow.llm.textblocks import ALNUM, LOWER, NOT_SPACE, SAME, blocks, rolling, words
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, h int, shard string, _copy int, _score string, _spans int"
@@ -83,6 +84,14 @@ def test_hashes_differ_for_different_words():
     assert len(set(rolling(values, 13).tolist())) == 38 and len(rolling(values, 51)) == 0
 
 
+def test_hashes_do_not_depend_on_steps():
+    data = np.frombuffer(" ".join(["ab", "x" * 1000, "c" * 63, "d" * 64, "é" * 400, "y"]).encode(), np.uint8)
+    (block,) = blocks(pa.array([data.tobytes().decode()]))
+    w = words(block, NOT_SPACE, SAME)
+    for step in (1, 7, 64, 1001, 1 << 20):
+        assert (textblocks._word_hashes(data, w.start, w.end, step) == w.hashes).all()
+
+
 def test_filter_keeps_members(spark):
     members = spark.range(5000).select(F.xxhash64("id").alias("h"))
     for bits in (1 << 16, 1 << 27):
