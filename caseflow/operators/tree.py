@@ -13,7 +13,7 @@ Split search per level:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -193,10 +193,16 @@ def fit(
     `2 * min_leaf` rows and two sides of `min_leaf` rows. Counts and splits of each level are written to the
     shared folder, so the plan does not grow with the depth.
     """
+    keys = list(keys)
+    rows = train.select(*keys, "features", "label")
+    return grow(rows, keys, lambda searched, totals: best_splits(value_counts(searched, keys), totals, keys, min_leaf), max_depth, min_leaf)
+
+
+def grow(rows: DataFrame, keys: list[str], search: Callable[[DataFrame, DataFrame], DataFrame], max_depth: int, min_leaf: int) -> DataFrame:
+    """Node table of trees whose splits `search(rows at open nodes, class totals of these nodes)` finds level by level."""
     if max_depth > MAX_LEVELS:
         raise ValueError(f"trees deeper than {MAX_LEVELS} levels do not fit into 64-bit node numbers")
-    keys = list(keys)
-    rows = materialize(train.select(*keys, "features", "label"), "training")  # read twice per level
+    rows = materialize(rows, "training")  # read twice per level
     splits, counted = None, None
     for depth in range(max_depth + 1):
         placed = _at_nodes(rows, splits, keys, depth)
@@ -208,7 +214,7 @@ def fit(
         sized = level.select("*", F.sum("n").over(node).alias("node_n"), F.count(F.lit(1)).over(node).alias("classes"))
         totals = sized.filter((F.col("classes") > 1) & (F.col("node_n") >= 2 * min_leaf)).select(*level.columns)
         searched = placed.join(totals.select(*keys, "node"), [*keys, "node"], "left_semi")
-        found = materialize(best_splits(value_counts(searched, keys), totals, keys, min_leaf), f"splits_{depth}")
+        found = materialize(search(searched, totals), f"splits_{depth}")
         splits = found if splits is None else splits.unionByName(found)
         if found.isEmpty():
             break

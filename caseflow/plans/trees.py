@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow import vocab
 from caseflow.operators import features as feat
-from caseflow.operators import flow, tree
+from caseflow.operators import binned, flow, tree
 from caseflow.plans import documents, windows
 from caseflow.plans.common import Registry, r6, table
 from caseflow.scale import spread
@@ -32,9 +32,9 @@ def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).withColumn("label", F.col("root_cause"))
 
 
-def _sql_level(source: str, name: str) -> str:
-    """Best split per (status, node) over `source` (status, node, f0..f3, label), by sorted running counts."""
-    long = " UNION ALL ".join(f"SELECT status, node, {i} AS feature, f{i} AS value, label FROM {source}" for i in range(len(NAMES)))
+def _sql_level(source: str, name: str, names: list[str] = NAMES) -> str:
+    """Best split per (status, node) over `source` (status, node, f0 .. f3, label), by sorted running counts."""
+    long = " UNION ALL ".join(f"SELECT status, node, {i} AS feature, f{i} AS value, label FROM {source}" for i in range(len(names)))
     running = ", ".join(
         f"sum(count(*) FILTER (label = '{c}')) OVER (PARTITION BY status, node, feature ORDER BY value) AS l{c}" for c in "ANR"
     )
@@ -54,21 +54,29 @@ def _sql_level(source: str, name: str) -> str:
     ORDER BY ({left2}) / ({left}) + ({right2}) / ({right}) DESC, feature, value) = 1)"""
 
 
-SQL_BASE = "base AS (SELECT l_linestatus AS status, l_orderkey, 1 AS node, " + ", ".join(
-    f"{n}::FLOAT::DOUBLE AS f{i}" for i, n in enumerate(NAMES)
-) + ", l_returnflag AS label FROM lineitem)"
+def _sql_base(names: list[str] = NAMES) -> str:
+    values = ", ".join(f"{n}::FLOAT::DOUBLE AS f{i}" for i, n in enumerate(names))
+    return f"base AS (SELECT l_linestatus AS status, l_orderkey, 1 AS node, {values}, l_returnflag AS label FROM lineitem)"
 
 
-def _sql_move(source: str, splits: str, name: str) -> str:
-    value = "CASE s.feature " + " ".join(f"WHEN {i} THEN f{i}" for i in range(len(NAMES))) + " END"
-    columns = ", ".join(f"f{i}" for i in range(len(NAMES)))
+SQL_BASE = _sql_base()
+
+
+def _sql_move(source: str, splits: str, name: str, names: list[str] = NAMES) -> str:
+    value = "CASE s.feature " + " ".join(f"WHEN {i} THEN f{i}" for i in range(len(names))) + " END"
+    columns = ", ".join(f"f{i}" for i in range(len(names)))
     return f"""
 {name} AS (
   SELECT b.status, b.l_orderkey, CASE WHEN s.node IS NULL THEN b.node WHEN {value} <= s.threshold THEN b.node * 2 ELSE b.node * 2 + 1 END AS node,
          {columns}, label FROM {source} b LEFT JOIN {splits} s ON s.status = b.status AND s.node = b.node)"""
 
 
-SQL_TWO = f"{SQL_BASE}, {_sql_level('base', 's1')}, {_sql_move('base', 's1', 'one')}, {_sql_level('one', 's2')}, {_sql_move('one', 's2', 'two')}"
+def _sql_two(names: list[str] = NAMES) -> str:
+    levels = [_sql_level("base", "s1", names), _sql_move("base", "s1", "one", names), _sql_level("one", "s2", names), _sql_move("one", "s2", "two", names)]
+    return ", ".join([_sql_base(names), *levels])
+
+
+SQL_TWO = _sql_two()
 
 
 @registry.add(f"WITH {SQL_BASE}, {_sql_level('base', 's1')} SELECT status, node::BIGINT AS node, feature, round(threshold, 6) AS threshold FROM s1")
@@ -126,55 +134,37 @@ def depth_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.withColumn("selected_accuracy", F.round("selected_accuracy", 6))
 
 
-# --- documents to predictions -----------------------------------------------------------------
-FLOW_NEW, FLOW_TRAIN = 40, 50
+# --- binned trees: fewer bins than values would be approximate, here every value has its own -----------
+FEW_VALUED = ["l_quantity", "l_discount", "l_tax"]
 
 
-def _sql_flow() -> str:
-    """One split per scenario over the selected features, found by comparing all values with all training rows."""
-    sql, places = documents._sql_features(), {rule[0]: i for i, rule in enumerate(feat.feature_rules())}
-    arms = []
-    for scenario, selection in documents.SCENARIO_SELECTIONS.items():
-        pairs = ", ".join(f"{{'f': {places[n]}, 'x': ({sql[n]})::FLOAT::DOUBLE}}" for n in documents._selected_names(selection))
-        arms.append(f"SELECT scenario, e AS idx, root, train, unnest([{pairs}]) AS p FROM chosen WHERE scenario = '{scenario}'")
-    return f"""WITH {documents.SQL_EVENTS}, {windows.SQL_CASES},
-rooted AS (SELECT *, {documents.SQL_ROOT} AS root FROM ev),
-new_ AS (
-  SELECT r.* FROM rooted r JOIN fresh f ON f.scenario = r.scenario AND f.idx = r.e
-  QUALIFY row_number() OVER (PARTITION BY r.scenario ORDER BY e) <= {FLOW_NEW}),
-train_ AS (
-  SELECT r.* FROM rooted r JOIN (SELECT scenario, min(e) AS first_e FROM new_ GROUP BY 1) b ON b.scenario = r.scenario AND r.e < b.first_e
-  WHERE root <> '' QUALIFY row_number() OVER (PARTITION BY r.scenario ORDER BY e DESC) <= {FLOW_TRAIN}),
-chosen AS (SELECT *, true AS train FROM train_ UNION ALL SELECT *, false FROM new_),
-long AS (SELECT scenario, idx, root, train, p.f AS f, p.x AS x FROM ({" UNION ALL ".join(arms)})),
-steps AS (SELECT scenario, f, x, lead(x) OVER (PARTITION BY scenario, f ORDER BY x) AS next_x FROM (SELECT DISTINCT scenario, f, x FROM long WHERE train)),
-sides AS (
-  SELECT s.scenario, s.f, s.x, s.next_x, root, count(*) FILTER (l.x <= s.x) AS a, count(*) FILTER (l.x > s.x) AS b
-  FROM steps s JOIN long l ON l.scenario = s.scenario AND l.f = s.f AND l.train WHERE next_x IS NOT NULL GROUP BY ALL),
-best AS (
-  SELECT scenario, f, (x + next_x) / 2 AS threshold FROM sides GROUP BY scenario, f, x, next_x HAVING sum(a) >= 10 AND sum(b) >= 10
-  QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY sum(a * a)::DOUBLE / sum(a) + sum(b * b)::DOUBLE / sum(b) DESC, f, x) = 1),
-placed AS (
-  SELECT c.scenario, c.e AS idx, c.root, c.train, CASE WHEN b.f IS NULL THEN 1 WHEN l.x > b.threshold THEN 3 ELSE 2 END AS leaf
-  FROM chosen c LEFT JOIN best b USING (scenario) LEFT JOIN long l ON l.scenario = c.scenario AND l.idx = c.e AND l.f = b.f),
-top AS (
-  SELECT scenario, leaf, root AS best_root FROM placed WHERE train GROUP BY 1, 2, 3
-  QUALIFY row_number() OVER (PARTITION BY scenario, leaf ORDER BY count(*) DESC, root) = 1)
-SELECT p.scenario, p.idx, leaf::BIGINT AS leaf, best_root AS pred_top1_rc, CASE WHEN root <> '' THEN root = best_root END AS is_correct,
-       max(p.idx) OVER (PARTITION BY p.scenario) AS last_index
-FROM placed p JOIN top USING (scenario, leaf) WHERE NOT train"""
+@registry.add(f"""WITH {_sql_two(FEW_VALUED)},
+classes AS (SELECT status, node, label, count(*) AS n FROM base GROUP BY 1, 2, 3 UNION SELECT status, node, label, count(*) FROM one GROUP BY 1, 2, 3
+            UNION SELECT status, node, label, count(*) FROM two GROUP BY 1, 2, 3),
+splits AS (SELECT * FROM s1 UNION SELECT s2.* FROM s2 JOIN (SELECT DISTINCT status, node FROM one WHERE node > 1) USING (status, node))
+SELECT status, c.node::BIGINT AS node, feature, round(threshold, 6) AS threshold, n::BIGINT AS n, dist
+FROM (SELECT status, node, sum(n) AS n, string_agg(label || ':' || n, '|' ORDER BY n DESC, label) AS dist FROM classes GROUP BY 1, 2) c
+LEFT JOIN splits USING (status, node)""")
+def binned_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of binned trees of depth 2 over features with fewer values than bins: the exact splits."""
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", *FEW_VALUED))
+    train = lines.select(
+        F.col("l_linestatus").alias("status"), F.array(*[F.col(n).cast("double") for n in FEW_VALUED]).alias("features"), F.col("l_returnflag").alias("label")
+    )
+    seen = F.filter("dist", lambda d: d["n"] > 0)
+    dist = F.transform(seen, lambda d: F.concat_ws(":", d["label"], d["n"].cast("string")))
+    nodes = binned.fit(train, KEYS, bins=64, max_depth=2)
+    return nodes.select("status", "node", "feature", r6(F.col("threshold"), "threshold"), "n", F.array_join(dist, "|").alias("dist"))
 
 
-@registry.add(_sql_flow())
-def tree_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The capped form: the first FLOW_NEW new cases of each scenario under trees of one split; `tree_flow_all` takes all."""
-    return _flow_rows(spark, sf_dir, max_new=FLOW_NEW, max_depth=1)
+# --- documents to predictions -----------------------------------------------------------------
+FLOW_TRAIN = 50
 
 
-def _flow_rows(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
+def _flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(s, sel["log"], sel["kpi"]) for s, sel in documents.SCENARIO_SELECTIONS.items()]
     selections = spark.createDataFrame(rows, "scenario string, log array<string>, kpi map<string,array<string>>")
-    found = flow.tree_flow(documents.cases(spark, sf_dir), selections, windows.checkpoints(spark, sf_dir), train_n=FLOW_TRAIN, **limits)
+    found = flow.tree_flow(documents.cases(spark, sf_dir), selections, windows.checkpoints(spark, sf_dir), train_n=FLOW_TRAIN)
     marks = found.checkpoints.filter("mode = 'tree_infer'").select(F.col("folder").alias("scenario"), "last_index")
     return found.predictions.select("scenario", "idx", "leaf", "pred_top1_rc", "is_correct").join(marks, "scenario")
 
@@ -205,7 +195,7 @@ sides{depth} AS (
 
 
 def _sql_flow_all() -> str:
-    """Trees of three levels over the selected features and every new case, found like in `_sql_flow`."""
+    """Trees of three levels over the selected features and every new case; splits by comparing all values with all training rows."""
     sql, places = documents._sql_features(), {rule[0]: i for i, rule in enumerate(feat.feature_rules())}
     arms = []
     for scenario, selection in documents.SCENARIO_SELECTIONS.items():
