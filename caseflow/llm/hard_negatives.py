@@ -257,6 +257,7 @@ def mine(
     measured = materialize(rows.mapInArrow(measure, "id bigint, label string, dims int, cell int, values binary, angles binary"), "measured")
     group = ["label", "dims", "cell"]
     sizes = measured.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) * F.greatest(F.col("dims"), F.lit(8)) * 4 / BLOCK_BYTES).cast("int").alias("_parts"))
+    sizes = materialize(sizes, "sizes")  # so that rows need not meet by group before they are dealt
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
@@ -271,7 +272,7 @@ def mine(
             }
         )
 
-    placed = measured.join(sizes, group).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    placed = measured.join(sizes, group).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts"))).repartition(*group, "_part")
     packed = spread(materialize(placed.groupBy(*group, "_part").applyInArrow(pack, PACKED), "packed"))
 
     anchors = measured.filter(F.col("id") % every == 0)
