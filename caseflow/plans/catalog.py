@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseflow.plans import answers, backfills, documents, flows, ranking, texts, trees, windows
+from caseflow.plans import answers, backfills, documents, files, flows, ranking, texts, trees, windows
 
-MODULES = (ranking, windows, documents, answers, backfills, trees, texts, flows)
+MODULES = (ranking, windows, documents, answers, backfills, trees, texts, flows, files)
 
 
 def queries():

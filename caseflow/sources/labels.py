@@ -22,6 +22,7 @@ from caseflow.functions.variants import (
     string_of,
     stripped_text,
 )
+from caseflow.sources.files import NameFilter, in_ranges, index_ranges
 
 
 # --- files ------------------------------------------------------------------------------------
@@ -52,13 +53,21 @@ def list_files(spark: SparkSession, root: str, scenario: str = "all", recursive:
     return reader.load(folder).select(decoded(F.col("path")).alias("path")).select(*file_columns(F.col("path")))
 
 
-def read_documents(spark: SparkSession, root: str, scenario: str = "all", recursive: bool = False) -> DataFrame:
-    """Whole JSON files as text: path, scenario, file_name, body."""
+def read_documents(spark: SparkSession, root: str, scenario: str = "all", recursive: bool = False, only: NameFilter | None = None) -> DataFrame:
+    """Whole JSON files as text: path, scenario, file_name, body.
+
+    `only(scenario, file_name)` is a condition on the names. It is a filter on file metadata, which Spark applies to the
+    listing, so that files it leaves out are not opened.
+    """
     folder = f"{root}/*" if scenario == "all" else f"{root}/{scenario}"
-    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json")
+    reader = spark.read.option("pathGlobFilter", "*.json")
     if recursive:
         reader, folder = reader.option("recursiveFileLookup", "true"), root
-    raw = reader.text(folder).select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("body"))
+    raw = reader.text(folder, wholetext=True)
+    if only is not None:
+        parts = F.split(decoded(F.col("_metadata.file_path")), "/")
+        raw = raw.filter(only(F.element_at(parts, -2), F.element_at(parts, -1)))
+    raw = raw.select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("body"))
     return raw.select(*file_columns(F.col("path")), "body")
 
 
@@ -66,9 +75,18 @@ def scenarios(files: DataFrame) -> DataFrame:
     return files.select("scenario").distinct()
 
 
+def is_label_name(file_name: Column) -> Column:
+    return F.lower(file_name).contains("label")
+
+
 def label_files(files: DataFrame) -> DataFrame:
     """Files whose name contains "label" in any letter case (for serial-number backfill)."""
-    return files.filter(F.lower("file_name").contains("label"))
+    return files.filter(is_label_name(F.col("file_name")))
+
+
+def read_label_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of all label files below `root`, at any depth; other files are listed and not opened."""
+    return read_documents(spark, root, recursive=True, only=lambda _scenario, name: is_label_name(name))
 
 
 # --- index and path resolution ----------------------------------------------------------------
@@ -237,11 +255,20 @@ def project_cases(labels: DataFrame) -> DataFrame:
 
 
 def load_cases(spark: SparkSession, root: str, selected: DataFrame | None = None, scenario: str = "all") -> DataFrame:
-    """Read, resolve and flatten the cases of a label root; `selected` (scenario, idx) keeps only those."""
+    """Read, resolve and flatten the cases of a label root; `selected` (scenario, idx) keeps only those.
+
+    The selection becomes index ranges in the file filter, so that files outside them are not opened. Where there are
+    too many runs of indices, the ranges cover more; the join with the selection leaves only what was asked for.
+    """
     paths = resolve_paths(list_files(spark, root, scenario)).filter(F.col("outcome") == "resolved")
+    only = None
     if selected is not None:
-        paths = paths.join(selected.select("scenario", "idx").distinct(), ["scenario", "idx"], "left_semi")
-    docs = read_documents(spark, root, scenario).select(F.col("path").alias("label_path"), "body")
+        wanted = selected.select("scenario", "idx").distinct()
+        paths = paths.join(wanted, ["scenario", "idx"], "left_semi")
+        ranges = index_ranges(wanted)
+        if ranges is not None:
+            only = lambda s, name: in_ranges(ranges, s, match_names(name, s, vocab.LABEL_NAMES)["idx"])
+    docs = read_documents(spark, root, scenario, only=only).select(F.col("path").alias("label_path"), "body")
     joined = with_document(paths.join(docs, "label_path"))
     return project_cases(joined.drop("outcome"))
 

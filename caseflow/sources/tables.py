@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from caseflow import vocab
 from caseflow.scale import materialize
+from caseflow.sources.files import write_named_files
 from caseflow.sources.labels import decoded
+from caseflow.sources.store import replace_rows
 
 PREDICTION_CSV = (
     "case_idx",
@@ -24,12 +26,6 @@ PREDICTION_CSV = (
 )
 
 
-def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Whole-document JSON. Give a schema at scale: inference is an extra pass over the data."""
-    reader = spark.read.option("multiLine", "true")
-    return (reader.schema(schema) if schema else reader).json(path)
-
-
 def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
@@ -74,18 +70,33 @@ def write_predictions(predictions: DataFrame, meta: DataFrame, out: str, fmt: st
     return written
 
 
+PROMPT_KEY = ("role", "scenario", "case_idx", "round", "sample")
+
+
 def write_metrics(metrics: DataFrame, out: str) -> None:
-    metrics.write.json(f"{out}/metrics_json")
-    metrics.write.option("header", "true").csv(f"{out}/metrics_csv")
+    """Metric rows as JSON lines and CSV; both are replaced as a whole, so that a rerun leaves one result."""
+    metrics = materialize(metrics, "metrics")
+    metrics.write.mode("overwrite").json(f"{out}/metrics_json")
+    metrics.write.mode("overwrite").option("header", "true").option("escape", '"').csv(f"{out}/metrics_csv")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with all columns of PROMPT_KEY: without rounds or samples these are 0 and an empty text."""
+    rows = rows if "round" in rows.columns else rows.withColumn("round", F.lit(0))
+    return rows if "sample" in rows.columns else rows.withColumn("sample", F.lit(""))
 
 
 def write_prompts(prompts: DataFrame, out: str) -> None:
-    """The prompts exactly as sent, one row per (scenario, case_idx, role, round, sample)."""
-    prompts.write.mode("append").partitionBy("role").parquet(out)
+    """The prompts exactly as sent, one row per (role, scenario, case_idx, round, sample).
+
+    A prompt that is written again replaces the stored one.
+    """
+    replace_rows(_keyed(prompts), out, ["role", "scenario", "round"], PROMPT_KEY)
 
 
 def write_responses(responses: DataFrame, out: str) -> None:
-    responses.write.mode("append").partitionBy("role").parquet(out)
+    """Answers, stored under the same key as their prompts; an answer that is written again replaces the stored one."""
+    replace_rows(_keyed(responses), out, ["role", "scenario", "round"], PROMPT_KEY)
 
 
 def response_text(text: Column, label: Column) -> Column:
@@ -93,6 +104,16 @@ def response_text(text: Column, label: Column) -> Column:
     return F.concat(F.lit("=== Response "), label, F.lit(" ===\n"), text, F.lit(f"\n\n{vocab.RULE}\n\n"))
 
 
+def write_response_tree(responses: DataFrame, root: str) -> DataFrame:
+    """Answer files of a cooperation run: `<root>/<case_idx>/round<n>/<role>/raw_responses.txt`, one per row.
+
+    Takes case_idx, round, role and text; returns (path, bytes) once it is written or counted. Written again, the
+    files are replaced by equal ones. `read_response_tree` reads them back.
+    """
+    path = F.format_string("%d/round%d/%s/raw_responses.txt", F.col("case_idx"), F.col("round"), F.col("role"))
+    return write_named_files(responses.select(path.alias("path"), F.col("text").alias("body")), root)
+
+
 def read_response_tree(spark: SparkSession, root: str, layout: str) -> DataFrame:
     """Answer files of one run directory as (scenario, case_idx, role, round, path, text).
 
@@ -102,9 +123,8 @@ def read_response_tree(spark: SparkSession, root: str, layout: str) -> DataFrame
     """
     depth = {"cooperation": "*/round*/*", "competition": "*"}[layout]
     raw = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", "raw_responses*.txt")
-        .text(f"{root}/{depth}")
+        spark.read.option("pathGlobFilter", "raw_responses*.txt")
+        .text(f"{root}/{depth}", wholetext=True)
         .select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
     )
     if layout == "cooperation":
