@@ -39,6 +39,8 @@ SKETCH_WORDS = 16  # 1,024 bits at least; twice as many bits as shingles
 PART_KEYS = 1 << 20
 # Pairs of one document that one task verifies.
 PAIR_ROWS = 512
+# Text bytes, and keys, that a task works on at once.
+BLOCK_BYTES, KEYS_AT_ONCE = 1 << 19, 1 << 18
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -162,7 +164,7 @@ def band_keys(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Band
         if need < 2 or not len(rows):
             continue  # without room for a difference only equal sets link, and those have collapsed
         segments = bands.segments(band, fine)
-        step = max(1, (1 << 20) // segments)
+        step = max(1, KEYS_AT_ONCE // segments)
         for part in (rows[i : i + step] for i in range(0, len(rows), step)):
             take = np.concatenate([np.arange(base[r], base[r + 1]) for r in part])
             sketch = segment_parity(np.repeat(np.arange(len(part)), sizes[part]), value[take], len(part), segments)
@@ -177,7 +179,7 @@ def band_keys(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Band
 def _signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), BLOCK_BYTES):
                 n_rows = len(block.bounds) - 1
                 row, value = shingle_sets(words(block, NOT_SPACE, LOWER), size)
                 sizes = np.bincount(row, minlength=n_rows)
@@ -209,10 +211,12 @@ def _scan(docs: DataFrame, size: int, emit, schema: str, held: filters.Held, ids
         for batch in batches:
             if sent is not None:
                 batch = batch.filter(pa.array(filters.passes(sent.value, batch.column(2).to_numpy())))
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), BLOCK_BYTES):
                 n_rows = len(block.bounds) - 1
                 row, value = shingle_sets(words(block, NOT_SPACE, LOWER), size)
                 yield from emit(batch.column(0).slice(block.lo, n_rows), row, value, np.bincount(row, minlength=n_rows))
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, schema)
 
