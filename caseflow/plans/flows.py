@@ -18,7 +18,8 @@ from caseflow.plans.ranking import SQL_PREDICTIONS, predictions
 from caseflow.operators.evaluate import rank_predictions
 from caseflow.scale import materialize, new_folder
 from caseflow.sources import labels, tables
-from caseflow.streaming.ingest import CASES, IncrementalSink, start
+from caseflow.sources.files import write_named_files
+from caseflow.streaming.ingest import CASES, IncrementalSink, start, stream_labels, unreadable
 
 registry = Registry()
 
@@ -131,6 +132,67 @@ def streamed_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.join(counted.withColumnRenamed("scenario", "folder"), "folder")
 
 
+BATCHES = 5
+
+
+@registry.add(f"""WITH parts AS (
+  SELECT event_type AS scenario, event_id AS idx, value, event_id * {BATCHES} // (SELECT max(event_id) + 1 FROM events) AS part,
+         event_id = min(event_id) OVER (PARTITION BY event_type) AS lasting FROM events)
+SELECT scenario AS folder, count(*) AS cases, sum(CASE WHEN lasting THEN {BATCHES} - part ELSE 1 END)::BIGINT AS tries,
+       count(*) FILTER (lasting) AS waiting, (SELECT max(idx) FROM parts p WHERE p.scenario = parts.scenario AND p.idx > min(parts.idx)) AS last_settled
+FROM parts GROUP BY 1""")
+def streamed_with_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first case of every scenario fails in all of five batches: it alone is tried again, and no checkpoint moves."""
+    events = table(spark, sf_dir, "events")
+    end = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    lasting = materialize(events.groupBy(F.col("event_type").alias("scenario")).agg(F.min("event_id").alias("idx")).withColumn("_lasting", F.lit(True)), "lasting")
+    sink = IncrementalSink(
+        new_folder(spark, "stream"),
+        "tree_infer",
+        lambda selected: selected.join(lasting, ["scenario", "idx"], "left").select("scenario", "idx", F.col("_lasting").isNull().alias("ok")),
+        columns=f"{CASES}, value double",
+    )
+    folder = new_folder(spark, "arrivals")
+    for part in range(BATCHES):
+        events.filter(F.expr(f"event_id * {BATCHES} div {end} = {part}")).write.mode("append").parquet(folder)
+        start(_arrivals(spark, folder, "*.parquet"), sink).awaitTermination()
+    if not sink.checkpoints(spark).isEmpty():
+        raise AssertionError("a checkpoint moved beyond a lasting failure")
+    tries = spark.read.parquet(f"{sink.folder}/results").groupBy(F.col("scenario").alias("folder")).agg(
+        F.countDistinct("idx").alias("cases"), F.count(F.lit(1)).alias("tries"), F.max(F.when(F.col("ok"), F.col("idx"))).alias("last_settled")
+    )
+    waits = spark.read.parquet(f"{sink.folder}/waiting/batch={BATCHES - 1}").groupBy(F.col("scenario").alias("folder")).agg(F.count(F.lit(1)).alias("waiting"))
+    return tries.join(waits, "folder")
+
+
+@registry.add(f"""WITH {documents.SQL_EVENTS}
+SELECT scenario, count(*) FILTER (e % 11 <> 3) AS processed, count(*) FILTER (e % 11 = 3) AS quarantined, count(DISTINCT e * 2 // (SELECT max(e) + 1 FROM ev)) FILTER (e % 11 = 3) AS batches,
+       max(e) FILTER (e % 11 <> 3) AS last_index FROM ev GROUP BY 1""")
+def streamed_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event documents as label files in two batches; every eleventh is cut and goes to quarantine."""
+    docs = documents.case_documents(spark, sf_dir).select(
+        "scenario", "idx", F.when(F.col("idx") % 11 == 3, F.left("body", F.length("body") - 1)).otherwise(F.col("body")).alias("body")
+    )
+    end = (docs.agg(F.max("idx")).first()[0] or 0) + 1
+    root = new_folder(spark, "labels")
+    sink = IncrementalSink(
+        new_folder(spark, "stream"),
+        "tree_infer",
+        lambda selected: selected.select("scenario", "idx", labels.is_object(F.col("doc")).alias("ok")),
+        columns=f"{CASES}, path string, doc variant",
+        unreadable=unreadable(),
+    )
+    name = F.format_string("%s/%s_%d_label_x.json", "scenario", "scenario", "idx")
+    for part in range(2):
+        rows = docs.filter(F.expr(f"idx * 2 div {end} = {part}")).select(name.alias("path"), "body")
+        materialize(write_named_files(rows, root), "written")
+        start(stream_labels(spark, root), sink).awaitTermination()
+    bad = sink.quarantined(spark).groupBy("scenario").agg(F.count(F.lit(1)).alias("quarantined"), F.countDistinct("batch").alias("batches"))
+    good = sink.results(spark).filter("ok").groupBy("scenario").agg(F.count(F.lit(1)).alias("processed"))
+    marks = sink.checkpoints(spark).select(F.col("folder").alias("scenario"), "last_index")
+    return good.join(bad, "scenario", "left").join(marks, "scenario").select("scenario", "processed", F.coalesce("quarantined", F.lit(0)).alias("quarantined"), F.coalesce("batches", F.lit(0)).alias("batches"), "last_index")
+
+
 # --- model flows ------------------------------------------------------------------------------
 def model_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of the event documents, stored once: every stage of a flow reads them again."""
