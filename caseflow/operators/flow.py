@@ -11,6 +11,7 @@ from caseflow import vocab
 from caseflow.operators import features as feat
 from caseflow.operators import incremental as inc
 from caseflow.operators import tree
+from caseflow.operators.problems import check_cases
 from caseflow.scale import materialize
 
 
@@ -19,6 +20,7 @@ class FlowResult(NamedTuple):
     nodes: DataFrame
     short_windows: DataFrame
     checkpoints: DataFrame
+    problems: DataFrame
 
 
 def selected_arrays(cases: DataFrame, selections: DataFrame, keep=("scenario", "idx")) -> tuple[DataFrame, list[str]]:
@@ -48,16 +50,17 @@ def tree_flow(
 
     `cases` (scenario, idx, sem, label) is filtered by plain columns before any document is opened, and the features
     of the chosen cases are written once. A new case without a prediction (its scenario has no earlier
-    labelled case) fails, and holds the checkpoint below it.
+    labelled case) fails, and holds the checkpoint below it. Cases without an index, or with one that another case has,
+    are `problems` and take no part.
     """
-    plain = cases.select("scenario", "idx", F.col(label).alias("_label"))
+    plain, problems = check_cases(cases.select("scenario", "idx", F.col(label).alias("_label")), first=["_label"])
     new = materialize(inc.select_new(plain, checkpoints, mode, max_new=max_new), "new")
     labelled = plain.filter(F.col("_label").isNotNull() & (F.col("_label") != ""))
     train = materialize(inc.trailing_train_window(labelled, new, train_n), "train")
     chosen = train.select("scenario", "idx", "_label", F.lit(True).alias("_train")).unionByName(
         new.select("scenario", "idx", "_label", F.lit(False).alias("_train"))
     )
-    opened = cases.select("scenario", "idx", "sem").join(chosen, ["scenario", "idx"])
+    opened = cases.select("scenario", "idx", "sem").join(chosen, ["scenario", "idx"]).dropDuplicates(["scenario", "idx"])
     arrays, names = selected_arrays(opened, selections, ("scenario", "idx", "_label", "_train"))
     arrays = materialize(arrays.withColumnRenamed("_label", label), "features")
     predictions, nodes = tree.run(
@@ -72,4 +75,4 @@ def tree_flow(
         F.col("scenario").alias("folder"), F.lit(mode).alias("mode"), F.col("scenario").alias("alarm_type"), "last_index",
         F.current_timestamp().alias("updated_at"),
     )
-    return FlowResult(predictions, nodes, inc.short_train_windows(train, new, train_n), inc.upsert_checkpoints(checkpoints, changed))
+    return FlowResult(predictions, nodes, inc.short_train_windows(train, new, train_n), inc.upsert_checkpoints(checkpoints, changed), problems)

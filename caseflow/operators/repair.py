@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow import vocab
+from caseflow.operators.problems import Checked, check_cases
 from caseflow.scale import with_position
 
 KEY = ["scenario", "case_idx"]
@@ -40,6 +41,18 @@ def rerun_plan(failed: DataFrame, batch_size: int = vocab.BATCH_SIZE) -> DataFra
     )
 
 
+def checked_reruns(failed: DataFrame, batch_size: int = vocab.BATCH_SIZE) -> Checked:
+    """The plan of `rerun_plan`, and the failed rows that are not in it on their own, each with a reason.
+
+    A row without index or without scenario and alarm type cannot be asked again; of rows that repeat an index the
+    first is planned. The numbers of planned indices and of problems add up to the failed rows.
+    """
+    scenario = F.coalesce("scenario", "alarm_type")
+    named = failed.withColumns({"scenario": scenario, "alarm_type": F.coalesce("alarm_type", scenario)})
+    checked = check_cases(named, ["scenario", "alarm_type"], "case_idx")
+    return Checked(rerun_plan(checked.accepted, batch_size), checked.problems)
+
+
 def merge_reruns(baseline: DataFrame, replacements: DataFrame, order: str = "seq") -> DataFrame:
     """Baseline with rows replaced by (scenario, case_idx); the last replacement by `order` wins.
 

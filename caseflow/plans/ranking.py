@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.operators import evaluate, repair, selection
+from caseflow.operators import evaluate, problems, repair, selection
 from caseflow.plans.common import Registry, joined, r6, table
+from caseflow.scale import same_key_join
 
 registry = Registry()
 
@@ -257,6 +258,32 @@ def rerun_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("scenario", "alarm_type", "batch", joined(F.col("indices").cast("array<string>"), "indices"))
 
 
+@registry.add(f"""WITH {SQL_BASELINE},
+rows_ AS (
+  SELECT CASE WHEN case_idx % 17 = 2 THEN NULL ELSE scenario END AS scenario,
+         CASE WHEN case_idx % 13 = 1 THEN NULL WHEN case_idx % 5 = 0 THEN case_idx // 50 ELSE case_idx END AS idx FROM baseline WHERE pred = ''),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY scenario, idx ORDER BY idx) AS turn FROM rows_)
+SELECT scenario, count(*) AS failed, count(*) FILTER (idx IS NOT NULL AND scenario IS NOT NULL AND turn = 1) AS planned,
+       count(*) FILTER (idx IS NULL) AS no_index, count(*) FILTER (idx IS NOT NULL AND scenario IS NULL) AS no_group,
+       count(*) FILTER (idx IS NOT NULL AND scenario IS NOT NULL AND turn > 1) AS repeated_index, true AS complete FROM numbered GROUP BY 1""")
+def rerun_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed rows, some without index or scenario and some under one index: all are planned or a problem with a reason."""
+    idx = F.expr("CASE WHEN case_idx % 13 = 1 THEN NULL WHEN case_idx % 5 = 0 THEN case_idx div 50 ELSE case_idx END")
+    scenario = F.when(F.col("case_idx") % 17 != 2, F.col("scenario"))
+    failed = repair.failed_cases(baseline(spark, sf_dir)).withColumns({"scenario": scenario, "alarm_type": scenario, "case_idx": idx})
+    plan, bad = repair.checked_reruns(failed)
+    planned = plan.groupBy("scenario").agg(F.sum(F.size("indices")).alias("planned"))
+    reasons = [F.count_if(F.col("reason") == r).alias(r) for r in (problems.NO_INDEX, problems.NO_GROUP, problems.REPEATED)]
+    counted = bad.groupBy("scenario").agg(*reasons, F.count(F.lit(1)).alias("_bad"))
+    total = failed.groupBy("scenario").agg(F.count(F.lit(1)).alias("failed"))
+    joined_ = same_key_join(same_key_join(total, planned, ["scenario"], "left"), counted, ["scenario"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return joined_.select(
+        "scenario", "failed", zero("planned"), *[zero(r) for r in (problems.NO_INDEX, problems.NO_GROUP, problems.REPEATED)],
+        problems.accounted(F.col("failed"), F.col("planned"), F.col("_bad")).alias("complete"),
+    )
+
+
 @registry.add(f"""WITH {SQL_BASELINE}
 SELECT scenario, case_idx, pred AS pred_rc, parse_strategy, rerun FROM merged""")
 def merged_reruns(spark: SparkSession, sf_dir: str) -> DataFrame:
