@@ -36,11 +36,11 @@ from caseflow.scale import materialize
 
 SKETCH_WORDS = 16  # 1,024 bits at least; twice as many bits as shingles
 # Keys that one task counts at a time.
-PART_KEYS = 1 << 20
+PART_KEYS = 1 << 19
 # Pairs of one document that one task verifies.
 PAIR_ROWS = 512
 # Text bytes, and keys, that a task works on at once.
-BLOCK_BYTES, KEYS_AT_ONCE = 1 << 19, 1 << 18
+BLOCK_BYTES, KEYS_AT_ONCE = 1 << 18, 1 << 17
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 

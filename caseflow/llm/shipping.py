@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 # Texts reach workers in batches of this size instead of the default one, which with several workers is much memory.
-BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def ship(spark: SparkSession) -> None:

@@ -113,8 +113,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", id: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on about `train_docs` labelled rows (label 0 or 1), chosen by a hash of the id.
 
-    Rows with a null label are ignored, null texts count as empty. Without significant words the model only
-    knows the share of toxic labels.
+    Rows with a null label are ignored, null texts count as empty. Where no beginning is significant, the dictionaries
+    hold all words of the toxic and of the ordinary texts. Rows of one label only teach nothing but that share.
     """
     spark = labelled.sparkSession
     rows = labelled.filter(F.col(label).isin(0, 1)).select(
@@ -142,13 +142,16 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", id: str
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(entries, pa.string()), pa.array(toxic, pa.int64())], ["kind", "entry", "toxic"])
 
     learn = chosen.filter("fold < 2")
-    sizes = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
+    sizes = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}  # two rows
     toxic_docs, ordinary_docs = sizes.get(1, 0), sizes.get(0, 0)
     known = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
     prior = (known.get(1, 0) + 0.5) / (sum(known.values()) + 1)
     plain = Model(b"", b"", b"", np.zeros(0), prior)
-    if not toxic_docs or not ordinary_docs:
+    if len(known) < 2:
         return plain
+    if not toxic_docs or not ordinary_docs:  # the part that counts words has one label only
+        learn = chosen
+        toxic_docs, ordinary_docs = known[1], known[0]
     seen = learn.select("text", "label").repartition(spark.sparkContext.defaultParallelism)
     seen = seen.mapInArrow(count, "kind int, entry string, toxic bigint").groupBy("kind", "entry")
     seen = materialize(seen.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")), "entries")
@@ -159,8 +162,12 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", id: str
     names, a, b = listed["entry"].to_pylist(), listed["a"].to_numpy(), listed["b"].to_numpy()
     marked = np.array([not marks.isdisjoint(_beginnings(w)) for w in names], bool)
     toxic, ordinary = np.flatnonzero(marked & (a > 0)), np.flatnonzero(~marked & (b > 1))
+    if not len(toxic):  # nothing stands out: all words of the toxic texts speak for them
+        toxic = np.flatnonzero(a > 0)
+    if not len(ordinary):
+        ordinary = np.flatnonzero(b > 0)
     if not len(toxic) or not len(ordinary):
-        return plain
+        return plain  # one side has no words at all
     common = ordinary[np.argsort(-b[ordinary], kind="stable")[:3]]
     model = plain._replace(
         toxic=_dictionary([names[i] for i in toxic], a[toxic]),
@@ -176,9 +183,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", id: str
                 x = scorer.features(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(texts)), pa.array(list(x))], ["label", "x"])
 
-    fold = chosen.filter("fold = 2").select("text", "label").mapInArrow(measure, "label int, x array<double>").toArrow()  # a third of the sample
-    if not len(fold) or len(set(fold["label"].to_pylist())) < 2:
-        return plain
+    measured = chosen.select("text", "label", "fold")
+    if measured.filter("fold = 2").select("label").distinct().count() == 2:
+        measured = measured.filter("fold = 2")  # else too few rows to keep some apart
+    fold = measured.select("text", "label").mapInArrow(measure, "label int, x array<double>").toArrow()  # of the bounded sample
     return model._replace(weights=_logistic(np.asarray(fold["x"].to_pylist()), fold["label"].to_numpy().astype(float)))
 
 

@@ -306,6 +306,16 @@ def test_temperature_flattens_overconfident_logits():
     assert abs(quality.fit_temperature(3 * logits, y) - 3) < 0.5
 
 
+@pytest.mark.parametrize("toxic_rows", [1, 2, 4])
+def test_toxicity_from_very_few_toxic_rows(spark, toxic_rows):
+    rows = [(i, prose(i, 60, 80) + (" horrible dreadful" if i < toxic_rows else ""), int(i < toxic_rows)) for i in range(400)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    assert len(model.weights)
+    fresh = [(i, prose(5000 + i, 60, 80) + (" horrible dreadful" if i < 20 else "")) for i in range(60)]
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(fresh, "doc_id bigint, text string"), model).collect()}
+    assert min(found[i] for i in range(20)) > max(found[i] for i in range(20, 60))
+
+
 def test_toxicity(spark, awkward):
     model = toxicity.train(labelled(spark, 600))
     fresh = table(spark, rows_of([plain_text(60), plain_text(61) + " horrible dreadful" * 3]))
