@@ -50,8 +50,44 @@ def pieces(path: str, alphabet: set[str]) -> list[str]:
     return sorted(found)
 
 
+class Edges:
+    """Trie edges (state, symbol) -> state in an open hash table, whose size follows the edges and not the alphabet."""
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray):
+        self.mask = (1 << max(int(8 * len(state)).bit_length(), 4)) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.to = np.ones(self.mask + 1, np.int32)
+        key = state.astype(np.int64) << 32 | symbol.astype(np.int64)
+        left, slot = np.arange(len(key)), self._slot(key)
+        while len(left):  # of the edges that meet at a free slot the first takes it, the others go on to the next slot
+            free = self.keys[slot] == -1
+            taken, first = np.unique(slot[free], return_index=True)
+            winners = left[free][first]
+            self.keys[taken], self.to[taken] = key[winners], to[winners]
+            stay = self.keys[slot] != key[left]
+            left, slot = left[stay], (slot[stay] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & self.mask
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states; 1 where there is no edge."""
+        key = state.astype(np.int64) << 32 | symbol.astype(np.int64)
+        slot = self._slot(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.to[slot], 1).astype(np.int32)
+        open_ = np.flatnonzero((found != key) & (found != -1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            found = self.keys[slot[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.to[slot[open_[hit]]]
+            open_ = open_[~hit & (found != -1)]
+        return out
+
+
 class Lattice:
-    """Piece trie as dense transitions, and piece probabilities per trie state and language.
+    """Piece trie, and piece probabilities per trie state and language.
 
     State 0 is the root and state 1 is dead. Characters outside the alphabet are one extra symbol, 0, which is a
     piece of its own, so every word has a segmentation.
@@ -61,7 +97,7 @@ class Lattice:
         self.languages = languages
         alphabet = sorted({c for p in vocabulary for c in p})
         self.longest = max(map(len, vocabulary), default=1)
-        self.symbols = np.zeros(0x110000, np.int16)
+        self.symbols = np.zeros(0x110000, np.int32)
         self.symbols[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
         rows: list[dict[int, int]] = [{}, {}]
         ends = [0, 0]
@@ -74,20 +110,22 @@ class Lattice:
                     ends.append(0)
                 state = rows[state][s]
             ends[state] = 1
-        self.moves = np.ones((len(rows), len(alphabet) + 1), np.int32)
-        for state, row in enumerate(rows):
-            for s, to in row.items():
-                self.moves[state, s] = to
+        edges = [(state, s, to) for state, row in enumerate(rows) for s, to in row.items()]
+        self.edges = Edges(*np.array(edges, np.int64).reshape(-1, 3).T)
         self.terminal = np.asarray(ends, bool)
         n = int(self.terminal.sum())
         self.p = np.where(self.terminal[:, None], 1.0 / n, 0.0).repeat(len(languages), 1)
         self.prior = np.full(len(languages), 1.0 / max(len(languages), 1))
 
+    def step(self, state: int, letter: str) -> int:
+        """The state behind one letter."""
+        return int(self.edges.follow(np.array([state]), self.symbols[[ord(letter)]])[0])
+
     def _steps(self, codes: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(end, words, states) of the pieces that start at position i, with the words such a piece goes on in."""
         own, state = np.arange(len(codes)), np.zeros(len(codes), np.int32)
         for j in range(i, min(i + self.longest, codes.shape[1])):
-            state = self.moves[state, codes[own, j]]
+            state = self.edges.follow(state, codes[own, j])
             alive = state != 1
             if not alive.all():
                 own, state = own[alive], state[alive]
@@ -199,7 +237,11 @@ def distinct_words(points: np.ndarray, start: np.ndarray, length: np.ndarray) ->
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", train_docs: int = TRAIN_DOCS, path: str = VOCABULARY) -> Lattice:
-    """Piece probabilities from at most about `train_docs` documents per language, chosen by a hash of the id."""
+    """Piece probabilities from at most about `train_docs` documents per language, chosen by a hash of the id.
+
+    Every letter of these documents is in the alphabet. `path` is a vocabulary file of a public tokenizer, one base64
+    piece and its rank per line; without that file training fails with FileNotFoundError.
+    """
     spark = docs.sparkSession
     usable = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
@@ -229,8 +271,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
 
     counted = chosen.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint")
     counted = materialize(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    letters = counted.select(F.explode(F.split("word", "")).alias("c"), "n").filter("c <> ''").groupBy("c").agg(F.sum("n").alias("n")).filter("n >= 5")
-    alphabet = {r["c"] for r in letters.select("c").collect()}  # at most the letters of Unicode
+    letters = counted.select(F.explode(F.split("word", "")).alias("c")).filter("c <> ''").distinct()
+    alphabet = {r["c"] for r in letters.collect()}  # at most the letters of Unicode
     model = Lattice(pieces(path, alphabet), languages)
     place = {name: i for i, name in enumerate(languages)}
     for _ in range(ROUNDS):

@@ -58,24 +58,58 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _running(values: Column) -> Column:
+    """Running sums of an array: each round adds what stands 1, 2, 4 ... places before, so rounds grow with the logarithm."""
+    rounds = F.slice(F.sequence(F.lit(0), F.lit(31)), F.lit(1), F.length(F.bin(F.size(values).cast("bigint"))))
+
+    def add(acc: Column, r: Column) -> Column:
+        shift = F.least(F.pow(F.lit(2.0), r).cast("int"), F.size(acc))
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), shift), F.slice(acc, F.lit(1), F.size(acc) - shift)), lambda x, y: x + y)
+
+    return F.aggregate(rounds, values, add)
+
+
+def _below(ordered: Column, limit: Column, inclusive: bool) -> Column:
+    """How many values of an ascending array are below `limit` (or equal to it), by halving."""
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(ordered).cast("bigint"))))
+
+    def halve(x: Column, _step: Column) -> Column:
+        middle = F.shiftright(x["lo"] + x["hi"], 1)
+        value = F.get(ordered, middle)
+        more = (value <= limit) if inclusive else (value < limit)
+        done = x["lo"] >= x["hi"]
+        return F.when(done, x).otherwise(
+            F.struct(F.when(more, middle + 1).otherwise(x["lo"]).alias("lo"), F.when(more, x["hi"]).otherwise(middle).alias("hi"))
+        )
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi")), halve, lambda x: x["lo"])
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Matches of a pattern with their code point positions: the pieces between them give the gaps."""
     empty = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,value:string>>)")
 
     def place(matches: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-        pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        ends = _running(F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m)))
+        one = lambda m, end: F.struct(
+            (end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("value")
+        )
+        return F.when(F.size(matches) > 0, F.zip_with(matches, ends, one)).otherwise(empty)
 
-        def add(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["g"])
-            end = start + F.length(x["m"])
-            one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"))
-            return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
-        placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), add)["found"]
-        return F.when(F.size(matches) > 0, placed).otherwise(empty)
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
+def _untouched(runs: Column, base: Column) -> Column:
+    """Runs that share no character with a base span.
+
+    Base spans that end before a run also start before its end, so a run is touched when more of them start before
+    its end than end by its start.
+    """
+    edges = F.struct(
+        F.array_sort(F.transform(base, lambda b: b["start"])).alias("starts"), F.array_sort(F.transform(base, lambda b: b["end"])).alias("ends")
+    )
+    return _let(edges, lambda e: F.filter(runs, lambda r: _below(e["starts"], r["end"], False) == _below(e["ends"], r["start"], True)))
 
 
 def normal_cdf(z: Column) -> Column:
@@ -158,9 +192,8 @@ def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", rate:
         F.transform(_spans(F.col("text"), HEX, 2), bare).alias("hex"),
         _spans(F.col("text"), RUN, 3).alias("runs"),
     )
-    touched = lambda r: F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     found = found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    tested = F.transform(F.filter("runs", lambda r: ~touched(r)), lambda r: F.struct(bare(r).alias("span"), _battery(r["value"]).alias("p")))
+    tested = F.transform(_untouched(F.col("runs"), F.col("base")), lambda r: F.struct(bare(r).alias("span"), _battery(r["value"]).alias("p")))
     found = materialize(
         found.select("id", *(F.size(c).cast("bigint").alias(f"n_{c}") for c in ("assign", "access", "hex")), "base", tested.alias("tested")), "found"
     )

@@ -16,7 +16,7 @@ def log_sum(model, word, k):
     for i in range(len(word)):
         state = 0
         for j in range(i, len(word)):
-            state = model.moves[state, model.symbols[ord(word[j])]]
+            state = model.step(state, word[j])
             if model.terminal[state]:
                 prefix[j + 1] = np.logaddexp(prefix[j + 1], prefix[i] + math.log(model.p[state, k]))
     return prefix[-1]
@@ -56,3 +56,29 @@ def test_expected_counts_of_a_long_run():
         model.p[state, 1] *= 1 + 1e-6
         assert abs(2 * (log_sum(model, word, 1) - before) / 1e-6 - expected[state]) < 1e-2 * max(1, expected[state])
         model.p[state, 1] /= 1 + 1e-6
+
+
+def test_sparse_edges_are_those_of_a_dense_table():
+    rng = np.random.default_rng(3)
+    dense = np.ones((500, 900), np.int32)
+    at = rng.choice(500 * 900, 3000, replace=False)
+    dense[at // 900, at % 900] = rng.integers(2, 500, 3000)
+    edges = language.Edges(at // 900, at % 900, dense[at // 900, at % 900])
+    state, symbol = np.divmod(np.arange(500 * 900), 900)
+    assert (edges.follow(state, symbol) == dense[state, symbol]).all()
+    empty = language.Edges(*np.zeros((3, 0), np.int64))
+    assert (empty.follow(state, symbol) == 1).all()
+
+
+def test_many_letters_make_a_small_model():
+    letters = {chr(c) for c in range(0x4E00, 0x4E00 + 19_000)} | {chr(c) for c in range(0xAC00, 0xAC00 + 11_000)} | set("abcdefghij")
+    model = language.Lattice(language.pieces(language.VOCABULARY, letters), ["x", "y"])
+    size = sum(x.nbytes for x in (model.symbols, model.p, model.terminal, model.edges.keys, model.edges.to))
+    assert len(model.terminal) > 30_000 and size < 50 << 20
+    assert model.step(0, chr(0x4E00)) > 1 and model.symbols.max() == len(letters)
+
+
+def test_rare_letters_are_in_the_alphabet(spark):
+    rows = [(i, "abc " * 20 + ("ж" if i == 0 else ""), "x") for i in range(30)] + [(i, "bca " * 20, "y") for i in range(30, 60)]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.symbols[ord("ж")] > 0

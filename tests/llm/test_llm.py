@@ -157,7 +157,7 @@ def test_forward_sums_all_segmentations():
     def piece(word):
         state = 0
         for c in word:
-            state = model.moves[state, model.symbols[ord(c)]]
+            state = model.step(state, c)
         return model.p[state] if model.terminal[state] else np.zeros(2)
 
     def brute(word):
@@ -243,6 +243,32 @@ def test_battery_p_values(spark):
     assert 0.3 < np.mean([p["ordinary"] > 0.5 for p in found]) < 0.7
 
 
+def test_spans_and_untouched_runs_match_brute_force(spark):
+    rng = random.Random(12)
+    words = ["ab12cd34ef56ab78cd90ef12", "token=abcdefgh", "AKIA" + "Q7" * 9, "x" * 25, "secret: é", "naïve", "0123456789abcdef0123456789", "password=" + "k3" * 14, "Z" * 19]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(60)] + ["", "é" * 50, "a" * 20]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    text = F.col("t")
+    base = F.concat(*(F.transform(secrets._spans(text, p, k), lambda s: F.struct(s["start"], s["kind"], s["end"])) for k, p in enumerate((secrets.ASSIGN, secrets.ACCESS, secrets.HEX))))
+    runs = secrets._spans(text, secrets.RUN, 3)
+    for r in df.select("t", base.alias("base"), runs.alias("runs"), secrets._untouched(runs, base).alias("free")).collect():
+        own = [(m.start(), k, m.end()) for k, p in enumerate((secrets.ASSIGN, secrets.ACCESS, secrets.HEX)) for m in re.finditer(p, r["t"])]
+        assert [tuple(b) for b in r["base"]] == own
+        found = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.RUN, r["t"])]
+        assert [(x["start"], x["end"], x["value"]) for x in r["runs"]] == found
+        assert [(x["start"], x["end"]) for x in r["free"]] == [(a, b) for a, b, _ in found if not any(s < b and a < e for s, _, e in own)]
+
+
+def test_a_text_with_many_runs_is_fast(spark):
+    import time
+
+    many = " ".join(f"{i:020d}x" for i in range(100_000)) + " " + " ".join(f"token={i:06d}" for i in range(20_000))
+    df = spark.createDataFrame([(1, many)], "doc_id bigint, text string")
+    started = time.time()
+    row = df.select(F.size(secrets._untouched(secrets._spans(F.col("text"), secrets.RUN, 3), secrets._spans(F.col("text"), secrets.ASSIGN, 0)))).first()
+    assert row[0] == 100_000 and time.time() - started < 60
+
+
 # --- 4 and 8 classifiers --------------------------------------------------------------------------------
 
 
