@@ -139,8 +139,11 @@ def feedback_summary(results: DataFrame, keys=("scenario", "stage"), **limits) -
         *[c for c in ("case_idx", "groundtruth", "pred_top1_rc", "pred_rc", "cot", "rank") if c in results.columns],
         *([important_features(F.col("features")).alias("important_nonzero_features")] if "features" in results.columns else []),
     )
-    listed = F.array_sort(F.collect_list(F.when(~F.col("is_correct"), F.struct("feedback_pos", shown.alias("case")))))
-    listed_ok = F.array_sort(F.collect_list(F.when(F.col("is_correct"), F.struct("feedback_pos", shown.alias("case")))))
+    def in_order(rows: Column) -> Column:  # by position alone: a case holds maps, which have no order
+        return F.array_sort(F.collect_list(rows), lambda a, b: a["feedback_pos"] - b["feedback_pos"])
+
+    case = F.struct("feedback_pos", shown.alias("case"))
+    listed, listed_ok = in_order(F.when(~F.col("is_correct"), case)), in_order(F.when(F.col("is_correct"), case))
     lists = cases.groupBy(*keys).agg(
         F.transform(listed, lambda x: x["case"]).alias("wrong_cases"),
         F.transform(listed_ok, lambda x: x["case"]).alias("correct_cases"),

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow import vocab
 from caseflow.operators import features as feat
-from caseflow.operators import binned, flow, tree
+from caseflow.operators import binned, flow, refine, selection, tree
+from caseflow.operators import incremental as inc
 from caseflow.plans import documents, windows
 from caseflow.plans.common import Registry, r6, table
-from caseflow.scale import spread
+from caseflow.scale import materialize, spread
 
 registry = Registry()
 
@@ -226,3 +229,94 @@ def tree_flow_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     Signups have no checkpoint, so no earlier case to learn from: they stay without predictions and without a mark.
     """
     return _flow_rows(spark, sf_dir)
+
+
+# --- selections refined by answers ------------------------------------------------------------
+REFINE_ROUNDS = 3
+REFINE_OPTIONS = (documents.SCENARIO_SELECTIONS["click"], documents.SCENARIO_SELECTIONS["error"])
+REFINE_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def _completed(chosen: dict) -> dict:
+    """A selection with the default tokens that normalising adds to every KPI."""
+    def tokens(given: list[str]) -> list[str]:
+        add = [default for default, allowed in (("mix", vocab.SEGMENT_TOKENS), ("mean", vocab.STAT_TOKENS)) if not set(given) & set(allowed)]
+        return given + add
+
+    return {"log": chosen["log"], "kpi": {k: tokens(chosen["kpi"].get(k, [])) for k in vocab.KPIS}}
+
+
+def _sql_refine() -> str:
+    sql, places = documents._sql_features(), {rule[0]: i for i, rule in enumerate(feat.feature_rules())}
+    arms = []
+    for option, chosen in enumerate(REFINE_OPTIONS):
+        pairs = ", ".join(f"{{'f': {places[n]}, 'x': ({sql[n]})::FLOAT::DOUBLE}}" for n in documents._selected_names(_completed(chosen)))
+        arms.append(f"SELECT {option} AS opt, scenario, e AS idx, root, train, unnest([{pairs}]) AS p FROM chosen")
+    types = ", ".join(f"'{t}'" for t in REFINE_TYPES)
+    states = ["state0 AS (SELECT DISTINCT scenario, 0 AS opt FROM chosen)"]
+    for r in range(1, REFINE_ROUNDS):
+        states.append(f"state{r} AS (SELECT s.scenario, coalesce(p.opt, s.opt) AS opt FROM state{r - 1} s LEFT JOIN picked p ON p.scenario = s.scenario AND p.round = {r - 1})")
+    rounds_ = " UNION ALL ".join(f"SELECT {r} AS round, scenario, opt FROM state{r}" for r in range(REFINE_ROUNDS))
+    logs = " ".join(f"WHEN {i} THEN '{'|'.join(o['log'])}'" for i, o in enumerate(REFINE_OPTIONS))
+    return f"""WITH {documents.SQL_EVENTS},
+rooted AS (SELECT *, {documents.SQL_ROOT} AS root, (SELECT max(e) // 2 FROM ev) AS mid FROM ev),
+train_ AS (SELECT * FROM rooted WHERE e < mid AND root <> '' QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY e DESC) <= {FLOW_TRAIN}),
+chosen AS (SELECT *, true AS train FROM train_ UNION ALL SELECT *, false FROM rooted WHERE e >= mid),
+long AS (SELECT opt, scenario, idx, root, train, p.f AS f, p.x AS x FROM ({" UNION ALL ".join(arms)})),
+steps AS (SELECT opt, scenario, f, x, lead(x) OVER (PARTITION BY opt, scenario, f ORDER BY x) AS next_x FROM (SELECT DISTINCT opt, scenario, f, x FROM long WHERE train)),
+sides AS (
+  SELECT s.opt, s.scenario, s.f, s.x, s.next_x, root, count(*) FILTER (l.x <= s.x) AS a, count(*) FILTER (l.x > s.x) AS b
+  FROM steps s JOIN long l ON l.opt = s.opt AND l.scenario = s.scenario AND l.f = s.f AND l.train WHERE next_x IS NOT NULL GROUP BY ALL),
+best AS (
+  SELECT opt, scenario, f, (x + next_x) / 2 AS threshold FROM sides GROUP BY opt, scenario, f, x, next_x HAVING sum(a) >= 10 AND sum(b) >= 10
+  QUALIFY row_number() OVER (PARTITION BY opt, scenario ORDER BY sum(a * a)::DOUBLE / sum(a) + sum(b * b)::DOUBLE / sum(b) DESC, f, x) = 1),
+options AS (SELECT unnest(range({len(REFINE_OPTIONS)})) AS opt),
+placed AS (
+  SELECT o.opt, c.scenario, c.e AS idx, c.root, c.train, CASE WHEN b.f IS NULL THEN 1 WHEN l.x > b.threshold THEN 3 ELSE 2 END AS leaf
+  FROM chosen c CROSS JOIN options o LEFT JOIN best b ON b.opt = o.opt AND b.scenario = c.scenario
+  LEFT JOIN long l ON l.opt = o.opt AND l.scenario = c.scenario AND l.idx = c.e AND l.f = b.f),
+top AS (
+  SELECT opt, scenario, leaf, root AS best_root FROM placed WHERE train GROUP BY 1, 2, 3, 4
+  QUALIFY row_number() OVER (PARTITION BY opt, scenario, leaf ORDER BY count(*) DESC, root) = 1),
+judged AS (
+  SELECT opt, scenario, count(*) FILTER (root <> '') AS labeled_total, count(*) FILTER (root <> '' AND root = best_root) AS correct
+  FROM placed JOIN top USING (opt, scenario, leaf) WHERE NOT train GROUP BY 1, 2),
+answers AS (
+  SELECT [{types}][1 + conv_id % 5] AS scenario, turn % {REFINE_ROUNDS} AS round, conv_id * 100 + turn AS pos,
+         CASE length(text) % 3 WHEN 1 THEN 0 WHEN 2 THEN 1 END AS opt
+  FROM conversations WHERE role = 'assistant' AND conv_id % 7 = 3),
+picked AS (SELECT scenario, round, opt FROM answers WHERE opt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scenario, round ORDER BY pos) = 1),
+{", ".join(states)}
+SELECT s.scenario, s.round::INT AS round, CASE s.opt {logs} END AS log, labeled_total, correct, p.opt IS NULL AS fell_back
+FROM ({rounds_}) s LEFT JOIN judged j USING (opt, scenario) LEFT JOIN picked p ON p.scenario = s.scenario AND p.round = s.round"""
+
+
+@registry.add(_sql_refine())
+def selection_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three refining rounds: trees of one split, their summary, and the next selection from assistant turns.
+
+    A turn belongs to a scenario and a round; what it selects follows from its length, and some turns select nothing.
+    """
+    cases = documents.cases(spark, sf_dir).select("scenario", "idx", "sem", "root_cause")
+    middle = (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) // 2
+    plain = cases.select("scenario", "idx", "root_cause")
+    after = plain.filter(F.col("idx") >= middle)
+    window = inc.trailing_train_window(plain.filter("root_cause <> ''"), after.select("scenario", "idx").unionByName(plain.select("scenario", F.lit(middle).cast("bigint").alias("idx"))), FLOW_TRAIN)
+    train = cases.join(materialize(window.select("scenario", "idx"), "window"), ["scenario", "idx"], "left_semi")
+    start = selection.normalise(F.parse_json(F.lit(json.dumps(REFINE_OPTIONS[0]))))
+    first = plain.select("scenario").distinct().select("scenario", start.alias("selection"))
+    texts = F.when(F.length("text") % 3 == 0, F.col("text"))
+    for place, option in enumerate(REFINE_OPTIONS):
+        texts = texts.when(F.length("text") % 3 == place + 1, F.concat(F.regexp_replace("text", "[{}`]", " "), F.lit(f"\n```json\n{json.dumps(option)}\n```")))
+    types = F.array(*[F.lit(t) for t in REFINE_TYPES])
+    said = table(spark, sf_dir, "conversations").filter("role = 'assistant' AND conv_id % 7 = 3").select(
+        F.get(types, (F.col("conv_id") % 5).cast("int")).alias("scenario"), (F.col("turn") % REFINE_ROUNDS).cast("int").alias("round"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("pos"), texts.alias("text"),
+    )
+    found = refine.refine(
+        train, cases.filter(F.col("idx") >= middle), first, lambda prompts: prompts.join(said, ["scenario", "round"]).select("scenario", "pos", "text"),
+        "{alarm_type} {round}\n{previous_selection}\n{validcase_summary}", rounds=REFINE_ROUNDS, max_depth=1,
+    )
+    return found.state.select(
+        "scenario", "round", F.array_join("selection.log", "|").alias("log"), "labeled_total", "correct", F.col("fallback_reason").isNotNull().alias("fell_back")
+    )
