@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.textblocks import ALNUM, LOWER, blocks, words
+from caseflow.llm.textblocks import ALNUM, LOWER, blocks, release, words
 
 WIDTH, SAMPLE = 13, 8
 # Benchmark text per pass; larger benchmarks take more passes over the documents.
 PART_BYTES = 16 << 20
 # Text bytes per shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 class Phrases:
@@ -246,6 +246,7 @@ def find_contamination(
                         items[r] = sorted(set(items[r]).union(*(known.owners[p] for p in np.unique(which[own]))))
                     new = [pa.array(np.diff(w.bounds)), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*rows.columns[:-3], *new], batch.schema.names)
+            release()
 
         found = found.mapInArrow(search, schema)
     return found

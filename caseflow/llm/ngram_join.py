@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from caseflow.llm import filters
 from caseflow.llm.components import components
-from caseflow.llm.textblocks import LOWER, NOT_SPACE, Words, blocks, mix, rolling, words
+from caseflow.llm.textblocks import LOWER, NOT_SPACE, Words, blocks, mix, release, rolling, words
 from caseflow.scale import materialize
 
 SKETCH_WORDS = 16  # 1,024 bits at least; twice as many bits as shingles
@@ -215,8 +215,7 @@ def _scan(docs: DataFrame, size: int, emit, schema: str, held: filters.Held, ids
                 n_rows = len(block.bounds) - 1
                 row, value = shingle_sets(words(block, NOT_SPACE, LOWER), size)
                 yield from emit(batch.column(0).slice(block.lo, n_rows), row, value, np.bincount(row, minlength=n_rows))
-            del batch
-            pa.default_memory_pool().release_unused()
+        release()
 
     return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.textblocks import ALNUM, LOWER, Block, blocks, words
+from caseflow.llm.textblocks import ALNUM, LOWER, Block, blocks, release, words
 from caseflow.scale import materialize
 
 BUCKETS, DIMS, NONZERO, REACH = 8192, 32, 4, 2
@@ -85,6 +85,8 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int32()), pa.array(seen[used]), pa.array(list(table.reshape(BUCKETS, DIMS)[used].astype(np.int64)), pa.list_(pa.int64()))], ["bucket", "n", "v"]
         )
+        del table, seen
+        release()
 
     tables = source.mapInArrow(count, "bucket int, n bigint, v array<bigint>")
     sums = tables.groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMS))).toArrow()  # BUCKETS rows
@@ -206,5 +208,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predict(sent.value, batch.column(body)))], [*batch.schema.names, "_score"])
+        release()
 
     return docs.mapInArrow(run, schema)

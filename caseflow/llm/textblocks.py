@@ -7,6 +7,7 @@ in steps, also inside one long word. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,6 +29,14 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: workers are kept, and would keep it too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries need none
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every bit of an unsigned 64-bit value."""
     x = x.astype(np.uint64, copy=True)
