@@ -147,6 +147,66 @@ def fit_prompts(
     )
 
 
+def part(text: Column, is_log: bool = False) -> Column:
+    """One piece of a prompt for `fit_parts`."""
+    return F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(is_log).alias("is_log"))
+
+
+def fit_parts(prompts: DataFrame, budget: int, *, parts: str = "parts", count: Callable[[Column], Column] = chars) -> DataFrame:
+    """Put the pieces of `parts`, an array of `part()` in reading order, together within `budget` tokens.
+
+    Over budget the largest log block shrinks to the largest head and tail that fit, of equally large ones the later. If
+    not even its empty cut is enough, it stays so and the next largest shrinks, and so on; blocks that are cut
+    already are left alone. If all that is not enough, the whole prompt keeps head and tail around a marker. Adds the
+    columns of `fit_prompts` and truncated_sections. The tokens of a prompt are those of its pieces together.
+    """
+    room = budget - len(vocab.PROMPT_CUT_MARK)
+    if room <= 1:
+        raise ValueError("the budget does not even hold the cut marker")
+    sized = prompts.withColumn("_texts", F.transform(parts, lambda x: x["text"]))
+    sized = sized.withColumn("_sizes", F.transform("_texts", lambda t: count(t).cast("bigint")))
+    sized = sized.withColumn("original_tokens", F.aggregate("_sizes", F.lit(0).cast("bigint"), lambda a, n: a + n))
+    over = F.col("original_tokens") > budget
+
+    def block(x: Column, i: Column) -> Column:
+        usable = x["is_log"] & (F.length(x["text"]) > 0) & ~F.startswith(x["text"], F.lit('{"__truncated__":true'))
+        return F.when(usable, F.struct((-F.get("_sizes", i)).alias("size"), (-i).alias("at")))
+
+    blocks = F.array_sort(F.filter(F.transform(parts, block), lambda b: b.isNotNull()))
+    start = F.struct(
+        F.col("original_tokens").alias("total"), F.col("_texts").alias("texts"), F.lit(0).cast("bigint").alias("retained"), F.lit(0).alias("sections")
+    )
+
+    def shrink(state: Column, b: Column) -> Column:
+        at = -b["at"]
+        rest = state["total"] + b["size"]  # sizes are negative here
+
+        def cut(c: Column) -> Column:
+            return F.struct(
+                (rest + count(c["text"])).cast("bigint").alias("total"),
+                F.transform(state["texts"], lambda t, i: F.when(i == at, c["text"]).otherwise(t)).alias("texts"),
+                (state["retained"] + c["retained"]).cast("bigint").alias("retained"),
+                (state["sections"] + 1).alias("sections"),
+            )
+
+        return F.when(state["total"] <= budget, state).otherwise(let(fit_logs(F.get(state["texts"], at), F.lit(budget) - rest, count), cut))
+
+    sized = sized.withColumn("_fit", F.when(over, F.aggregate(blocks, start, shrink)).otherwise(start))
+    joined = F.array_join(F.col("_fit.texts"), "")
+    head = room // 2
+    whole = F.concat(F.left(joined, F.lit(head)), F.lit(vocab.PROMPT_CUT_MARK), F.right(joined, F.lit(room - head)))
+    still = F.col("_fit.total") > budget
+    return (
+        sized.withColumn("prompt", F.when(still, whole).otherwise(joined))
+        .withColumn("final_tokens", count(F.col("prompt")).cast("bigint"))
+        .withColumn("truncated", over)
+        .withColumn("truncation_strategy", F.when(still, "whole_prompt_fallback").when(F.col("_fit.sections") > 0, "anomaly_logs").otherwise("none"))
+        .withColumn("retained_log_tokens", F.when(F.col("_fit.sections") > 0, F.col("_fit.retained")))
+        .withColumn("truncated_sections", F.col("_fit.sections"))
+        .drop("_texts", "_sizes", "_fit")
+    )
+
+
 # --- assembly ---------------------------------------------------------------------------------
 def case_fields(cases: DataFrame) -> dict[str, Column]:
     """Template fields of a case table; extra columns of the table are fields too."""
@@ -172,7 +232,8 @@ def build_prompts(
 ) -> DataFrame:
     """Prompts of one role. `{semantic_labels}` in the template is the evidence with its logs.
 
-    `examples` (scenario, text) appends a worked example to the cases of its scenario. Only a stated `budget`, in
+    `examples` (scenario, text) appends a worked example to the cases of its scenario; with a column `parts` in place of
+    `text`, an array of `part()`, its own log blocks shrink like those of the case. Only a stated `budget`, in
     tokens of `count`, cuts prompts; `input_budget()` gives that of a model.
     """
     subject = evidence_columns(cases, drop_logs_for)
@@ -180,7 +241,10 @@ def build_prompts(
     place = "{" + LOGS_PLACE + "}"
     head, found, tail = template.partition(place)
     suffix = F.lit("")
-    if examples is not None:
+    several = examples is not None and "parts" in examples.columns
+    if several:
+        subject = subject.join(examples.select("scenario", F.col("parts").alias("_example")), "scenario", "left")
+    elif examples is not None:
         subject = subject.join(examples.select("scenario", F.col("text").alias("_example")), "scenario", "left")
         suffix = F.coalesce(F.concat(F.lit(vocab.EXAMPLE_LEAD), F.col("_example")), F.lit(""))
     has_logs = F.col("logs_json").isNotNull()
@@ -192,7 +256,15 @@ def build_prompts(
         .withColumn("after", F.concat(closing, render(tail, fields), suffix))
         .withColumn("_logs", F.col("logs_json") if found else F.lit(None).cast("string"))
     )
-    fitted = fit_prompts(parts, budget, logs="_logs", count=count)
+    if several and budget is not None:
+        lead = F.when(F.col("_example").isNotNull(), F.concat(F.array(part(F.lit(vocab.EXAMPLE_LEAD))), F.col("_example")))
+        own = F.array(part(F.col("before")), part(F.col("_logs"), True), part(F.col("after")))
+        fitted = fit_parts(parts.withColumn("_parts", F.concat(own, F.coalesce(lead, F.slice(own, 1, 0)))), budget, parts="_parts", count=count)
+    else:
+        if several:
+            shown = F.array_join(F.transform("_example", lambda x: x["text"]), "")
+            parts = parts.withColumn("after", F.concat("after", F.coalesce(F.concat(F.lit(vocab.EXAMPLE_LEAD), shown), F.lit(""))))
+        fitted = fit_prompts(parts, budget, logs="_logs", count=count)
     stats = ["original_tokens", "final_tokens", "truncated", "truncation_strategy", "retained_log_tokens"]
     return fitted.select(*CASE, F.lit(role).alias("role"), "prompt", *stats)
 

@@ -75,6 +75,55 @@ def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_cut(text: str, kept: str) -> str:
+    return f"""('{{"__truncated__":true,"__note__":"{vocab.LOG_CUT_NOTE}","__original_token_count__":' || length({text}) || ',"__head__":"'
+      || left({text}, {kept} // 2) || '","__tail__":"' || right({text}, {kept} - {kept} // 2) || '"}}')"""
+
+
+@registry.add(f"""WITH plain AS (
+  SELECT doc_id, source, replace(replace(replace(replace(text, '"', ''), '\\', ''), chr(10), ' '), chr(9), ' ') AS t FROM documents),
+parts AS (
+  SELECT doc_id, 'Source ' || coalesce(source, '') || ': ' AS a, coalesce(CASE WHEN doc_id % 4 = 0 THEN left(t, 1500) ELSE t END, '') AS x,
+         ' and ' AS m, coalesce(CASE WHEN doc_id % 4 < 2 THEN t WHEN doc_id % 4 = 2 THEN left(t, 700) ELSE '' END, '') AS y,
+         CASE WHEN doc_id % 5 = 0 THEN repeat('z', 2800) ELSE ' end' END AS b FROM plain),
+ordered AS (
+  SELECT *, length(a) + length(x) + length(m) + length(y) + length(b) AS total, length(x) > length(y) AS x_first,
+         CASE WHEN length(x) > length(y) THEN x ELSE y END AS big, CASE WHEN length(x) > length(y) THEN y ELSE x END AS small FROM parts),
+one AS (SELECT *, total - length(big) AS rest1, length({_sql_cut("big", "0")}) AS empty1, length({_sql_cut("small", "0")}) AS empty2 FROM ordered),
+two AS (
+  SELECT *, CASE WHEN total > {BUDGET} AND big <> '' THEN greatest(least({BUDGET} - rest1 - empty1, length(big) - 1), 0) END AS k1,
+         rest1 + empty1 - length(small) AS rest2 FROM one),
+three AS (
+  SELECT *, CASE WHEN k1 IS NOT NULL AND rest1 + empty1 > {BUDGET} AND small <> '' THEN greatest(least({BUDGET} - rest2 - empty2, length(small) - 1), 0) END AS k2 FROM two),
+texts AS (
+  SELECT *, CASE WHEN k1 IS NULL THEN big ELSE {_sql_cut("big", "k1")} END AS big_, CASE WHEN k2 IS NULL THEN small ELSE {_sql_cut("small", "k2")} END AS small_ FROM three),
+whole AS (SELECT *, a || CASE WHEN x_first THEN big_ ELSE small_ END || m || CASE WHEN x_first THEN small_ ELSE big_ END || b AS p FROM texts)
+SELECT doc_id, total::BIGINT AS original_tokens, least(length(p), {BUDGET})::BIGINT AS final_tokens,
+  CASE WHEN length(p) > {BUDGET} THEN 'whole_prompt_fallback' WHEN k1 IS NOT NULL THEN 'anomaly_logs' ELSE 'none' END AS truncation_strategy,
+  ((k1 IS NOT NULL)::INT + (k2 IS NOT NULL)::INT)::INT AS truncated_sections, CASE WHEN k1 IS NOT NULL THEN k1 + coalesce(k2, 0) END::BIGINT AS retained_log_tokens,
+  md5(CASE WHEN length(p) > {BUDGET} THEN left(p, {ROOM // 2}) || '{vocab.PROMPT_CUT_MARK}' || right(p, {ROOM - ROOM // 2}) ELSE p END) AS digest
+FROM whole""")
+def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with two log blocks: the larger one is cut first, the other one only if that is not enough."""
+    text = F.regexp_replace(F.regexp_replace(F.col("text"), r'["\\]', ""), r"[\n\t]", " ")
+    kind = F.col("doc_id") % 4
+    docs = table(spark, sf_dir, "documents")
+    shaped = docs.select(
+        "doc_id",
+        F.array(
+            prompts.part(F.concat(F.lit("Source "), F.coalesce("source", F.lit("")), F.lit(": "))),
+            prompts.part(F.when(kind == 0, F.left(text, F.lit(1500))).otherwise(text), True),
+            prompts.part(F.lit(" and ")),
+            prompts.part(F.when(kind < 2, text).when(kind == 2, F.left(text, F.lit(700))), True),
+            prompts.part(F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("z"), F.lit(2800))).otherwise(" end")),
+        ).alias("parts"),
+    )
+    fitted = prompts.fit_parts(shaped, BUDGET)
+    return fitted.select(
+        "doc_id", "original_tokens", "final_tokens", "truncation_strategy", "truncated_sections", "retained_log_tokens", F.md5("prompt").alias("digest")
+    )
+
+
 # --- selections -------------------------------------------------------------------------------
 # Answers about a brand, one per part, in the order of the part key; p_partkey % 5 decides their shape.
 SELECTION_TEXT = """CASE p_partkey % 5

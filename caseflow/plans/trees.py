@@ -104,6 +104,28 @@ def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.rules(nodes, KEYS, NAMES).select("status", "leaf", "n", F.array_join(dist, "|").alias("dist"))
 
 
+SQL_NAME = "CASE {s}.feature " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END"
+
+
+@registry.add(f"""WITH {SQL_TWO},
+leaves AS (SELECT status, node, label, count(*) AS n FROM two GROUP BY 1, 2, 3),
+top AS (SELECT status, node, sum(n) OVER (PARTITION BY status, node) AS total, label FROM leaves
+        QUALIFY row_number() OVER (PARTITION BY status, node ORDER BY n DESC, label) = 1),
+ids AS (SELECT status, label, row_number() OVER (PARTITION BY status ORDER BY label) - 1 AS class_id FROM (SELECT DISTINCT status, label FROM base)),
+told AS (
+  SELECT t.status, t.node, t.label, total, CASE WHEN a.node IS NULL OR t.node = 1 THEN '(root leaf)' ELSE
+      {SQL_NAME.format(s="a")} || CASE WHEN CASE WHEN t.node > 3 THEN t.node // 2 ELSE t.node END = 2 THEN ' <= ' ELSE ' > ' END || printf('%.2f', a.threshold)
+      || CASE WHEN t.node > 3 THEN ' -> ' || {SQL_NAME.format(s="b")} || CASE WHEN t.node % 2 = 0 THEN ' <= ' ELSE ' > ' END || printf('%.2f', b.threshold) ELSE '' END END AS path
+  FROM top t LEFT JOIN s1 a ON a.status = t.status LEFT JOIN s2 b ON b.status = t.status AND b.node = t.node // 2)
+SELECT told.status, told.node::BIGINT AS leaf, path, told.label AS root_cause, class_id::INT AS class_id, total::BIGINT AS n
+FROM told JOIN ids ON ids.status = told.status AND ids.label = told.label""")
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of depth-2 trees: the path of every leaf as text, its class and the class number of the mapping."""
+    nodes = tree.fit(train_rows(spark, sf_dir), KEYS, max_depth=2)
+    rules = tree.rules(nodes, KEYS, NAMES).select("status", "leaf", "path", "root_cause", "n")
+    return rules.join(tree.class_mapping(nodes, KEYS), ["status", "root_cause"]).select("status", "leaf", "path", "root_cause", "class_id", "n")
+
+
 @registry.add(f"""WITH {SQL_TWO},
 leaves AS (SELECT status, node, label, count(*) AS n FROM two GROUP BY 1, 2, 3),
 grid AS (SELECT * FROM (SELECT DISTINCT status, node FROM two) JOIN (SELECT DISTINCT status, label FROM base) USING (status)),

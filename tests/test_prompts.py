@@ -22,6 +22,43 @@ def test_logs_shrink_first_then_the_whole_prompt(spark):
     assert (got[3].prompt, got[3].truncation_strategy) == ("a{}b", "none")
 
 
+def test_the_largest_log_block_shrinks_first(spark):
+    form = "i int, parts array<struct<text:string,is_log:boolean>>"
+    note = '{"__truncated__":true}' + "c" * 300
+    rows = [
+        (1, [("A", False), ("x" * 400, True), ("B", False), ("q" * 900, True), ("C", False)]),  # the second block alone is enough
+        (2, [("A", False), ("x" * 900, True), ("B", False), ("q" * 800, True), ("C", False)]),  # both
+        (3, [("A" * 600, False), ("x" * 900, True), ("q" * 20, True)]),  # not even both
+        (4, [("A", False), ("x" * 500, True), ("B", False), ("q" * 500, True)]),  # of equal ones the later
+        (5, [("A" * 400, False), (note, True), ("q" * 400, True), (None, True)]),  # cut already, empty, null
+        (6, [("A", False), ("x", True)]),
+        (7, []),
+    ]
+    got = {r.i: r for r in prompts.fit_parts(spark.createDataFrame(rows, form), 620).collect()}
+    assert (got[1].truncated_sections, got[1].truncation_strategy) == (1, "anomaly_logs") and "x" * 400 in got[1].prompt and 615 <= got[1].final_tokens <= 620
+    assert got[2].truncated_sections == 2 and 615 <= got[2].final_tokens <= 620
+    first = json.loads(got[2].prompt[1 : got[2].prompt.index("B{")])
+    assert first["__original_token_count__"] == 900 and first["__head__"] == first["__tail__"] == ""
+    assert got[2].retained_log_tokens == got[2].prompt.count("q")
+    assert (got[3].truncation_strategy, got[3].truncated_sections, got[3].final_tokens, got[3].retained_log_tokens) == ("whole_prompt_fallback", 2, 620, 0)
+    assert "x" * 500 in got[4].prompt and got[4].retained_log_tokens == got[4].prompt.count("q")
+    assert note in got[5].prompt or got[5].truncation_strategy == "whole_prompt_fallback"
+    assert (got[6].prompt, got[6].truncated_sections, got[7].prompt) == ("Ax", 0, "")
+
+
+def test_logs_of_an_example_shrink_too(spark):
+    docs = cases(spark).filter("case_idx < 3")
+    example = F.array(prompts.part(F.lit('{"anomaly_logs":')), prompts.part(F.lit('"' + "e" * 900 + '"'), True), prompts.part(F.lit("}")))
+    examples = spark.createDataFrame([("s",)], "scenario string").select("scenario", example.alias("parts"))
+    template = "{alarm_type}|{semantic_labels}"
+    free = {r.case_idx: r.prompt for r in prompts.build_prompts(docs, "reasoner", template, examples=examples).collect()}
+    assert free[1] == 's|{"anomaly_logs":{"a":1},"k":{"z":2}}' + vocab.EXAMPLE_LEAD + '{"anomaly_logs":"' + "e" * 900 + '"}'
+    cut = {r.case_idx: r for r in prompts.build_prompts(docs, "reasoner", template, examples=examples, budget=400).collect()}
+    assert cut[1].truncation_strategy == "anomaly_logs" and 395 <= cut[1].final_tokens <= 400
+    assert '{"a":1}' in cut[1].prompt and json.loads(cut[1].prompt.split(vocab.EXAMPLE_LEAD)[1])["anomaly_logs"]["__truncated__"]
+    assert cut[2].prompt == free[2] and not cut[2].truncated
+
+
 def cases(spark):
     docs = [("s", 1, '{"anomaly_logs":{"a":1},"k":{"z":2}}'), (vocab.NO_LOGS_SCENARIO, 2, '{"anomaly_logs":{"a":1}}'), ("t", 3, "{}")]
     df = spark.createDataFrame(docs, "scenario string, case_idx bigint, j string")
