@@ -29,7 +29,7 @@ def test_the_largest_log_block_shrinks_first(spark):
         (1, [("A", False), ("x" * 400, True), ("B", False), ("q" * 900, True), ("C", False)]),  # the second block alone is enough
         (2, [("A", False), ("x" * 900, True), ("B", False), ("q" * 800, True), ("C", False)]),  # both
         (3, [("A" * 600, False), ("x" * 900, True), ("q" * 20, True)]),  # not even both
-        (4, [("A", False), ("x" * 500, True), ("B", False), ("q" * 500, True)]),  # of equal ones the later
+        (4, [("A", False), ("x" * 450, True), ("B", False), ("q" * 450, True)]),  # of equal ones the later
         (5, [("A" * 400, False), (note, True), ("q" * 400, True), (None, True)]),  # cut already, empty, null
         (6, [("A", False), ("x", True)]),
         (7, []),
@@ -41,7 +41,7 @@ def test_the_largest_log_block_shrinks_first(spark):
     assert first["__original_token_count__"] == 900 and first["__head__"] == first["__tail__"] == ""
     assert got[2].retained_log_tokens == got[2].prompt.count("q")
     assert (got[3].truncation_strategy, got[3].truncated_sections, got[3].final_tokens, got[3].retained_log_tokens) == ("whole_prompt_fallback", 2, 620, 0)
-    assert "x" * 500 in got[4].prompt and got[4].retained_log_tokens == got[4].prompt.count("q")
+    assert "x" * 450 in got[4].prompt and got[4].retained_log_tokens == got[4].prompt.count("q")
     assert note in got[5].prompt or got[5].truncation_strategy == "whole_prompt_fallback"
     assert (got[6].prompt, got[6].truncated_sections, got[7].prompt) == ("Ax", 0, "")
 
