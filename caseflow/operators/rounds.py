@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from caseflow import vocab
 from caseflow.functions.text import is_blank
 from caseflow.operators.prompts import build_prompts, chars, merge_samples, round_context, truncate_answer
-from caseflow.scale import materialize
+from caseflow.scale import materialize, materialize_bucketed
 
 CASE = ["scenario", "case_idx"]
 BatchModel = Callable[[Sequence[str], dict], Sequence[str]]
@@ -122,6 +122,11 @@ def stops(text: Column, marker: str = vocab.STOP_MARKER) -> Column:
     return F.coalesce(text.contains(marker), F.lit(False))
 
 
+def with_answers(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """Cases that have an answer. With both sides bucketed by case no row moves."""
+    return cases.join(answers, CASE)
+
+
 def cooperation(
     cases: DataFrame,
     model: BatchModel,
@@ -136,23 +141,22 @@ def cooperation(
 ) -> tuple[DataFrame, DataFrame]:
     """Meta and reasoner take turns until the stop marker or `max_rounds`: (responses, state).
 
-    `cases` is read by every half round and should be a stored table.
-
     Each half round is one job over the cases still active, written to the shared folder; the driver only
-    asks whether any case is left. Meta sees `{last_round_outputs}`, the reasoner sees `{meta_output}`. A
+    asks whether any case is left. The cases are stored once in buckets by case, and so are the answers of every half
+    round, so that a half round joins them without moving the documents again. Meta sees `{last_round_outputs}`, the reasoner sees `{meta_output}`. A
     missing answer fails the case. `state` has rounds, stopped, failed, status per case.
     """
-    blank = cases.withColumn("sop", F.lit(""))
+    blank = materialize_bucketed(cases.withColumn("sop", F.lit("")), "cases", CASE)
     active = blank.withColumn("last_round_outputs", F.lit(vocab.NO_PREVIOUS_ROUND))
     responses: list[DataFrame] = []
     for round_id in range(max_rounds):
         meta_prompts = build_prompts(active, "meta", meta_template, budget=budget, count=count, drop_logs_for=None)
-        meta = materialize(invoke(meta_prompts, model, **options), f"meta_{round_id}")
+        meta = materialize_bucketed(invoke(meta_prompts, model, **options), f"meta_{round_id}", CASE)
         responses.append(as_responses(meta, "meta", round_id))
         going = meta.filter(F.col("text").isNotNull() & ~stops(F.col("text"), marker))
-        reasoning = blank.join(going.select(*CASE, F.col("text").alias("meta_output")), CASE)
-        answered = materialize(
-            invoke(build_prompts(reasoning, "reasoner", reasoner_template, budget=budget, count=count), model, **options), f"reasoner_{round_id}"
+        reasoning = with_answers(blank, going.select(*CASE, F.col("text").alias("meta_output")))
+        answered = materialize_bucketed(
+            invoke(build_prompts(reasoning, "reasoner", reasoner_template, budget=budget, count=count), model, **options), f"reasoner_{round_id}", CASE
         )
         responses.append(as_responses(answered, "reasoner", round_id))
         last = going.select(*CASE, F.col("text").alias("_meta")).join(
@@ -160,7 +164,7 @@ def cooperation(
         )
         if round_id + 1 == max_rounds or last.isEmpty():
             break
-        active = blank.join(last, CASE).withColumn("last_round_outputs", round_context(F.col("_meta"), F.col("_reasoner"))).drop("_meta", "_reasoner")
+        active = with_answers(blank, last).withColumn("last_round_outputs", round_context(F.col("_meta"), F.col("_reasoner"))).drop("_meta", "_reasoner")
     all_responses = reduce(DataFrame.unionByName, responses)
     return all_responses, cooperation_state(cases, all_responses, marker)
 

@@ -7,7 +7,8 @@ collects a whole group in one task:
 * `range_parts` pins range partitions, over which running sums combine like over buckets;
 * `skew_join` salts the keys that are proven to be heavy;
 * `spread` uses all cores for heavy row-wise work on few input partitions;
-* `materialize` cuts lineage with a written table in the cluster's shared folder.
+* `materialize` cuts lineage with a written table in the cluster's shared folder, `materialize_bucketed` also
+  keeps later joins on the same keys from moving it.
 """
 
 from __future__ import annotations
@@ -60,6 +61,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def materialize_bucketed(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Write `df` to the shared folder in hash buckets of `keys`, as many as the session has shuffle partitions.
+
+    Tables bucketed alike are joined on these keys bucket by bucket, so that the wide one does not move again. The
+    keys should be near unique, as a bucket is one task. The table stays in the session's catalog under a name of its own.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"caseflow_{name}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.format("parquet").option("path", new_folder(spark, name)).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread few input partitions over all cores, for narrow rows ahead of heavy row-wise work.
 

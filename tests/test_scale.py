@@ -54,3 +54,23 @@ def test_null_keys_are_a_group_and_rows_without_an_index_are_reported(spark):
     got = {(r.scenario, r.idx): (r.position, r.group_n) for r in with_position(df, ["scenario"], "idx", width=2).collect()}
     assert got == {(None, 1): (1, 2), (None, 3): (2, 2), ("a", 2): (1, 1)}
     assert [tuple(r) for r in without_order(df, "idx").collect()] == [("a", None)]
+
+
+def test_bucketed_tables_join_without_moving(spark):
+    from caseflow.operators.rounds import with_answers
+    from caseflow.scale import materialize_bucketed
+
+    keys = ["scenario", "case_idx"]
+    docs = spark.range(300).select(F.concat(F.lit("s"), F.col("id") % 3).alias("scenario"), F.col("id").alias("case_idx"), F.parse_json(F.lit('{"a":1}')).alias("sem"))
+    left = materialize_bucketed(docs, "cases", keys)
+    right = materialize_bucketed(docs.filter("case_idx % 2 = 0").select(*keys, F.lit("t").alias("text")), "answers", keys)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = with_answers(left, right)
+        assert joined.count() == 150
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.filter("sem IS NULL").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
