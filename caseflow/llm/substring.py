@@ -108,7 +108,7 @@ def removal_intervals(docs: DataFrame, id: str = "doc_id", text: str = "text", w
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["id", "crc", "spans"])
 
-    starts = repeated_windows(docs, id, text, width).groupBy("id", "crc").agg(F.collect_list("start").alias("starts"))
+    starts = repeated_windows(docs, id, text, width).groupBy("id", "crc").agg(F.collect_set("start").alias("starts"))
     return starts.mapInArrow(merge, "id bigint, crc bigint, spans array<struct<start:int,end:int>>")
 
 

@@ -146,6 +146,14 @@ def test_shards(spark, awkward):
     assert sharding.shard(table(spark, [])).count() == 0
 
 
+def test_shards_of_the_table_hold_near_equal_bytes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    load = collections.Counter()
+    for r in sharding.shard(docs, shards=16).select("shard", "size").collect():
+        load[r["shard"]] += r["size"]
+    assert sorted(load) == list(range(16)) and max(load.values()) - min(load.values()) <= 0.001 * sum(load.values()) / 16
+
+
 # --- 2 language -----------------------------------------------------------------------------------------
 
 
@@ -354,6 +362,13 @@ def test_toxicity(spark, awkward):
     assert toxicity.score(table(spark, []), model).count() == 0
 
 
+def test_rows_repeated_many_times_lose_the_same_words(spark):
+    shared = prose(3, 20, 4000)
+    rows = [(1, "a b " + shared), (2, shared + " c d")] + [(3, "e " + shared + " f " + prose(9, 14, 4000))] * 200
+    found = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), width=13).collect()
+    assert len(found) == 202 and {(r["id"], r["n_removed"]) for r in found} == {(1, 0), (2, 20), (3, 20)}
+
+
 # --- 5 n-gram join --------------------------------------------------------------------------------------
 
 
