@@ -32,12 +32,17 @@ def json_rankings(text: Column, candidates: Column) -> Column:
     """Rankings of the JSON arrays that begin at any `[` of the text, in order of position.
 
     The piece up to the next `[` is tried first; only an array that goes on beyond it (nested arrays,
-    brackets inside strings) is decoded from the whole rest of the text.
+    brackets inside strings) is decoded from the rest of the text, up to the last piece that holds a `]`. Behind
+    that piece no array can end, so brackets that are never closed cost no more than their own piece.
     """
-    return let(F.split(text, r"\[", -1), lambda pieces: _json_rankings(pieces, candidates))
+    def bounded(pieces: Column) -> Column:
+        last = F.array_max(F.transform(pieces, lambda p, i: F.when(p.contains("]"), i)))
+        return F.struct(pieces.alias("pieces"), F.coalesce(last, F.lit(-1)).alias("last"))
 
+    return let(let(F.split(text, r"\[", -1), bounded), lambda b: _json_rankings(b["pieces"], b["last"], candidates))
 
-def _json_rankings(pieces: Column, candidates: Column) -> Column:
+
+def _json_rankings(pieces: Column, last: Column, candidates: Column) -> Column:
     starts = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(
         F.array().cast("array<int>")
     )
@@ -46,7 +51,7 @@ def _json_rankings(pieces: Column, candidates: Column) -> Column:
 
     def decode(k: Column) -> Column:
         flat = F.concat(F.lit("["), F.get(pieces, k))
-        rest = F.concat(F.lit("["), F.array_join(F.slice(pieces, k + 1, F.size(pieces)), "["))
+        rest = F.when(k < last, F.concat(F.lit("["), F.array_join(F.slice(pieces, k + 1, last - k + 1), "[")))
         return F.coalesce(F.from_json(flat, "array<variant>", STRICT), F.from_json(rest, "array<variant>", STRICT))
 
     return F.transform(plausible, lambda k: ranking_of(decode(k), candidates))

@@ -82,3 +82,17 @@ def test_only_last_round_and_only_verifier(spark):
     assert coop == {1: ([], "unparsed", None), 2: ([], "unparsed", None), 3: (["B"], "cooperation_meta:round2:structured_array", 1)}
     comp = {r.case_idx: (r.pred_rc, r.parse_strategy, r.rank) for r in answers.method_results(cases, said, "competition").collect()}
     assert comp == {1: (["B", "A"], "competition_reasoner:structured_array", 2), 2: ([], "unparsed", None), 3: ([], "unparsed", None)}
+
+
+def test_unclosed_brackets_cost_their_own_piece(spark):
+    import time
+
+    def seconds(n):
+        text = '["B", ["x"], "A"] ' + '["A", ' * n
+        df = spark.createDataFrame([(text, ["A", "B"])], "text string, candidates array<string>")
+        started = time.perf_counter()
+        assert answers.parse_answers(df).first().pred_rc == ["B", "A"]
+        return time.perf_counter() - started
+
+    seconds(10)
+    assert seconds(20_000) < 20 and seconds(40_000) < 40
