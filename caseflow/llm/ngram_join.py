@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 
 from caseflow.llm import filters
 from caseflow.llm.components import components
+from caseflow.llm.scratch import discard
 from caseflow.llm.textblocks import LOWER, NOT_SPACE, Words, blocks, mix, release, rolling, words
 from caseflow.scale import materialize
 
@@ -206,6 +207,7 @@ def _scan(docs: DataFrame, size: int, emit, schema: str, held: filters.Held, ids
     if ids is not None:
         ids = materialize(ids.select(F.xxhash64("id").alias("h")).distinct(), "ids")
         sent = held.filter(ids, "h")
+        discard(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,14 +331,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     load = F.greatest(F.lit(float(PAIR_ROWS)), pairs.agg(F.count(F.lit(1)) / 10_000).scalar())
     busy = pairs.groupBy("a").count().filter(F.col("count") > load)
     busy = F.broadcast(busy.select("a", F.ceil(F.col("count") / load).cast("int").alias("parts")))  # fewer than 10,000 rows
-    left = _sets(docs, pairs.select(F.col("a").alias("id")), size).select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = _sets(docs, pairs.select(F.col("b").alias("id")), size).select(F.col("id").alias("b"), F.col("items").alias("y"))
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), size)
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     dealt = pairs.join(busy, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     repeated = left.join(busy, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     both = dealt.join(right, "b").join(repeated, ["a", "part"])
     shared = F.size(F.array_intersect("x", "y"))
     kept = both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
-    return materialize(kept.select("a", "b").distinct(), "verified")
+    verified = materialize(kept.select("a", "b").distinct(), "verified")
+    discard(sets, pairs)
+    return verified
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, before: DataFrame | None = None) -> DataFrame:
@@ -379,7 +384,9 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
         found = _keys(single, size, bands, False, counted, held).select("key", "id").distinct()
         found = materialize(found.join(reps, "id", "left_semi"), "found")
     pivots = found.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top").drop("top")
-    members = materialize(found.join(materialize(pivots, "pivots"), "key"), "members")
+    pivots = materialize(pivots, "pivots")
+    members = materialize(found.join(pivots, "key"), "members")
+    discard(counted[0], found, pivots)
 
     def side(which: str) -> DataFrame:
         return narrow.select(F.col("id").alias(which), F.col("n").alias(f"n{which}"), F.col("sketch").alias(f"s{which}"))
@@ -387,6 +394,7 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     stars = members.filter("id <> pivot").select(F.col("id").alias("b"), F.col("pivot").alias("a")).distinct()
     stars = materialize(_near(stars.join(side("b"), "b").join(side("a"), "a"), percent).select("a", "b").distinct(), "stars")
     links = _linked(stars, single, size, percent)
+    discard(stars)
 
     # Members of keys that are not connected yet; a key of two documents is settled by its one comparison.
     known = materialize(components(links), "known")
@@ -397,6 +405,7 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     unsettled = placed.join(open_keys.select("key"), "key", "left_semi").groupBy("id", "part").agg(F.countDistinct("key").alias("keys"))
     unsettled = unsettled.join(narrow.groupBy("id").agg(F.min("extra").alias("extra")), "id").filter("keys >= extra").select("id", "part")
     unsettled = materialize(unsettled, "unsettled")
+    discard(members, known)
 
     # Of its 2 * need keys a document takes part with the `need` rarest; those it shares with nobody come first.
     total = 2 * (signed.join(unsettled, "id", "left_semi").agg(F.sum("n_keys")).first()[0] or 0)
@@ -409,7 +418,9 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     left = rare.select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = rare.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     more = materialize(_near(left.join(right, "key").filter("a < b AND pa <> pb"), percent).select("a", "b").distinct(), "more")
+    discard(rare, counted[0])
     links = _linked(more, single, size, percent, links)
+    discard(more, unsettled)
 
     final = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
     final = final.select("one", "two", "n", F.coalesce("component", "rep").alias("component_id"))
