@@ -77,7 +77,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         places, signs = index_vectors()
         table, seen = np.zeros(BUCKETS * DIMS), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for block in blocks(batch.column(0)):
+            for block in blocks(batch.column(0), TOKEN_BYTES):
                 bucket, bounds = tokens(block)
                 add_contexts(table, bucket, bounds, places, signs)
                 seen += np.bincount(bucket, minlength=BUCKETS)
