@@ -3,7 +3,7 @@ from itertools import groupby
 
 from pyspark.sql import functions as F
 
-from caseflow.scale import skew_join, with_position, without_order
+from caseflow.scale import skew_join, spread, with_position, without_order
 
 
 def cases(seed=1):
@@ -74,3 +74,10 @@ def test_bucketed_tables_join_without_moving(spark):
         assert joined.filter("sem IS NULL").count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    df = spark.range(0, 1000, 1, 8)
+    assert spread(df, 10).rdd.getNumPartitions() == 100
+    assert max(spread(df, 10).rdd.glom().map(len).collect()) < 40
+    assert spread(df).rdd.getNumPartitions() == 8
