@@ -67,16 +67,19 @@ def invoke(
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for (sample, temperature, top_p), part in frame.groupby(["sample", "temperature", "top_p"], sort=False):
-                for start in range(0, len(part), batch_size):
-                    batch = part.iloc[start : start + batch_size]
+                texts, errors, asked = [], [], part["prompt"].tolist()
+                for start in range(0, len(asked), batch_size):
+                    batch = asked[start : start + batch_size]
                     failure = "no answer"
                     try:
-                        answers = list(model(list(batch["prompt"]), {"sample": sample, "temperature": temperature, "top_p": top_p}))
+                        answers = list(model(batch, {"sample": sample, "temperature": temperature, "top_p": top_p}))
                     except Exception as reason:
                         answers, failure = [], f"{type(reason).__name__}: {reason}"
                     answers = answers[: len(batch)] + [None] * (len(batch) - len(answers))
-                    errors = [failure if a is None else None for a in answers]
-                    yield batch[[*CASE, "sample"]].assign(text=answers, error=errors)
+                    texts += answers
+                    errors += [failure if a is None else None for a in answers]
+                # One frame for all batches: a frame of one batch costs more than the batch.
+                yield part[[*CASE, "sample"]].assign(text=pd.Series(texts, part.index, object), error=pd.Series(errors, part.index, object))
 
     return work.mapInPandas(call, "scenario string, case_idx bigint, sample string, text string, error string")
 
