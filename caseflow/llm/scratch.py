@@ -1,18 +1,5 @@
 """Tables in the shared folder that a later step has used up."""
 
-from __future__ import annotations
+from caseflow.scale import discard
 
-from pyspark.sql import DataFrame
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the folders of tables made by `materialize` that nothing will read again.
-
-    Call it only when what was made of them is itself written: a lost task runs again from the newer tables.
-    """
-    for table in tables:
-        context = table.sparkSession.sparkContext
-        hadoop = context._jvm.org.apache.hadoop.fs
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = hadoop.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard"]

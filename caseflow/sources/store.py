@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.operators.incremental import upsert_checkpoints
-from caseflow.scale import materialize
+from caseflow.scale import discard, materialize
 
 CHECKPOINTS = "folder string, mode string, alarm_type string, last_index bigint, updated_at timestamp"
 
@@ -145,10 +145,14 @@ def replace_rows(rows: DataFrame, out: str, partitions: Sequence[str], keys: Seq
         stored = spark.read.schema(new.schema).parquet(out)
         stored = _matching(stored, new.select(*partitions).distinct(), partitions, "left_semi")
         kept = _matching(stored, new.select(*keys), keys, "left_anti").select(*new.columns)
-        new = materialize(kept.unionByName(new), "merged_rows")
-    # A partition may hold a large part of all rows: rebalancing splits it into several files.
-    balanced = new.hint("rebalance", *partitions)
+        merged = kept.unionByName(new)
+    else:
+        merged = new
+    # A partition may hold a large part of all rows: rebalancing splits it into several files. A dynamic overwrite puts
+    # them beside the table and replaces partitions when all are written, so the table itself may be read meanwhile.
+    balanced = merged.hint("rebalance", *partitions)
     balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(out)
+    discard(new)
 
 
 def _matching(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str) -> DataFrame:

@@ -81,3 +81,19 @@ def test_spread_bounds_the_rows_of_a_task(spark):
     assert spread(df, 10).rdd.getNumPartitions() == 100
     assert max(spread(df, 10).rdd.glom().map(len).collect()) < 40
     assert spread(df).rdd.getNumPartitions() == 8
+
+
+def test_replacing_rows_leaves_no_copies(spark, tmp_path):
+    from pathlib import Path
+
+    from caseflow.scale import scratch_dir
+    from caseflow.sources.store import replace_rows
+
+    def copies():
+        return {p.parent for name in ("new_rows", "merged_rows") for p in Path(scratch_dir(spark)).rglob(f"{name}/*.parquet")}
+
+    out, before = str(tmp_path / "out"), copies()
+    for n, text in ((10, "a"), (5, "b"), (5, "b")):
+        replace_rows(spark.range(n).selectExpr("id", "id % 2 AS part", f"'{text}' AS text"), out, ["part"], ["part", "id"])
+    assert sorted((r.id, r.text) for r in spark.read.parquet(out).collect()) == [(i, "b" if i < 5 else "a") for i in range(10)]
+    assert copies() <= before
