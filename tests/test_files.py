@@ -54,6 +54,28 @@ def test_only_selected_files_are_opened(spark, root):
     assert labels.load_cases(spark, root, wanted.limit(0)).count() == 0
 
 
+def test_tasks_list_and_open_the_files(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("concat('a/a_', id, '_label_%41', id, '.json') AS path", "concat('{\"root_cause\":\"c', id, '\"}') AS body")
+    extra = spark.createDataFrame([("a/deep/b_7_label_x.json", "{}"), ("a/.hidden_label_1.json", "{}"), ("a/_9_label_1.json", "{}"), ("a/e_5_label_.json", "")], rows.schema)
+    write_named_files(rows.unionByName(extra), str(tmp_path)).collect()
+    names = labels.list_files(spark, str(tmp_path))
+    assert names.count() == 2000 and labels.list_files(spark, str(tmp_path), recursive=True).count() == 2001
+    assert "binaryFile" not in names._jdf.queryExecution().executedPlan().toString()
+    wanted = spark.createDataFrame([("a", 3), ("a", 1999), ("a", 5000)], WANTED)
+    cases = labels.load_cases(spark, str(tmp_path), wanted)
+    assert {r.idx: (r.root_cause, r.label_path) for r in cases.collect()} == {i: (f"c{i}", f"file:{tmp_path}/a/a_{i}_label_%41{i}.json") for i in (3, 1999)}
+    read = labels.read_label_documents(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and read.count() == 2001
+    with pytest.raises(Exception, match="No such file"):
+        labels.list_files(spark, f"{tmp_path}/none")
+
+
+def test_roots_that_only_spark_reaches(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.labels.link./in", f"file://{tmp_path}")
+    write_named_files(spark.createDataFrame([("s/s_1_label_x.json", "{}")], "path string, body string"), str(tmp_path)).collect()
+    assert [r.idx for r in labels.load_cases(spark, "viewfs://labels/in").collect()] == [1]
+
+
 def test_whole_texts_keep_their_lines(spark, root):
     assert {r.body.count("\n") for r in labels.read_documents(spark, root, scenario="类").collect()} == {1}
 
