@@ -101,3 +101,30 @@ def test_stream_holds_the_checkpoint_at_a_failure(spark, tmp_path):
     assert marks() == {"a": 7, "b": 9}
     got = {(r.scenario, r.idx): r.ok for r in sink.results(spark).collect()}
     assert got == {("a", 1): True, ("a", 2): True, ("a", 4): True, ("a", 7): True, ("b", 9): True}
+
+
+def test_stream_over_names_listed_by_tasks(spark, tmp_path):
+    root, state = tmp_path / "in", tmp_path / "state"
+    for i in (1, 2):
+        write(root, "a b+c", f"a b+c_{i}_label_%41.json", {"n": i})
+    write(root, "a b+c", "a b+c_3_case_x.json", {})
+    sink = IncrementalSink(str(state), "tree_infer", lambda s: s.select("scenario", "idx", s["doc"].isNotNull().alias("ok")), f"{CASES}, path string, doc variant")
+
+    def advance():
+        arrivals = stream_labels(spark, str(root), f"{state}/names")
+        query = start(arrivals, sink)
+        query.awaitTermination()
+        return query.recentProgress
+
+    seen = sum(p["numInputRows"] for p in advance())
+    write(root, "b", "b_5_label_x.json", "{broken")
+    write(root, "a b+c", "a b+c_7_label_x.json", {})
+    more = advance()
+    # The second start reads two new names; its source holds parts of names, not label files.
+    assert sum(p["numInputRows"] for p in more) > 0 and seen > 0 and "names" in more[0]["sources"][0]["description"]
+    assert sum(p["numInputRows"] for p in advance()) == 0
+    assert sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(f"{state}/names").collect()) == [
+        "a b+c_1_label_%41.json", "a b+c_2_label_%41.json", "a b+c_7_label_x.json", "b_5_label_x.json"
+    ]
+    assert {(r.scenario, r.idx): r.ok for r in sink.results(spark).collect()} == {("a b+c", 1): True, ("a b+c", 2): True, ("a b+c", 7): True, ("b", 5): False}
+    assert {r.folder: r.last_index for r in sink.checkpoints(spark).collect()} == {"a b+c": 7}
