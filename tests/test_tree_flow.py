@@ -49,3 +49,13 @@ def test_every_new_case_against_exhaustive_trees(spark):
     assert {(r.scenario, r.idx): (r.leaf, r.pred_top1_rc, r.is_correct, r.last_index) for r in got} == want
     assert len(got) == len(want) > 160
     assert max(leaf for leaf, *_rest in want.values()) > 3
+
+
+def test_selected_values_equal_the_maps_without_building_them(spark):
+    cases = documents.cases(spark, SF_DIR).filter("idx < 60")
+    rows = [(s, sel["log"], sel["kpi"]) for s, sel in documents.SCENARIO_SELECTIONS.items() if s != "view"] + [("error ", None, None)]
+    selections = spark.createDataFrame(rows, "scenario string, log array<string>, kpi map<string,array<string>>")
+    arrays, names = flow.selected_arrays(cases, selections)
+    assert "map_from_entries" not in arrays._jdf.queryExecution().optimizedPlan().toString()
+    maps = {r.idx: r.features for r in flow.feat.select_features(cases, selections).collect()}
+    assert len(maps) == 60 and {r.idx: r.features for r in arrays.collect()} == {i: [m.get(n) or 0.0 for n in names] for i, m in maps.items()}
