@@ -62,8 +62,9 @@ def bin_edges(train: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFr
 
 
 def bin_of(edges: Column, value: Column, bins: int = BINS) -> Column:
-    """Number of edges below `value`, by halving: the bin whose greatest value is the first not below it.
+    """Number of edges below `value`: the bin whose greatest value is the first not below it.
 
+    A value that is an edge, as all are where every value has its own bin, is looked up at once, others by halving.
     A value above all edges, which training rows never have, falls into the last bin.
     """
     steps = F.sequence(F.lit(1), F.lit(bins.bit_length() + 1))
@@ -77,7 +78,8 @@ def bin_of(edges: Column, value: Column, bins: int = BINS) -> Column:
         )
 
     whole = F.struct(F.lit(0).cast("int").alias("lo"), (F.size(edges) - 1).cast("int").alias("hi"))
-    return F.aggregate(steps, whole, halve, lambda r: r["lo"])
+    place = F.array_position(edges, value)
+    return F.when(place > 0, (place - 1).cast("int")).otherwise(F.aggregate(steps, whole, halve, lambda r: r["lo"]))
 
 
 def with_bins(rows: DataFrame, edges: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFrame:
@@ -91,10 +93,11 @@ def with_bins(rows: DataFrame, edges: DataFrame, keys: Sequence[str], bins: int
 
 def bin_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows, least and greatest value per (key, node, feature, bin, label); combined on the map side."""
-    pairs = F.transform("features", lambda value, i: F.struct(F.get("bins", i).alias("bin"), _value(value).alias("value")))
+    pairs = F.arrays_zip(F.col("features").alias("value"), F.col("bins").alias("bin"))
     long = rows.select(*keys, "node", "label", F.posexplode(pairs).alias("feature", "p"))
+    value = _value(F.col("p.value"))
     return long.groupBy(*keys, "node", "feature", F.col("p.bin").alias("bin"), "label").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.min("p.value").alias("least"), F.max("p.value").alias("greatest")
+        F.count(F.lit(1)).cast("double").alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest")
     )
 
 

@@ -82,3 +82,11 @@ def test_small_and_empty_input(spark):
     assert binned.fit(few.limit(0), ["key"], max_depth=2).count() == 0
     with pytest.raises(ValueError):
         binned.fit(few, ["key"], bins=1)
+
+
+def test_values_with_their_own_bin_are_looked_up(spark):
+    """Values that are edges take no search; others still halve, and both give the same bins."""
+    df = spark.createDataFrame([([1.0, 2.0, 2.5], v) for v in (1.0, 2.5, 1.5, -3.0, 9.0)], "e array<double>, v double")
+    found = df.select(binned.bin_of(F.col("e"), F.col("v"), 4).alias("b"))
+    assert [r.b for r in found.collect()] == [0, 2, 1, 0, 2]
+    assert "array_position(" in found._jdf.queryExecution().executedPlan().toString()
