@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from caseflow.operators import tree
 
 NAMES = ["f", "g", "h"]
@@ -91,3 +93,26 @@ def test_rows_walk_to_their_leaf_in_deep_trees(spark):
     assert got["b"].leaf == 2**levels and got["b"].is_correct and got["a"].leaf == 2 ** (levels - 3) + 1
     with pytest.raises(ValueError):
         tree.fit(cases.withColumnRenamed("root_cause", "label"), ["k"], max_depth=63)
+
+
+def test_short_walks_are_compiled(spark):
+    """A known number of steps is written out; it goes where the general walk goes, also past leaves and over nulls."""
+    rows = spark.createDataFrame([([1.0, None],), ([2.5, 7.0],), ([9.0, -1.0],), ([],)], "features array<double>")
+    entries = [(1, (0, 2.0)), (2, (1, 0.0)), (3, (1, 0.5)), (6, (0, 8.0))]
+    table = spark.createDataFrame([(entries,)], "e array<struct<node bigint, split struct<feature int, threshold double>>>")
+    cases = rows.crossJoin(table.select(F.map_from_entries("e").alias("splits")))
+    walk = [tree.node_of(F.col("splits"), F.col("features"), d).alias(f"d{d}") for d in range(4)]
+    general = [tree.node_of(F.col("splits"), F.col("features"), F.lit(d)).alias(f"g{d}") for d in range(4)]
+    found = cases.select(*walk, *general).collect()
+    assert [tuple(r)[:4] for r in found] == [tuple(r)[4:] for r in found] == [(1, 2, 4, 4), (1, 3, 7, 7), (1, 3, 6, 13), (1, 2, 4, 4)]
+    assert "aggregate(" not in cases.select(*walk)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_depths_are_counted_without_repeating_rows(spark):
+    rows = [("a", [float(i)], "x" if i < 20 else "y") for i in range(40)] + [("a", [1.0], ""), ("a", [1.0], None)]
+    cases = spark.createDataFrame(rows, "k string, features array<double>, root_cause string")
+    nodes = tree.fit(cases.filter("root_cause <> ''").withColumn("label", F.col("root_cause")), ["k"], max_depth=2, min_leaf=5)
+    scores = tree.depth_scores(cases, nodes, ["k"], (2, 1, 2))
+    assert sorted(tuple(r) for r in scores.collect()) == [("a", 1, 1, 40, 40, 1.0), ("a", 2, 0, 40, 40, 1.0)]
+    before_counting = scores._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [k")[1]
+    assert "Generate" not in before_counting
