@@ -10,6 +10,7 @@ from caseflow.functions.text import after_think
 from caseflow.operators import answers, prompts, repair
 from caseflow.plans.common import Registry, joined, table
 from caseflow.plans.ranking import SQL_BRANDS, rankings
+from caseflow.scale import materialize
 
 registry = Registry()
 
@@ -36,6 +37,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`responses`, written once: cases, predictions and answers are all read from it, each with its own columns."""
+    return materialize(responses(spark, sf_dir), "responses")
+
+
 SQL_ANSWERS = SQL_BRANDS + f""",
 wide AS (
   SELECT p.case_idx, p.pred AS by_price, q.pred AS by_quantity, groundtruth, o_orderpriority AS scenario
@@ -72,7 +78,7 @@ SELECT scenario, case_idx, pred AS pred_rc, nullif(split_part(pred, '|', 1), '')
   (CASE WHEN pos > 0 THEN pos END)::INT AS rank, CASE WHEN strategy = 'structured_array' THEN 1 ELSE 2 END AS attempts
 FROM ranked""")
 def competition_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = responses(spark, sf_dir)
+    rows = stored_responses(spark, sf_dir)
     results = answers.method_results(rows.drop("text"), as_verifier(rows), "competition")
     return results.select(
         "scenario", "case_idx", joined(F.col("pred_rc"), "pred_rc"), "pred_top1_rc", "parse_strategy", "rank",
@@ -87,7 +93,7 @@ SELECT scenario, case_idx, CASE WHEN scenario = '1-URGENT' THEN '' ELSE pred END
 FROM parsed""")
 def rescored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved answers parsed again; urgent orders have no run directory."""
-    rows = responses(spark, sf_dir)
+    rows = stored_responses(spark, sf_dir)
     runs = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("scenario")).distinct()
     runs = runs.select(
         F.lit("competition").alias("method"), "scenario",
@@ -103,7 +109,7 @@ SELECT scenario, case_idx, CASE WHEN strategy = 'unparsed' THEN 'rerun:unparsed'
   (pred <> '') AS parsed
 FROM parsed""")
 def reparsed_reruns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = responses(spark, sf_dir)
+    rows = stored_responses(spark, sf_dir)
     results = repair.mark_rerun(answers.method_results(rows.drop("text"), as_verifier(rows), "competition"))
     return results.select("scenario", "case_idx", "parse_strategy", (F.size("pred_rc") > 0).alias("parsed"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.ranking import all_rankings, best_ranking
 from caseflow.operators import answers
+from caseflow.plans import answers as answer_plans
 
 TEXTS = [
     ('Answer: ["B","A"]', ["A", "B"], ["B", "A"], "structured_array"),
@@ -96,3 +97,10 @@ def test_unclosed_brackets_cost_their_own_piece(spark):
 
     seconds(10)
     assert seconds(20_000) < 20 and seconds(40_000) < 40
+
+
+def test_orders_are_ranked_once_for_all_that_reads_them(spark):
+    """Cases, saved predictions and answers come from one written table, not from a ranking of their own each."""
+    for query in (answer_plans.rescored_answers, answer_plans.reparsed_reruns, answer_plans.competition_results):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem.parquet" not in plan and "/responses]" in plan
