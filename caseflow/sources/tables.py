@@ -47,11 +47,9 @@ def write_predictions(predictions: DataFrame, meta: DataFrame, out: str, fmt: st
     """Write predictions under `out`, partitioned by mode, scenario and run_name where present.
 
     `fmt` is parquet, json, jsonl, csv or all (json and jsonl are one object per line). Every task writes its own
-    rows; nothing passes the driver. For several formats the rows are computed once and written to the shared folder.
+    rows; nothing passes the driver. For all formats the rows are computed once: the others are written from the Parquet files.
     """
     formats = ("parquet", "jsonl", "csv") if fmt == "all" else (fmt,)
-    if len(formats) > 1:
-        predictions = materialize(predictions, "predictions")
     parts = [c for c in ("mode", "scenario", "run_name") if c in predictions.columns]
     written = []
     for name in formats:
@@ -63,6 +61,8 @@ def write_predictions(predictions: DataFrame, meta: DataFrame, out: str, fmt: st
             predictions.write.partitionBy(*parts).json(target)
         elif name == "parquet":
             predictions.write.partitionBy(*parts).parquet(target)
+            # With its schema, so that folder names that look like numbers stay text.
+            predictions = predictions.sparkSession.read.schema(predictions.schema).parquet(target)
         else:
             raise ValueError(f"unknown format {name!r}")
         written.append(target)

@@ -174,3 +174,18 @@ def test_metrics_are_replaced(spark, tmp_path):
 def test_response_text(spark):
     row = spark.sql("SELECT 'body' AS t").select(tables.response_text(F.col("t"), F.lit("Meta"))).first()[0]
     assert row == f"=== Response Meta ===\nbody\n\n{vocab.RULE}\n\n"
+
+
+def test_all_formats_are_written_from_one_copy(spark, tmp_path, monkeypatch):
+    """No further copy beside the Parquet files; folder names that look like numbers or dates stay text in the other formats."""
+    monkeypatch.setattr(tables, "materialize", None)
+    scenarios = ["007", "1.50", "2024-01-01", "a/b", "", None, "true"]
+    rows = [(s, i, "g", [f"r{i}", "x,\"y"]) for i, s in enumerate(scenarios)]
+    given = spark.createDataFrame(rows, "scenario string, case_idx bigint, groundtruth string, pred_rc array<string>").withColumn("mode", F.lit("tree"))
+    out = str(tmp_path / "out")
+    assert tables.write_predictions(given, spark.createDataFrame([("r",)], "run string"), out, "all") == [f"{out}/{f}" for f in ("parquet", "jsonl", "csv")]
+    schema = "case_idx bigint, groundtruth string, pred_rc array<string>, mode string, scenario string"
+    lines = spark.read.schema(schema).json(f"{out}/jsonl").orderBy("case_idx").collect()
+    assert [(r.scenario, r.case_idx, r.groundtruth, r.pred_rc, r["mode"]) for r in lines] == [(s or None, i, g, p, "tree") for s, i, g, p in rows]
+    csv = spark.read.option("header", "true").option("escape", '"').csv(f"{out}/csv").select("case_idx", F.from_json("pred_rc", "array<string>").alias("p"))
+    assert sorted((int(r.case_idx), r.p) for r in csv.collect()) == [(i, p) for _s, i, _g, p in rows]
