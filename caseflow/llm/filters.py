@@ -15,6 +15,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.llm.textblocks import release
 from caseflow.scale import materialize
 
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
@@ -81,6 +82,7 @@ def without(docs: DataFrame, gone: DataFrame, id: str = "doc_id") -> DataFrame:
             for batch in batches:
                 ok = passes(sent.value, batch.column(batch.num_columns - 1).to_numpy()) == hit
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok)).columns[:-1], batch.schema.names[:-1])
+            release()
 
         return hashed.mapInArrow(run, docs.schema)
 

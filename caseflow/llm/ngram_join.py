@@ -197,6 +197,7 @@ def _signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
                     ],
                     ["id", "n", "one", "two", "extra", "n_keys", "sketch"],
                 )
+        release()
 
     return docs.mapInArrow(run, "id bigint, n bigint, one bigint, two bigint, extra int, n_keys bigint, sketch array<bigint>")
 

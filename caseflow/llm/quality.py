@@ -25,8 +25,8 @@ BUCKETS, DIMS, NONZERO, REACH = 8192, 32, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 30, 128, 0.003, 1e-4
 TRAIN_DOCS = 12_000
 SEED = 4
-# Text bytes at once: every token takes a row of DIMS floats.
-TOKEN_BYTES = 1 << 19
+# Text bytes counted at once, and pooled at once, where every token takes a few rows of DIMS floats.
+TOKEN_BYTES, POOL_BYTES = 1 << 19, 1 << 17
 
 # Visible bytes that are no part of words.
 _MARK = np.zeros(256, bool)
@@ -102,7 +102,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 def pool(vectors: np.ndarray, column: pa.Array) -> np.ndarray:
     """Mean, spread and length features of every text of a column."""
     parts = []
-    for block in blocks(column, TOKEN_BYTES):
+    for block in blocks(column, POOL_BYTES):
         bucket, bounds = tokens(block)
         n = np.diff(bounds)
         mean, spread = np.zeros((len(n), DIMS)), np.zeros((len(n), DIMS))
@@ -172,8 +172,10 @@ def train(labelled: DataFrame, vectors: np.ndarray, text: str = "text", label: s
         for batch in batches:
             x = pool(sent.value, batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["label", "aside", "x"])
+        release()
 
     found = chosen.mapInArrow(measure, "label int, aside boolean, x array<double>").toArrow()  # the bounded sample
+    sent.destroy()
     y = found["label"].to_numpy().astype(float)
     x = np.asarray(found["x"].to_pylist()).reshape(len(y), 2 * DIMS + 1)
     order = np.lexsort((*x.T, y))  # the same order on every run

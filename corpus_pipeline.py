@@ -9,6 +9,9 @@ sharding        every remaining row gets a shard of near equal bytes and a slot
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that prepares the session by itself: stages are also run one by one, without run()."""
+
+    @wraps(stage)
+    def prepared(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return prepared
+
+
+@_shipped
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality")
     known = docs.select("doc_id", "text").filter(~language.held_out("doc_id", 3, 1))
@@ -28,19 +43,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).filter("_score >= 0.5").select(*docs.columns)
 
 
+@_shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.drop_near_copies(docs, size=5, percent=80)
 
 
+@_shipped
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.digests(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
     return found.filter("NOT _contaminated").select(*docs.columns)
 
 
+@_shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(docs).select(*docs.columns)
 
 
+@_shipped
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, shards=16).select(F.col("id").alias("doc_id"), "size", "text_crc32", "shard", "slot")
 
@@ -58,7 +77,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
