@@ -1,14 +1,17 @@
 """Files with names, file filters, checkpoint versions, and outputs that a rerun replaces."""
 
 import json
+import os
 import threading
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from caseflow import vocab
-from caseflow.sources import labels, tables
-from caseflow.sources.files import in_ranges, index_ranges, write_named_files
+from caseflow.plans import files as plans
+from caseflow.sources import files, labels, tables
+from caseflow.sources.files import delete_tree, in_ranges, index_ranges, write_named_files
 from caseflow.sources.store import CheckpointStore, ConflictError, publish_file, replace_rows
 
 WANTED = "scenario string, idx bigint"
@@ -189,3 +192,37 @@ def test_all_formats_are_written_from_one_copy(spark, tmp_path, monkeypatch):
     assert [(r.scenario, r.case_idx, r.groundtruth, r.pred_rc, r["mode"]) for r in lines] == [(s or None, i, g, p, "tree") for s, i, g, p in rows]
     csv = spark.read.option("header", "true").option("escape", '"').csv(f"{out}/csv").select("case_idx", F.from_json("pred_rc", "array<string>").alias("p"))
     assert sorted((int(r.case_idx), r.p) for r in csv.collect()) == [(i, p) for _s, i, _g, p in rows]
+
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def files_below(root) -> int:
+    return sum(len(names) for _folder, _folders, names in os.walk(str(root).removeprefix("file:")))
+
+
+def test_a_tree_is_deleted(spark, tmp_path):
+    rows = spark.range(300).selectExpr("concat('a', id % 3, '/x/', id, '.json') AS path", "'{}' AS body")
+    write_named_files(rows, f"{tmp_path}/t").collect()
+    assert files_below(f"{tmp_path}/t") == 300
+    delete_tree(spark, f"{tmp_path}/t")
+    assert not os.path.exists(f"{tmp_path}/t")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_backfill_keeps_only_a_part_of_its_source_files(spark, monkeypatch):
+    seen = {}
+    read = labels.read_label_documents
+
+    def watched(session, root):
+        seen.setdefault(root, []).append(files_below(root))
+        return read(session, root)
+
+    monkeypatch.setattr(plans.labels, "read_label_documents", watched)
+    monkeypatch.setattr(files, "FILES_AT_ONCE", 300)
+    query = plans.registry
+    result = oracle.compare(spark, oracle.connect(SF_DIR), query.queries["file_backfill"], query.sql["file_backfill"], SF_DIR)
+    assert result["ok"], result["note"]
+    (sources, counts), = [x for x in seen.items() if x[0].endswith("/sources")]
+    assert len(counts) == 4 and max(counts) < 400 and sum(counts) == 1020
+    assert not os.path.exists(sources)
