@@ -19,14 +19,25 @@ CASE = ["scenario", "case_idx"]
 LOGS_PLACE = "semantic_labels"
 
 
-def evidence_columns(cases: DataFrame, drop_logs_for: str | None = vocab.NO_LOGS_SCENARIO) -> DataFrame:
-    """Split `sem` into logs_json and rest_json (all other keys). One scenario's logs can be left out."""
+def with_evidence(cases: DataFrame) -> DataFrame:
+    """Add the evidence as text: logs_json, and rest_json with all other keys of `sem`.
+
+    For cases of which several prompts are built: stored with these columns, they need `sem` no more, and no document is
+    opened again for every role.
+    """
     sem = F.col("sem")
-    logs = F.to_json(child(sem, "anomaly_logs"))
-    if drop_logs_for is not None:
-        logs = F.when(F.col("scenario") == drop_logs_for, F.when(logs.isNotNull(), "{}")).otherwise(logs)
     others = F.map_filter(F.try_variant_get(sem, "$", "map<string,variant>"), lambda k, _v: k != "anomaly_logs")
-    return cases.withColumn("logs_json", logs).withColumn("rest_json", F.coalesce(F.to_json(others), F.lit("{}")))
+    return cases.withColumn("logs_json", F.to_json(child(sem, "anomaly_logs"))).withColumn("rest_json", F.coalesce(F.to_json(others), F.lit("{}")))
+
+
+def evidence_columns(cases: DataFrame, drop_logs_for: str | None = vocab.NO_LOGS_SCENARIO) -> DataFrame:
+    """Split `sem` into logs_json and rest_json, unless `with_evidence` has. One scenario's logs can be left out."""
+    opened = with_evidence(cases) if "sem" in cases.columns else cases
+    if drop_logs_for is None:
+        return opened
+    logs = F.col("logs_json")
+    kept = F.when(F.col("scenario") == drop_logs_for, F.when(logs.isNotNull(), "{}")).otherwise(logs)
+    return opened.withColumn("logs_json", kept)
 
 
 def join_evidence(logs: Column, rest: Column) -> Column:

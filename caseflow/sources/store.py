@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from caseflow.operators.incremental import upsert_checkpoints
 from caseflow.scale import discard, materialize
 
+# So many partitions every task may write a file of, without dealing the rows out by partition.
+FEW_PARTITIONS = 64
 CHECKPOINTS = "folder string, mode string, alarm_type string, last_index bigint, updated_at timestamp"
 
 
@@ -133,26 +135,34 @@ def replace_rows(rows: DataFrame, out: str, partitions: Sequence[str], keys: Seq
 
     Only partitions that `rows` touches are read and written again, so repeating a write changes nothing. `keys`
     include the partition columns, in which an empty text becomes null. Of rows that share their keys one stays, and
-    null keys are equal to each other.
+    null keys are equal to each other. What is repeated and what is replaced is found by the keys alone: whole rows move only
+    where some keys are repeated, or some stored rows of a partition stay and others do not.
     """
     spark = rows.sparkSession
     keys = list(keys)
     if not set(partitions) <= set(keys):
         raise ValueError("partition columns must be part of the keys")
-    new = materialize(rows.dropDuplicates(keys), "new_rows")
+    written = materialize(rows, "new_rows")
+    repeated = written.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
+    new = written
+    if not repeated.isEmpty():
+        once = _matching(written, repeated, keys, "left_semi").dropDuplicates(keys)
+        new = _matching(written, repeated, keys, "left_anti").unionByName(once)
+    touched = written.select(*partitions).distinct()
+    merged = new
     target = spark._jvm.org.apache.hadoop.fs.Path(out)
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        stored = spark.read.schema(new.schema).parquet(out)
-        stored = _matching(stored, new.select(*partitions).distinct(), partitions, "left_semi")
-        kept = _matching(stored, new.select(*keys), keys, "left_anti").select(*new.columns)
-        merged = kept.unionByName(new)
-    else:
-        merged = new
-    # A partition may hold a large part of all rows: rebalancing splits it into several files. A dynamic overwrite puts
-    # them beside the table and replaces partitions when all are written, so the table itself may be read meanwhile.
-    balanced = merged.hint("rebalance", *partitions)
-    balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(out)
-    discard(new)
+        stored = _matching(spark.read.schema(written.schema).parquet(out), touched, partitions, "left_semi")
+        kept = _matching(stored, written.select(*keys), keys, "left_anti")
+        before, stay = stored.count(), kept.select(*keys).count()
+        if stay > 0:
+            merged = (stored if stay == before else kept).select(*written.columns).unionByName(new)
+    # A dynamic overwrite puts the rows beside the table and replaces partitions when all are written, so the table itself may
+    # be read meanwhile. With few partitions every task writes its rows of each; with more they are dealt out first, in which
+    # a partition with a large part of all rows is split into several files.
+    dealt = merged if touched.limit(FEW_PARTITIONS + 1).count() <= FEW_PARTITIONS else merged.hint("rebalance", *partitions)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(out)
+    discard(written)
 
 
 def _matching(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str) -> DataFrame:

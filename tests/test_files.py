@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from caseflow import vocab
 from caseflow.plans import files as plans
 from caseflow.sources import files, labels, tables
+from caseflow.sources import store as store_module
 from caseflow.sources.files import delete_tree, in_ranges, index_ranges, write_named_files
 from caseflow.sources.store import CheckpointStore, ConflictError, publish_file, replace_rows
 
@@ -226,3 +227,39 @@ def test_backfill_keeps_only_a_part_of_its_source_files(spark, monkeypatch):
     (sources, counts), = [x for x in seen.items() if x[0].endswith("/sources")]
     assert len(counts) == 4 and max(counts) < 400 and sum(counts) == 1020
     assert not os.path.exists(sources)
+
+
+def test_replaced_rows_that_repeat_stay_or_go(spark, tmp_path, monkeypatch):
+    form = "role string, scenario string, round int, case_idx bigint, sample string, text string"
+    out = f"{tmp_path}/answers"
+
+    def store(*rows):
+        tables.write_responses(spark.createDataFrame(list(rows), form), out)
+
+    def stored():
+        return sorted((r.role, r.scenario or "", r.case_idx, r.text) for r in spark.read.parquet(out).collect())
+
+    store(*[("a", "s", 0, i, "", "x") for i in range(4)], ("a", None, 0, 1, None, "x"), ("a", None, 0, 1, None, "x"))
+    assert stored() == [("a", "", 1, "x"), *[("a", "s", i, "x") for i in range(4)]]
+    store(("a", "s", 0, 9, "", "y"), ("a", "s", 0, 9, "", "y"))  # nothing is replaced
+    assert stored() == [("a", "", 1, "x"), *[("a", "s", i, "x") for i in range(4)], ("a", "s", 9, "y")]
+    store(("a", "s", 0, 9, "", "z"), ("a", None, 0, 1, None, "z"))  # some are
+    assert stored() == [("a", "", 1, "z"), *[("a", "s", i, "x") for i in range(4)], ("a", "s", 9, "z")]
+    monkeypatch.setattr(store_module, "FEW_PARTITIONS", 1)
+    store(*[("a", "s", 0, i, "", "w") for i in (0, 1, 2, 3, 9)], ("b", "s", 0, 1, "", "w"))  # all of one partition are
+    assert stored() == [("a", "", 1, "z"), *[("a", "s", i, "w") for i in (0, 1, 2, 3, 9)], ("b", "s", 1, "w")]
+
+
+def test_repeated_writes_do_not_shuffle_whole_rows(spark, tmp_path, monkeypatch):
+    """Only keys are exchanged: no plan of a rewrite that replaces everything has the text below an exchange."""
+    rows = spark.range(2000).selectExpr("'a' AS role", "concat('s', id % 5) AS scenario", "0 AS round", "id AS case_idx", "'' AS sample", "repeat(uuid(), 20) AS text")
+    fixed = store_module.materialize(rows, "fixed")
+    plans_seen = []
+    writer = type(fixed.write)
+    parquet = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path, *a, **b: (plans_seen.append(self._df._jdf.queryExecution().optimizedPlan().toString()), parquet(self, path, *a, **b))[1])
+    for _ in range(2):
+        tables.write_prompts(fixed, str(tmp_path / "out"))
+    assert len(plans_seen) == 4
+    assert not [p for p in plans_seen if "RebalancePartitions" in p or "Aggregate" in p or "Join" in p]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2000

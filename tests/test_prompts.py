@@ -157,3 +157,17 @@ def test_prompts_are_cut_only_for_a_stated_budget(spark):
     free = prompts.fit_prompts(df, None).first()
     assert len(free.prompt) == 29_001 and not free.truncated and free.final_tokens == free.original_tokens
     assert prompts.fit_prompts(df, 21_000).first().truncated
+
+
+def test_stored_evidence_gives_the_same_prompts(spark):
+    sem = F.parse_json(F.lit('{"anomaly_logs":{"a":1},"z":[1],"b":{"c":"d"}}'))
+    cases = spark.createDataFrame([("s", 1), (vocab.NO_LOGS_SCENARIO, 2), ("e", 3)], "scenario string, case_idx bigint").withColumn(
+        "sem", F.when(F.col("case_idx") < 3, sem).otherwise(F.parse_json(F.lit("{}")))
+    )
+    template = "{alarm_type}: {semantic_labels} of {case_idx}"
+    want = {r.case_idx: r.prompt for r in prompts.build_prompts(cases, "x", template).collect()}
+    stored = prompts.with_evidence(cases).drop("sem")
+    assert {r.case_idx: r.prompt for r in prompts.build_prompts(stored, "x", template).collect()} == want
+    assert want[1] == 's: {"anomaly_logs":{"a":1},"b":{"c":"d"},"z":[1]} of 1' and want[3] == "e: {} of 3"
+    plain = {r.case_idx: r.prompt for r in prompts.build_prompts(stored, "x", template, drop_logs_for=None).collect()}
+    assert '"anomaly_logs":{"a":1}' in plain[2] and '"anomaly_logs":{}' in want[2]
