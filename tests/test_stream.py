@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from caseflow.sources.files import write_named_files
 from caseflow.streaming import ingest
 from caseflow.streaming.ingest import IncrementalSink
 
@@ -109,3 +110,30 @@ def test_first_path_of_an_index_counts(spark, tmp_path):
     assert marks(s, spark) == {"a": 1}
     s(rows(spark, ("a", 1, "p0", "bad"), ("a", 0, "p0", "bad")), 3)  # at or below the checkpoint
     assert marks(s, spark) == {"a": 1} and written(spark, tmp_path, "results", 3) == 0
+
+
+def test_opened_files_are_not_cached(spark, tmp_path):
+    empty = []
+
+    def process(selected):
+        empty.append(spark._jsparkSession.sharedState().cacheManager().isEmpty())
+        return ok_body(selected)
+
+    s = sink(tmp_path, process=process, unreadable=F.col("body").isNull())
+    s(rows(spark, ("a", 1, "p", "x"), ("a", 2, "q", None)), 0)
+    assert empty == [True] and marks(s, spark) == {"a": 1}
+    assert [(r.idx, r.path, r.body) for r in s.quarantined(spark).collect()] == [(2, "q", None)]
+
+
+def test_stored_files_are_deleted_and_unreadable_ones_stay(spark, tmp_path):
+    root = f"{tmp_path}/labels"
+    s = IncrementalSink(
+        f"{tmp_path}/s", "m", lambda x: x.select("scenario", "idx", (F.col("idx") != 3).alias("ok")), columns="scenario string, idx bigint, path string, doc variant", unreadable=ingest.unreadable()
+    )
+    for part in (range(6), range(6, 12)):
+        write_named_files(spark.createDataFrame([(f"a/a_{i}_label_x.json", "{" if i % 5 == 2 else "{}") for i in part], "path string, body string"), root).collect()
+        ingest.start(ingest.stream_labels(spark, root, f"{tmp_path}/names"), s).awaitTermination()
+        ingest.delete_stored(spark, root, s)
+    assert sorted(p.name for p in (tmp_path / "labels/a").glob("*.json")) == ["a_2_label_x.json", "a_7_label_x.json"]
+    assert sorted((r.idx, r.batch, r.body) for r in s.quarantined(spark).collect()) == [(2, 0, "{"), (7, 1, "{")]
+    assert s.results(spark).filter("ok").count() == 9 and marks(s, spark) == {"a": 1}  # case 3 waits, its rows are stored
