@@ -43,11 +43,12 @@ def csv_columns(predictions: DataFrame) -> list[Column]:
     return [column(name) for name in PREDICTION_CSV]
 
 
-def write_predictions(predictions: DataFrame, meta: DataFrame, out: str, fmt: str = "parquet") -> list[str]:
+def write_predictions(predictions: DataFrame, meta: DataFrame, out: str, fmt: str = "parquet", compression: str = "gzip") -> list[str]:
     """Write predictions under `out`, partitioned by mode, scenario and run_name where present.
 
     `fmt` is parquet, json, jsonl, csv or all (json and jsonl are one object per line). Every task writes its own
     rows; nothing passes the driver. For all formats the rows are computed once: the others are written from the Parquet files.
+    Lines and CSV repeat names and texts in every row, so their part files are compressed; `compression` "none" leaves them plain.
     """
     formats = ("parquet", "jsonl", "csv") if fmt == "all" else (fmt,)
     parts = [c for c in ("mode", "scenario", "run_name") if c in predictions.columns]
@@ -56,9 +57,9 @@ def write_predictions(predictions: DataFrame, meta: DataFrame, out: str, fmt: st
         target = f"{out}/{name}"
         if name == "csv":
             rows = predictions.select(*parts, *csv_columns(predictions))
-            rows.write.partitionBy(*parts).option("header", "true").option("escape", '"').csv(target)
+            rows.write.partitionBy(*parts).option("compression", compression).option("header", "true").option("escape", '"').csv(target)
         elif name in ("json", "jsonl"):
-            predictions.write.partitionBy(*parts).json(target)
+            predictions.write.partitionBy(*parts).option("compression", compression).json(target)
         elif name == "parquet":
             predictions.write.partitionBy(*parts).parquet(target)
             # With its schema, so that folder names that look like numbers stay text.

@@ -263,3 +263,19 @@ def test_repeated_writes_do_not_shuffle_whole_rows(spark, tmp_path, monkeypatch)
     assert len(plans_seen) == 4
     assert not [p for p in plans_seen if "RebalancePartitions" in p or "Aggregate" in p or "Join" in p]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2000
+
+
+def test_lines_and_csv_are_compressed(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("'m' AS mode", "concat('s', id % 2) AS scenario", "id AS case_idx", "array('Brand#1', 'Brand#2') AS pred_rc", "'Brand#1' AS groundtruth")
+    meta = spark.createDataFrame([("r",)], "run string")
+    sizes, texts = {}, {}
+    for compression in ("gzip", "none"):
+        out = tmp_path / compression
+        tables.write_predictions(rows, meta, str(out), "all", **({} if compression == "gzip" else {"compression": compression}))
+        for form in ("jsonl", "csv"):
+            parts = [p for p in (out / form).rglob("part-*")]
+            assert all(p.name.endswith(".gz") == (compression == "gzip") for p in parts)
+            sizes[form, compression] = sum(p.stat().st_size for p in parts)
+            texts[form, compression] = sorted(r.value for r in spark.read.text(str(out / form)).collect())
+    for form in ("jsonl", "csv"):
+        assert sizes[form, "gzip"] * 4 < sizes[form, "none"] and set(texts[form, "gzip"]) == set(texts[form, "none"])
