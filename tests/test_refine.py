@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow import vocab
-from caseflow.operators import refine, selection
+from caseflow.operators import features, refine, selection
 
 GOOD = {"log": [vocab.EXCEPTION_TEMPLATES[0]], "kpi": {"traffic_in": ["mix", "max"]}}
 OTHER = {"log": ["flash_count"], "kpi": {}}
@@ -77,3 +77,27 @@ def test_scenarios_without_rows_have_no_summary(spark):
     assert {r.scenario: r.prompt.split("#")[3] for r in found.prompts.collect()}["z"] == "{}"
     with pytest.raises(ValueError):
         refine.refine(cases(spark, 0, 9), cases(spark, 0, 9), first(spark, GOOD), ask, TEMPLATE, rounds=0)
+
+
+def test_documents_are_opened_once_for_all_rounds(spark, monkeypatch):
+    calls, wide = [], []
+    extract, materialize = features.extract_features, refine.materialize
+
+    def stored(df, name):
+        if name == "results":
+            wide.append(df.columns)
+        return materialize(df, name)
+
+    monkeypatch.setattr(features, "extract_features", lambda *a, **b: (calls.append(1), extract(*a, **b))[1])
+    monkeypatch.setattr(refine, "materialize", stored)
+
+    def ask(prompts):
+        return prompts.select("scenario", F.lit(1).alias("pos"), F.lit(json.dumps(GOOD)).alias("text"))
+
+    found = refine.refine(cases(spark, 0, 200), cases(spark, 200, 260), first(spark, OTHER), ask, TEMPLATE, rounds=3)
+    state = {(r.scenario, r.round): r for r in found.state.collect()}
+    assert len(state) == 6 and state["a", 2].accuracy == 1.0
+    assert len(calls) == 2 and wide == [["scenario", "case_idx", "is_correct"]] * 3
+    shown = json.loads(state["a", 1].summary)["correct_cases"]
+    assert len(shown) == vocab.CORRECT_CASES and all({"case_idx", "groundtruth", "pred_rc", "cot"} <= set(c) for c in shown)
+    assert any(c.get("important_nonzero_features") for c in shown)
