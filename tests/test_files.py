@@ -279,3 +279,21 @@ def test_lines_and_csv_are_compressed(spark, tmp_path):
             texts[form, compression] = sorted(r.value for r in spark.read.text(str(out / form)).collect())
     for form in ("jsonl", "csv"):
         assert sizes[form, "gzip"] * 4 < sizes[form, "none"] and set(texts[form, "gzip"]) == set(texts[form, "none"])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_ingest_keeps_only_a_part_of_the_files(spark, monkeypatch):
+    seen = []
+    load = labels.load_cases
+
+    def watched(session, root, new):
+        seen.append((root, files_below(root)))
+        return load(session, root, new)
+
+    monkeypatch.setattr(plans.labels, "load_cases", watched)
+    monkeypatch.setattr(files, "FILES_AT_ONCE", 600)
+    query = plans.registry
+    result = oracle.compare(spark, oracle.connect(SF_DIR), query.queries["file_ingest"], query.sql["file_ingest"], SF_DIR)
+    assert result["ok"], result["note"]
+    assert len(seen) == 2 and sum(n for _root, n in seen) == 1000 and max(n for _root, n in seen) < 600
+    assert not os.path.exists(seen[0][0])
